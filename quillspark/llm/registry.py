@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe_codec, media_ogg, mixing, secret_ledger
+from quillspark.llm import bpe_codec, media_ogg, mixing, secret_ledger, sharding
 
-MODULES = (mixing, media_ogg, secret_ledger, bpe_codec)
+MODULES = (mixing, sharding, media_ogg, secret_ledger, bpe_codec)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
