@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe_codec, edit_embedding, html_text, media_ogg, mixing, quality_mil, secret_ledger, sharding
+from quillspark.llm import bpe_codec, edit_embedding, html_text, media_ogg, minhash, mixing, quality_mil, secret_ledger, sharding
 
-MODULES = (mixing, sharding, media_ogg, quality_mil, edit_embedding, html_text, secret_ledger, bpe_codec)
+MODULES = (mixing, sharding, minhash, media_ogg, quality_mil, edit_embedding, html_text, secret_ledger, bpe_codec)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
