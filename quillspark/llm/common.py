@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,12 @@ class Workspace:
         fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         fs.delete(path, True)
 
+    def release(self) -> None:
+        """Let go of what finished steps have shuffled: Spark deletes those files once
+        the driver has collected the garbage that refers to them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def whole_text(col: str = "text") -> Column:
     """The text, null read as empty."""
