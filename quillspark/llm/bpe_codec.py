@@ -383,14 +383,16 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def encode(docs: DataFrame, path: str | None = None, keys: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
-    """keys, n_tokens, ids_sha256, decoded_sha256, and with with_ids also ids
-    (array of int) and decoded. One pass over the rows, without a shuffle."""
+def encode(docs: DataFrame, path: str | None = None, keys: tuple[str, ...] = ("doc_id",), with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """keys, n_tokens, ids_sha256, decoded_sha256, with with_ids also ids (array
+    of int), and with with_text decoded. One pass over the rows, without a shuffle."""
     kept = docs.select(*keys, whole_text().alias("text"))
     fields = [kept.schema[k] for k in keys]
     out = kept.select(*keys, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256"))
     if with_ids:
-        out = out.select("*", F.array(F.lit(0).cast("int")).alias("ids"), F.lit("").alias("decoded"))
+        out = out.select("*", F.array(F.lit(0).cast("int")).alias("ids"))
+    if with_text:
+        out = out.select("*", F.lit("").alias("decoded"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path or default_path())
@@ -403,8 +405,11 @@ def encode(docs: DataFrame, path: str | None = None, keys: tuple[str, ...] = ("d
             ]
             names = [f.name for f in fields] + ["n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns += [pa.array([np.frombuffer(i, "<u4").astype("i4") for i, _ in got], pa.list_(pa.int32())), pa.array([d for _, d in got], pa.string())]
-                names += ["ids", "decoded"]
+                columns.append(pa.array([np.frombuffer(i, "<u4").astype("i4") for i, _ in got], pa.list_(pa.int32())))
+                names.append("ids")
+            if with_text:
+                columns.append(pa.array([d for _, d in got], pa.string()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return kept.mapInArrow(run, out.schema)
