@@ -32,8 +32,8 @@ def _resized(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the classifier, taught by labels, rejects."""
-    names = docs.columns
-    return quality_mil.classify(docs, table(spark, sf_dir, "labels"), tuple(names)).where("predicted = 1").select(*names)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    return quality_mil.classify(rows, table(spark, sf_dir, "labels"), ("_row",)).where("predicted = 1").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +48,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by its kind in brackets.
 
     Findings are joined back by blob, and only those of texts that have any."""
-    names = docs.columns
-    addressed = secret_ledger.address(docs.withColumn("_was", F.col("text")).withColumn("text", whole_text()))
-    _, findings = secret_ledger.update(addressed.select("text"))
+    versions = docs.select(whole_text().alias("text"), F.struct(*docs.columns).alias("_row"))
+    addressed = secret_ledger.address(versions)
+    _, findings = secret_ledger.update(versions)
     found = secret_ledger.by_path(addressed, findings)
-    text = F.when(F.size("findings") > 0, secret_ledger.redact(F.col("text"), F.col("findings"))).otherwise(F.col("_was"))
-    return _resized(found.withColumn("text", text).select(*names))
+    text = F.when(F.size("findings") > 0, secret_ledger.redact(F.col("text"), F.col("findings"))).otherwise(F.col("_row.text"))
+    return _resized(found.select(*[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns]))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

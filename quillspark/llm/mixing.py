@@ -13,7 +13,7 @@ partitions; a source that holds a third of all rows is spread over all its bucke
 
 Defined results: a null text, or one without words, has size 0 and takes 0 words; a null
 source is a source of its own, after all others; repeated rows count once each; an empty
-table gives no rows; further columns are kept if asked for, and none is looked at.
+table gives no rows; further columns are carried as one, so none clashes.
 """
 
 from __future__ import annotations
@@ -76,18 +76,19 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def draw(docs: DataFrame, mix: Mix = Mix(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every row of docs (doc_id, size, source_size, target, taken and the columns named in
-    keep) with draws: for each time the mix takes it, pass, words (all, but for the row at
+def draw(docs: DataFrame, mix: Mix = Mix(), whole: bool = False) -> DataFrame:
+    """Every row of docs (doc_id, size, source_size, target, taken; whole adds the row itself
+    as _row) with draws: for each time the mix takes it, pass, words (all, but for the row at
     which a source's target falls), shard and place (order within the shard)."""
     spark = docs.sparkSession
     space = Workspace(spark, "mixing")
     key = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source"))
     turn = F.xxhash64("doc_id", F.lit(mix.seed))
+    keep = ["_row"] if whole else []
     rows = docs.select(
-        "doc_id", *keep, key.alias("_source"), word_count(F.col("text")).alias("size"), turn.alias("_turn"), F.pmod(F.shiftrightunsigned(turn, 20), F.lit(BUCKETS)).cast("int").alias("_bucket")
+        "doc_id", *([F.struct(*docs.columns).alias("_row")] if whole else []), key.alias("_source"), word_count(F.col("text")).alias("size"), turn.alias("_turn"), F.pmod(F.shiftrightunsigned(turn, 20), F.lit(BUCKETS)).cast("int").alias("_bucket")
     )
-    if not keep:
+    if not whole:
         rows = space.keep(rows, "rows")
     buckets = space.keep(rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("_words")), "buckets")
     sources = buckets.groupBy("_source").agg(F.sum("_words").alias("n")).orderBy("_source").collect()
@@ -116,10 +117,10 @@ def draw(docs: DataFrame, mix: Mix = Mix(), keep: tuple[str, ...] = ()) -> DataF
         shard = F.size(F.filter("_starts", lambda at: at <= sequence)) - 1
         return F.struct(number.cast("int").alias("pass"), words.alias("words"), shard.alias("shard"), F.xxhash64(F.lit(mix.seed), number, "doc_id").alias("place"))
 
-    whole = F.transform(F.sequence(F.lit(0), F.col("_passes") - 1), lambda p: one(p.cast("long"), F.col("size")))
+    full = F.transform(F.sequence(F.lit(0), F.col("_passes") - 1), lambda p: one(p.cast("long"), F.col("size")))
     part = F.least(F.col("size"), F.col("_rest") - F.col("_start"))
     draws = F.concat(
-        F.when(F.col("_passes") > 0, whole).otherwise(F.array()),
+        F.when(F.col("_passes") > 0, full).otherwise(F.array()),
         F.when(F.col("_start") < F.col("_rest"), F.array(one(F.col("_passes"), part))).otherwise(F.array()),
     )
     taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
@@ -136,10 +137,9 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The mix itself: a row of docs for each draw, with shard and place; where a draw
     takes only some words of a text, the text is cut behind them."""
     names = docs.columns
-    keep = tuple(c for c in names if c != "doc_id")
-    drawn = draw(docs, mix, keep=keep).select(*names, F.col("size").alias("_size"), F.explode("draws").alias("_draw"))
-    text = F.when(F.col("_draw.words") < F.col("_size"), first_words(F.col("text"), F.col("_draw.words"))).otherwise(F.col("text"))
-    return drawn.select(*[text.alias(c) if c == "text" else c for c in names], F.col("_draw.shard").alias("_shard"), F.col("_draw.place").alias("_place"))
+    drawn = draw(docs, mix, whole=True).select("_row", "size", F.explode("draws").alias("_draw"))
+    text = F.when(F.col("_draw.words") < F.col("size"), first_words(F.col("_row.text"), F.col("_draw.words"))).otherwise(F.col("_row.text"))
+    return drawn.select(*[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in names], F.col("_draw.shard").alias("_shard"), F.col("_draw.place").alias("_place"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ To the driver go only the sample (its size is a parameter), a row per range and
 50 rows per shard of large texts.
 
 Defined results: a null text has no bytes (size 1, CRC of the empty string); rows that
-repeat are placed side by side; an empty table gives no rows; other columns are kept
-only if asked for.
+repeat are placed side by side; an empty table gives no rows; other columns are
+carried as one if asked for, so none clashes.
 """
 
 from __future__ import annotations
@@ -35,11 +35,11 @@ SAMPLES_A_RANGE = 16
 MOST_ROUNDS = 8
 
 
-def _keyed(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+def _keyed(docs: DataFrame, whole: bool) -> DataFrame:
     text = F.xxhash64(whole_text())
     own = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("own")), 64 - LOW)
     key = text.bitwiseAND(F.lit(-(1 << LOW))).bitwiseOR(own)
-    return docs.select("doc_id", *keep, (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.encode(whole_text(), "UTF-8")).alias("text_crc32"), key.alias("_key"))
+    return docs.select("doc_id", *([F.struct(*docs.columns).alias("_in")] if whole else []), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.encode(whole_text(), "UTF-8")).alias("text_crc32"), key.alias("_key"))
 
 
 def _range_of(key: Column, borders: np.ndarray) -> Column:
@@ -103,13 +103,13 @@ def _packed(heavy: list[tuple[int, int]], shards: int) -> tuple[dict[int, int],
     return where, held
 
 
-def shard(docs: DataFrame, shards: int = 8, keep: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
-    """doc_id, the columns named in keep, size, text_crc32, shard and slot (from 0 in
-    each shard, without gaps) of every row."""
+def shard(docs: DataFrame, shards: int = 8, whole: bool = False, ranges: int | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot (from 0 in each shard, without gaps) of
+    every row; whole adds the row itself as _in."""
     spark = docs.sparkSession
     space = Workspace(spark, "sharding")
-    keyed = _keyed(docs, keep)
-    rows = keyed if keep else space.keep(keyed, "rows")
+    keyed = _keyed(docs, whole)
+    rows = keyed if whole else space.keep(keyed, "rows")
     ranges = ranges or min(65_536, max(64 * shards, rows.count() // 50_000))
     borders, counted = splitters(rows, ranges)
     total = sum(size for _, size, _ in counted)
@@ -139,23 +139,23 @@ def shard(docs: DataFrame, shards: int = 8, keep: tuple[str, ...] = (), ranges:
     order = Window.partitionBy("_heavy", "_range").orderBy("_key", "doc_id", "size", "text_crc32")
     placed = rows.join(offsets, ["_heavy", "_range"]).withColumn("_start", F.col("_bytes") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).withColumn("_row", F.col("_rows") + F.row_number().over(order) - 1)
     run = Window.partitionBy("_heavy", "_range", "_group")
-    whole = F.sum("size").over(run) * F.lit(50 * shards) <= F.lit(total)
-    start = F.when(whole, F.min("_start").over(run)).otherwise(F.col("_start"))
+    small = F.sum("size").over(run) * F.lit(50 * shards) <= F.lit(total)
+    start = F.when(small, F.min("_start").over(run)).otherwise(F.col("_start"))
     filled_at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts[:-1]]), lambda c: c <= start))
     placed = placed.withColumn("shard", F.when(F.col("_heavy") >= 0, F.col("_heavy")).otherwise(filled_at).cast("int")).drop("_bytes", "_rows", "_start", "_range", "_group")
-    placed = placed if keep else space.keep(placed, "placed")
+    placed = placed if whole else space.keep(placed, "placed")
     first = {r["shard"]: r.at for r in placed.where("_heavy < 0").groupBy("shard").agg(F.min("_row").alias("at")).collect()}
     slot = F.col("_row")
     for number, at in first.items():
         slot = F.when((F.col("_heavy") < 0) & (F.col("shard") == number), F.col("_row") - F.lit(at) + F.lit(at_row[number])).otherwise(slot)
-    return placed.select("doc_id", *keep, "size", "text_crc32", "shard", slot.alias("slot"))
+    return placed.select("doc_id", *(["_in"] if whole else []), "size", "text_crc32", "shard", slot.alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
-    """Write docs under path/shard=N, each shard by slot; every column is kept. A shard is written by several tasks."""
-    keep = tuple(c for c in docs.columns if c != "doc_id")
-    out = shard(docs.withColumnsRenamed({c: f"_in_{c}" for c in ("size", "text_crc32", "shard", "slot") if c in keep}), shards, tuple(f"_in_{c}" if c in ("size", "text_crc32", "shard", "slot") else c for c in keep))
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write docs under path/_shard=N with all columns and _slot, each file in the order of
+    slots. A shard is written by several tasks."""
+    out = shard(docs, shards, whole=True).select(F.col("shard").alias("_shard"), F.col("slot").alias("_slot"), "_in.*")
+    out.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
