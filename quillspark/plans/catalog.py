@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import timelines
+from quillspark.plans import reviews, timelines
 
-MODULES = (timelines,)
+MODULES = (timelines, reviews)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
