@@ -6,11 +6,13 @@ equal sets form one class, and only a class's first document goes on. Classes th
 band are candidates: signatures are compared first, then the full sets confirm a link.
 A pair at the bound of 0.8 is missed with probability (1 - 0.8**5)**32, about 3 in a million.
 
-Candidates within a band's bucket are never all paired. In each round a bucket's pivot, its
-least document, is tested against the bucket's documents of other components, and leaves the
-bucket; components are found, and buckets of one component are done. So a bucket of n
-documents that are alike costs n tests. Buckets that still hold several components after
-ROUNDS rounds are tested in blocks, whole, only across components.
+Candidates within a band's bucket are never all paired. In each round a bucket's pivot is
+tested against the bucket's documents of other components, and leaves the bucket; components
+are found, and buckets of one component are done. The first pivot is the least document, the
+same in all buckets of a group; later ones go by a hash, so that a document meets others in
+every bucket it is in. So a bucket of n documents that are alike costs n tests a round.
+Buckets that still hold several components after ROUNDS rounds are tested in blocks, whole,
+only across components, and a pair only in the first band that it shares.
 
 Defined results: null and empty texts have no shingles and link with nothing; fewer than k
 words are one shingle; rows of one doc_id count as one document; rows without doc_id are
@@ -34,7 +36,7 @@ from quillspark.llm.components import components
 BANDS, ROWS, SEED = 32, 5, 2024
 #: A signature is compared first: fewer equal minima than this share (five standard deviations below 0.8) can't be a link.
 SURE = 0.64
-ROUNDS, BLOCK = 5, 64
+ROUNDS, BLOCK = 3, 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.default_rng(SEED)
 BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -124,7 +126,7 @@ def sketched(docs: DataFrame, near: Near) -> DataFrame:
 def _banded(reps: DataFrame) -> DataFrame:
     width = ROWS * 4
     each = F.array(*[F.xxhash64(F.substring("sig", width * b + 1, width), F.lit(b)) for b in range(BANDS)])
-    return reps.select("node", F.explode(each).alias("bucket"))
+    return reps.select("node", F.posexplode(each).alias("band", "bucket"))
 
 
 def _alike(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -170,22 +172,32 @@ def _in_blocks(rest: DataFrame, reps: DataFrame) -> DataFrame:
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rest.join(sized, "bucket").join(reps.select("node", "sig"), "node").withColumn("own", mine)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "component", "sig")
+    rows = rows.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "band", "own", "node", "component", "sig")
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf.sig), "<u4").reshape(len(pdf), -1)
+        sig = np.frombuffer(b"".join(pdf.sig), "<u4").reshape(len(pdf), BANDS, ROWS)
         node, part, own = pdf.node.to_numpy(), pdf.component.to_numpy(), pdf.own.to_numpy()
-        found = []
+        band, inner, found = int(pdf.band.iloc[0]), pdf.p.iloc[0] == pdf.q.iloc[0], []
         for i in range(len(pdf)):
-            other = (part != part[i]) & (node > node[i]) & ((own != own[i]) | (pdf.p.iloc[0] == pdf.q.iloc[0]))
-            j = np.flatnonzero(other)
-            j = j[(sig[j] == sig[i]).mean(1) >= SURE]
-            found += [(int(node[i]), int(node[k])) for k in j]
+            j = np.flatnonzero((part != part[i]) & (node > node[i]) & (inner | (own != own[i])))
+            same = sig[j] == sig[i]
+            # In an earlier band's bucket the pair is tested there, or was when one of them was its pivot.
+            keep = (same.mean((1, 2)) >= SURE) & (same.all(2).argmax(1) == band)
+            found += [(int(node[i]), int(node[k])) for k in j[keep]]
         return pd.DataFrame(found, columns=["x", "y"]).astype("int64")
 
     return rows.groupBy("bucket", "p", "q").applyInPandas(pairs, "x long, y long").distinct()
 
 
+def _joined(found: DataFrame, links: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """found (node, component) after more links: only components that a link joins are worked on."""
+    u = found.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+    v = found.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+    between = links.join(u, "u").join(v, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    new = components(between, space, name).select(F.col("node").alias("component"), F.col("component").alias("_to"))
+    return found.join(new, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+
+
 def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable over links) and kept
     (whether that is its own) of every row."""
@@ -199,37 +211,31 @@ def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:
     # A bucket of one row is no candidate; what is left is a fraction of all rows.
     banded = _banded(shared).distinct()
     full = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    left = space.keep(banded.join(full, "bucket"), "buckets-0").select("bucket", "node")
+    left = space.keep(banded.join(full, "bucket").select("band", "bucket", "node"), "buckets-0")
     nodes = left.select("node").distinct()
     reps = space.keep(shared.join(nodes, "node", "left_semi"), "reps")
     texts = space.keep(docs.select(F.col("doc_id").cast("long").alias("node"), F.encode(whole_text(), "UTF-8").alias("text")).join(nodes, "node", "left_semi"), "texts")
-    links, at = None, 0
-    found = None
-    while True:
+    found = nodes.select("node", F.col("node").alias("component"))
+    for at in range(ROUNDS + 1):
+        known = left.join(found, "node")
         if at < ROUNDS:
-            pivots = left.groupBy("bucket").agg(F.min("node").alias("y"))
-            known = left if found is None else left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            against = known.join(pivots, "bucket").where("node <> y")
-            if found is not None:
-                mine = found.select(F.col("node").alias("y"), F.col("component").alias("cy"))
-                against = against.join(mine, "y", "left").where(F.col("component") != F.coalesce("cy", "y"))
-            pairs = against.select(F.col("node").alias("x"), "y").distinct()
+            turn = F.struct((F.xxhash64("node", "bucket", F.lit(at)) if at else F.lit(0).cast("long")).alias("turn"), F.col("node").alias("y"), F.col("component").alias("cy"))
+            pivots = known.groupBy("bucket").agg(F.min(turn).alias("pivot")).select("bucket", "pivot.y", "pivot.cy")
+            rows = space.keep(known.join(pivots, "bucket").where("node <> y"), f"rows-{at}")
+            pairs = rows.where("component <> cy").select(F.col("node").alias("x"), "y").distinct()
         else:
-            known = left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
             pairs = _in_blocks(known, reps)
         pairs = space.keep(_alike(pairs, reps), f"pairs-{at}")
-        more = space.keep(_confirmed(pairs, texts, near), f"links-{at}")
-        if not more.isEmpty() or links is None:
-            links = more if links is None else links.unionByName(more)
-            found = space.keep(components(links, space, f"parts-{at}"), f"found-{at}")
-        if at >= ROUNDS:
+        links = space.keep(_confirmed(pairs, texts, near), f"links-{at}")
+        if not links.isEmpty():
+            found = space.keep(_joined(found, links, space, f"parts-{at}"), f"found-{at}")
+        if at == ROUNDS:
             break
         # The pivot has met all others; buckets whose rest is one component are done.
-        rest = left.join(left.groupBy("bucket").agg(F.min("node").alias("y")), "bucket").where("node <> y").select("bucket", "node")
-        rest = rest.join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        rest = rows.select("band", "bucket", "node").join(found, "node")
         mixed = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-        at += 1
-        left = space.keep(rest.join(mixed, "bucket", "left_semi"), f"buckets-{at}").select("bucket", "node")
+        left = space.keep(rest.select("band", "bucket", "node").join(mixed, "bucket", "left_semi"), f"buckets-{at + 1}")
+        space.drop(f"rows-{at}")
         if left.isEmpty():
             break
     part = F.coalesce("component", F.col("own.node"), "doc_id")
