@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import reviews, timelines
+from quillspark.plans import operational, reviews, timelines
 
-MODULES = (timelines, reviews)
+MODULES = (timelines, reviews, operational)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
