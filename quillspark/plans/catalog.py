@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import operational, reviews, timelines
+from quillspark.plans import operational, reviews, shapes, timelines
 
-MODULES = (timelines, reviews, operational)
+MODULES = (timelines, reviews, operational, shapes)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
