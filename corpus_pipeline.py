@@ -49,10 +49,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Findings are joined back by blob, and only those of texts that have any."""
     versions = docs.select(whole_text().alias("text"), F.struct(*docs.columns).alias("_row"))
-    addressed = secret_ledger.address(versions)
-    _, findings = secret_ledger.update(versions)
-    found = secret_ledger.by_path(addressed, findings)
-    text = F.when(F.size("findings") > 0, secret_ledger.redact(F.col("text"), F.col("findings"))).otherwise(F.col("_row.text"))
+    _, findings = secret_ledger.update(versions.select("text"))
+    found = secret_ledger.by_path(secret_ledger.address(versions).drop("text"), findings)
+    text = F.when(F.size("findings") > 0, secret_ledger.redact(F.col("_row.text"), F.col("findings"))).otherwise(F.col("_row.text"))
     return _resized(found.select(*[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns]))
 
 
