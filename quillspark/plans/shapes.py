@@ -183,7 +183,8 @@ def snk_01_guarded_csv(spark, sf):
 
 @query("pii_redacted_secrets", None)
 def pii_redacted_secrets(spark, sf):
-    return tables.table(spark, sf, "documents").select("doc_id", shaping.redacted(F.col("text")).alias("text")).where(F.contains("text", F.lit("[redacted"))).select("doc_id", F.length("text").alias("n"))
+    d = tables.table(spark, sf, "documents").select("doc_id", "text", shaping.redacted(F.col("text")).alias("clean"))
+    return d.select("doc_id", (F.col("clean") != F.col("text")).alias("changed"), F.length("clean").alias("n"))
 
 
 _KEYS = "keys AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'audit/2024/01/0' || (event_id % 9 + 1) || '/rotated-audit-' || user_id || '-' || event_id || '-0123456789ab.jsonl' WHEN 1 THEN 'audit/2024/02/03/live-a.log-g' || (event_id % 9) || 'f-' || event_id || '-' || (event_id + user_id) || '-ba9876543210.jsonl' ELSE 'other/' || event_id END AS key FROM events)"
