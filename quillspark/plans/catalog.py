@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import links, operational, reviews, shapes, timelines
+from quillspark.plans import links, operational, reports, reviews, shapes, timelines
 
-MODULES = (timelines, reviews, operational, shapes, links)
+MODULES = (timelines, reviews, operational, shapes, links, reports)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
