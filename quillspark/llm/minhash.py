@@ -11,8 +11,10 @@ tested against the bucket's documents of other components, and leaves the bucket
 are found, and buckets of one component are done. The first pivot is the least document, the
 same in all buckets of a group; later ones go by a hash, so that a document meets others in
 every bucket it is in. So a bucket of n documents that are alike costs n tests a round.
-Buckets that still hold several components after ROUNDS rounds are tested in blocks, whole,
-only across components, and a pair only in the first band that it shares.
+What still shares a bucket with another component after ROUNDS rounds is gathered in clusters
+(components over shared buckets), and every pair of a cluster's blocks is one group: its pairs
+of different components are compared in memory, by signature and then by full set, and only
+links that join two components come out.
 
 Defined results: null and empty texts have no shingles and link with nothing; fewer than k
 words are one shingle; rows of one doc_id count as one document; rows without doc_id are
@@ -36,7 +38,7 @@ from quillspark.llm.components import components
 BANDS, ROWS, SEED = 32, 5, 2024
 #: A signature is compared first: fewer equal minima than this share (five standard deviations below 0.8) can't be a link.
 SURE = 0.64
-ROUNDS, BLOCK = 3, 64
+ROUNDS, BLOCK = 2, 1024
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.default_rng(SEED)
 BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -164,29 +166,45 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
     return joined.mapInArrow(run, "u long, v long")
 
 
-def _in_blocks(rest: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (x, y) of different components in one bucket whose signatures agree: what the
-    rounds left. Rows (bucket, node, component) are dealt to blocks of about BLOCK, and each
-    pair of a bucket's blocks is one group, compared in memory."""
-    sized = rest.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rest.join(sized, "bucket").join(reps.select("node", "sig"), "node").withColumn("own", mine)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "band", "own", "node", "component", "sig")
-
-    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf.sig), "<u4").reshape(len(pdf), BANDS, ROWS)
-        node, part, own = pdf.node.to_numpy(), pdf.component.to_numpy(), pdf.own.to_numpy()
-        band, inner, found = int(pdf.band.iloc[0]), pdf.p.iloc[0] == pdf.q.iloc[0], []
-        for i in range(len(pdf)):
-            j = np.flatnonzero((part != part[i]) & (node > node[i]) & (inner | (own != own[i])))
-            same = sig[j] == sig[i]
-            # In an earlier band's bucket the pair is tested there, or was when one of them was its pivot.
-            keep = (same.mean((1, 2)) >= SURE) & (same.all(2).argmax(1) == band)
-            found += [(int(node[i]), int(node[k])) for k in j[keep]]
-        return pd.DataFrame(found, columns=["x", "y"]).astype("int64")
-
-    return rows.groupBy("bucket", "p", "q").applyInPandas(pairs, "x long, y long").distinct()
+def _shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of others, sorted sets, has in common with own."""
+    x = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, x), len(own) - 1)
+    sizes = np.array([len(o) for o in others])
+    return np.add.reduceat((own[at] == x).astype(np.int64), np.cumsum(sizes) - sizes)
+
+
+def _in_blocks(rest: DataFrame, reps: DataFrame, texts: DataFrame, near: Near, space: Workspace) -> DataFrame:
+    """Links (u, v) between components that share a bucket in rest (bucket, node, component):
+    all that it takes to join them. A group holds two blocks of one cluster."""
+    first = rest.groupBy("bucket").agg(F.min("node").alias("v"))
+    cluster = components(rest.join(first, "bucket").select(F.col("node").alias("u"), "v"), space, "clusters").withColumnRenamed("component", "cluster")
+    rows = space.keep(rest.select("node", "component").distinct().join(cluster, "node"), "clustered")
+    sized = rows.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    rows = rows.join(sized, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.join(reps, "node").join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "component", "sig", "text")
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", ignore_index=True)
+        sig = np.frombuffer(b"".join(pdf.sig), "<u4").reshape(len(pdf), -1)
+        node, own, inner = pdf.node.to_numpy(), pdf.own.to_numpy(), pdf.p.iloc[0] == pdf.q.iloc[0]
+        _, part = np.unique(pdf.component.to_numpy(), return_inverse=True)
+        sets, found = shingles(list(pdf.text), near.words), []
+        sizes = np.array([len(s) for s in sets])
+        for i in range(len(pdf) - 1):
+            j = np.flatnonzero((part != part[i]) & (np.arange(len(pdf)) > i) & (inner | (own != own[i])))
+            j = j[(sig[j] == sig[i]).mean(1) >= SURE] if len(j) else j
+            if not len(j):
+                continue
+            both = _shared(sets[i], [sets[k] for k in j])
+            for k in j[100 * both >= near.percent * (sizes[i] + sizes[j] - both)]:
+                if part[k] != part[i]:
+                    part[part == part[k]] = part[i]
+                    found.append((int(node[i]), int(node[k])))
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+    return rows.groupBy("cluster", "p", "q").applyInPandas(links, "u long, v long")
 
 
 def _joined(found: DataFrame, links: DataFrame, space: Workspace, name: str) -> DataFrame:
@@ -223,10 +241,10 @@ def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:
             pivots = known.groupBy("bucket").agg(F.min(turn).alias("pivot")).select("bucket", "pivot.y", "pivot.cy")
             rows = space.keep(known.join(pivots, "bucket").where("node <> y"), f"rows-{at}")
             pairs = rows.where("component <> cy").select(F.col("node").alias("x"), "y").distinct()
+            pairs = space.keep(_alike(pairs, reps), f"pairs-{at}")
+            links = space.keep(_confirmed(pairs, texts, near), f"links-{at}")
         else:
-            pairs = _in_blocks(known, reps)
-        pairs = space.keep(_alike(pairs, reps), f"pairs-{at}")
-        links = space.keep(_confirmed(pairs, texts, near), f"links-{at}")
+            links = space.keep(_in_blocks(known, reps, texts, near, space), f"links-{at}")
         if not links.isEmpty():
             found = space.keep(_joined(found, links, space, f"parts-{at}"), f"found-{at}")
         if at == ROUNDS:
@@ -236,6 +254,7 @@ def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:
         mixed = rest.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
         left = space.keep(rest.select("band", "bucket", "node").join(mixed, "bucket", "left_semi"), f"buckets-{at + 1}")
         space.drop(f"rows-{at}")
+        space.release()
         if left.isEmpty():
             break
     part = F.coalesce("component", F.col("own.node"), "doc_id")
