@@ -96,7 +96,7 @@ STEP = np.uint64(0x100000001B3)
 class WordBpe:
     """One vocabulary with its merges, and bounded caches of words and pairs."""
 
-    def __init__(self, spec: dict, most_runs: int = 300_000):
+    def __init__(self, spec: dict, most_runs: int = 100_000):
         model = spec["model"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -396,7 +396,7 @@ def encode(docs: DataFrame, path: str | None = None, keys: tuple[str, ...] = ("d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path or default_path())
-        for batch in slices(batches, "text", 6 << 20):
+        for batch in slices(batches, "text", 3 << 19):
             got = bpe.encode(batch.column("text").to_pylist())
             columns = [batch.column(f.name) for f in fields] + [
                 pa.array([len(i) // 4 for i, _ in got], pa.int64()),
