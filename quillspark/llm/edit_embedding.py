@@ -29,12 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table, whole_text
+from quillspark.llm.common import Workspace, table, whole_text
+from quillspark.llm.components import components
 
 #: Random bits repeat after PERIOD steps. The first octave is steps 0 to 2**BASE - 1.
 PERIOD, BASE, SAMPLES, CONTEXT, SEED = 4096, 6, 64, 4, 11
-#: Samples that a band reads, and bands an octave.
-ROWS, MOST_STEPS_BITS = 8, 62
+#: Samples that a band reads.
+ROWS = 8
+#: Fingerprints that are compared with as many others in one group.
+BLOCK = 512
 #: Texts walked side by side, by total length.
 AT_ONCE = 1_500_000
 
@@ -149,24 +152,44 @@ def fingerprints(texts: list[str]) -> list[bytes]:
     return [sketch(p, left) for p, left in zip(points, walk(points, [0] * len(points)), strict=True)]
 
 
-def near_pairs(docs: DataFrame, least: float = 0.8, keys: str = "doc_id") -> DataFrame:
-    """a, b (a < b) and near, for rows whose fingerprints share a band and agree to at least
-    least. Rows of one fingerprint are taken together: each is paired with the first of them,
-    and that one with the first of other fingerprints; so pairs grow with the rows of a band
-    times its different fingerprints' first rows, and not with copies."""
-    own = docs.select(F.col(keys).cast("long").alias("id"), fingerprint_of(whole_text()).alias("print"))
-    groups = own.groupBy("print").agg(F.min("id").alias("a"))
-    copies = own.join(groups, "print").where(F.col("id") > F.col("a")).select("a", F.col("id").alias("b"), F.lit(1.0).alias("near"))
-
-    @F.udf("array<struct<band:int,hash:long>>")
-    def banded(p: str) -> list[tuple[int, int]]:
-        return bands(bytes.fromhex(p))
-
-    rows = groups.select("a", "print", F.explode(banded("print")).alias("x")).select("a", "print", "x.band", "x.hash")
-    head = rows.groupBy("band", "hash").agg(F.min(F.struct("a", "print")).alias("head"))
-    linked = rows.join(head, ["band", "hash"]).where(F.col("a") > F.col("head.a"))
-    linked = linked.groupBy(F.col("head.a").alias("a"), F.col("a").alias("b")).agg(F.any_value("head.print").alias("x"), F.any_value("print").alias("y"))
-    return linked.select("a", "b", likeness_of("x", "y").alias("near")).where(F.col("near") >= least).unionByName(copies)
+def near_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """doc_id and component_id (the least doc_id reachable) of every row: texts are linked
+    whose fingerprints share a band and agree to at least least. Rows of one fingerprint are
+    one class. Classes that share bands form clusters, and every pair of a cluster's blocks is
+    compared in memory, whole; only links that join two components come out. Rows without
+    doc_id are linked with nothing."""
+    space = Workspace(docs.sparkSession, "embedding")
+    own = space.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_of(whole_text()).alias("print")), "own")
+    classes = own.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"))
+
+    @F.udf("array<long>")
+    def banded(p: str) -> list[int]:
+        return [k << 56 ^ h for k, h in bands(bytes.fromhex(p))]
+
+    rows = classes.select("node", F.explode(banded("print")).alias("bucket"))
+    first = rows.groupBy("bucket").agg(F.min("node").alias("v"))
+    cluster = components(rows.join(first, "bucket").select(F.col("node").alias("u"), "v"), space, "clusters").withColumnRenamed("component", "cluster")
+    rows = space.keep(classes.join(cluster, "node"), "clustered")
+    sized = rows.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    rows = rows.join(sized, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "print")
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", ignore_index=True)
+        node, part, side = pdf.node.tolist(), np.arange(len(pdf)), pdf.own.to_numpy()
+        inner, found = pdf.p.iloc[0] == pdf.q.iloc[0], []
+        prints = [bytes.fromhex(p) for p in pdf["print"]]
+        held = [set(bands(p)) for p in prints]
+        for i in range(len(pdf) - 1):
+            for j in np.flatnonzero((part != part[i]) & (np.arange(len(pdf)) > i) & (inner | (side != side[i]))).tolist():
+                if part[j] != part[i] and not held[i].isdisjoint(held[j]) and likeness(prints[i], prints[j]) >= least:
+                    part[part == part[j]] = part[i]
+                    found.append((node[i], node[j]))
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+    joined = components(rows.groupBy("cluster", "p", "q").applyInPandas(links, "u long, v long"), space, "parts")
+    out = own.join(classes, "print", "left").join(joined, "node", "left")
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
 
 
 def fingerprint_of(text: Column) -> Column:

@@ -364,12 +364,16 @@ def test_fingerprints_on_odd_rows(odd, none):
     assert rows(edit_embedding.described(none)) == []
 
 
-def test_near_pairs_have_near_texts(spark):
+def test_groups_of_near_fingerprints(spark, odd, none, monkeypatch):
     rng = random.Random(2)
     text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
-    docs = [(1, text), (2, text), (3, text[:2900] + "changed"), (4, "".join(rng.choice("abcdefgh ") for _ in range(3000))), (5, None)]
-    found = {(r["a"], r["b"]) for r in rows(edit_embedding.near_pairs(spark.createDataFrame(docs, "doc_id long, text string")))}
-    assert found == {(1, 2), (1, 3)}
+    docs = [(1, text), (2, text), (3, text[:2900] + "changed"), (4, "".join(rng.choice("abcdefgh ") for _ in range(3000))), (5, None), (6, text[:2800] + "other words"), (7, "")]
+    for block in (512, 2):
+        monkeypatch.setattr(edit_embedding, "BLOCK", block)
+        found = {r["doc_id"]: r["component_id"] for r in rows(edit_embedding.near_groups(spark.createDataFrame(docs, "doc_id long, text string")))}
+        assert found == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 1, 7: 5}
+    assert len(rows(edit_embedding.near_groups(odd))) == odd.count()
+    assert rows(edit_embedding.near_groups(none)) == []
 
 
 # ---------------------------------------------------------------- op8
