@@ -35,6 +35,17 @@ def join_06_restored_citations(spark, sf):
     return linking.restored(f.where("seq % 10 = 0").select(F.col("seq").alias("id"), "date", "description"), f)
 
 
+@query(
+    "join_06_all_restored_citations",
+    """SELECT seq AS id, coalesce(e.arg, l.arg) AS source FROM facts f LEFT JOIN (SELECT date, description, arg_min(source, seq) AS arg FROM facts GROUP BY 1, 2) e USING (date, description)
+      LEFT JOIN (SELECT description, arg_min(source, seq) AS arg FROM facts GROUP BY 1) l USING (description)""",
+    F_,
+)
+def join_06_all_restored_citations(spark, sf):
+    f = tables.facts(spark, sf)
+    return linking.restored(f.select(F.col("seq").alias("id"), "date", "description"), f)
+
+
 @query(
     "join_09_topics",
     """SELECT DISTINCT case_id, topic FROM (SELECT o_custkey AS case_id, unnest(CASE o_orderpriority WHEN '1-URGENT' THEN ['A', 'D'] WHEN '2-HIGH' THEN ['F'] ELSE ['A', 'G', 'K'] END) AS topic FROM orders
@@ -135,6 +146,19 @@ def ded_07_padded(spark, sf):
     return linking.padded(own, more, "case_id")
 
 
+@query(
+    "ded_07_all_padded",
+    """WITH own AS (SELECT o_custkey AS case_id, o_orderpriority AS title, min(o_orderkey) AS seq FROM orders GROUP BY ALL),
+      al AS (SELECT case_id, title, 0 AS kind, seq FROM own UNION ALL SELECT case_id, t, 1, i FROM (SELECT DISTINCT case_id FROM own), (VALUES ('2-HIGH', 1), ('read it aloud', 2), ('add dates', 3)) v(t, i)),
+      f AS (SELECT case_id, title, min({'k': kind, 's': seq}) AS o FROM al GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY o, title) AS place FROM f)
+      SELECT case_id, title, CAST(place AS INTEGER) AS place FROM p WHERE (o.k = 0 AND place <= 5) OR (o.k = 1 AND place <= 3)""",
+)
+def ded_07_all_padded(spark, sf):
+    own = tables.table(spark, sf, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderkey").alias("seq"))
+    more = spark.createDataFrame([("2-HIGH", 1), ("read it aloud", 2), ("add dates", 3)], "title string, seq long")
+    return linking.padded(own, more, "case_id")
+
+
 @query(
     "ded_08_merged_states",
     "SELECT lang, CAST(sum(r) AS BIGINT) AS readable, count(*) AS parts, array_to_string(list_sort(list_distinct(flatten(list(c)))), ',') AS conditions, round_even(sum(r) / sum(t)::DOUBLE, 4) AS coverage FROM (SELECT lang, source, count(*) FILTER (n_chars > 200) AS r, count(*) AS t, [source, lang] AS c FROM documents GROUP BY 1, 2) GROUP BY 1",
