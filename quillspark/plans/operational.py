@@ -142,6 +142,19 @@ def join_15_interval_tokens(spark, sf):
     return tables.usage(spark, sf).where("seq > 0 and seq <= 10000").groupBy(F.floor((F.col("seq") - 1) / 500).alias("bucket")).agg(F.sum("prompt_tokens").alias("prompt"))
 
 
+@query(
+    "join_15_all_interval_tokens",
+    """SELECT k AS bucket, CAST(sum(prompt_tokens) AS BIGINT) AS prompt FROM usage JOIN (SELECT k, first - 1 + k * 500 AS low, first + 499 + k * 500 AS high FROM (
+      SELECT first, unnest(range((last - first) // 500 + 1)) AS k FROM (SELECT min(seq) AS first, max(seq) AS last FROM usage))) b ON seq > low AND seq <= high GROUP BY 1""",
+    U,
+)
+def join_15_all_interval_tokens(spark, sf):
+    # The intervals start at the table's own first seq and go on to its last.
+    u = tables.usage(spark, sf)
+    from_first = u.crossJoin(F.broadcast(u.agg(F.min("seq").alias("first")))).withColumn("bucket", F.floor((F.col("seq") - F.col("first")) / 500))
+    return from_first.groupBy("bucket").agg(F.sum("prompt_tokens").alias("prompt"))
+
+
 @query(
     "join_17_completeness",
     "SELECT s.source AS source, l.lang AS lang, count(d.doc_id) AS n FROM (SELECT DISTINCT source FROM documents) s CROSS JOIN (SELECT DISTINCT lang FROM documents) l LEFT JOIN documents d ON d.source = s.source AND d.lang = l.lang GROUP BY 1, 2 HAVING count(d.doc_id) < 6",

@@ -38,3 +38,13 @@ def test_titles_of_every_order_are_padded(spark, orders):
         wanted |= {(case, t, k) for k, t in enumerate((own + more)[: max(3, min(5, len(own)))], 1)}
     got = QUERIES["ded_07_all_padded"](spark, sf).collect()
     assert {(r.case_id, r.title, r.place) for r in got} == wanted and len(got) == len(wanted)
+
+
+def test_every_event_falls_into_an_interval(spark, tmp_path):
+    ids = [0, 1, 499, 500, 501, 9_999, 10_000, 10_001, 25_000]
+    rows = [(k, datetime.datetime(2024, 1, 1), 1, "view", 0.1 * n) for n, k in enumerate(ids, 1)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    wanted = {}
+    for n, k in enumerate(ids, 1):
+        wanted[k // 500] = wanted.get(k // 500, 0) + int(0.1 * n * 10)
+    assert {r.bucket: r.prompt for r in QUERIES["join_15_all_interval_tokens"](spark, str(tmp_path)).collect()} == wanted
