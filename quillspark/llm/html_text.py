@@ -5,8 +5,10 @@ A line's ratio is its characters outside links over its tags, 0 inside elements
 name themselves as menus, adverts and the like. The ratios are smoothed with a Gaussian
 over neighbouring lines and clustered by a threshold (two means of their logarithms).
 The content region is the deepest element that holds nearly all text of the upper
-cluster; all of its lines are the main text, except those in elements that say they are
-something else, or that consist of links in a list of links.
+cluster, widened to the outermost article or main around it, or else to its highest
+ancestor that adds no line of an element that says it is something else. All of its lines
+are the main text, except those in elements that say they are something else, or, outside
+article and main, that consist of links in a list of links.
 
 Defined results: null or empty html, and pages without text, give an empty text; broken
 markup is read as the parser reads it; equal html gives equal text. One row in, one out.
@@ -57,6 +59,7 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.elements: list[tuple[str, int, bool, bool]] = []  # name, number, shut out, article
         self.lines: list[list] = []
+        self.articles: set[int] = set()
         self.count = self.links = 0
         self._new()
 
@@ -94,6 +97,8 @@ class Lines(HTMLParser):
             self.count += 1
             shut = bool(self.elements) and self.elements[-1][2] or self._shuts(tag, attrs)
             self.elements.append((tag, self.count, shut, tag in ("article", "main")))
+            if self.elements[-1][3]:
+                self.articles.add(self.count)
             self.links += tag == "a"
         if tag in BLOCKS or bool(self.elements) and self.elements[-1][2] != self.lines[-1][4]:
             self._new()
@@ -178,11 +183,20 @@ def blocks(html: str) -> list[str]:
     # Numbers grow inwards, so the greatest is the deepest. A single paragraph is no region of its own.
     roots = {n for x in lines for n in x[3][:-1]}
     region = max((n for n, size in held.items() if size >= REGION * most and n in roots), default=None)
+    named = False
+    if region is not None:
+        path = next(x[3] for x in lines if region in x[3])
+        above = path[: path.index(region) + 1]
+        article = next((n for n in above if n in parser.articles), None)
+        named = article is not None
+        # A line shut out beside the region leaves its path at some depth; ancestors down to there hold it.
+        apart = (next(k for k, n in enumerate(above) if x[3][k : k + 1] != (n,)) for x in lines if x[4] and region not in x[3])
+        region = article if named else above[max(apart, default=0)]
     out = []
     for text, links, _, path, shut in lines:
         if shut or region is not None and region not in path:
             continue
-        if links >= 0.9 * len(text) and sum(x[1] >= 0.9 * len(x[0]) for x in lines if x[3][:-2] == path[:-2]) >= 3:
+        if not named and links >= 0.9 * len(text) and sum(x[1] >= 0.9 * len(x[0]) for x in lines if x[3][:-2] == path[:-2]) >= 3:
             continue
         out.append(text)
     return out

@@ -408,6 +408,20 @@ def test_main_text_of_small_pages(page, wanted):
     assert html_text.blocks(page) == wanted
 
 
+@pytest.mark.parametrize(
+    ("page", "wanted"),
+    [
+        ("<nav>menu</nav><article><h1>T</h1><p>Lead</p><section><p>{0}</p><p>{0}</p></section></article><footer>f</footer>", ["T", "Lead", "{0}", "{0}"]),
+        ("<main><h1>T</h1><article><p>By</p><div><p>{0}</p><p>{0}</p></div><ul><li><a href=a>Ref one</a><li><a href=b>Ref two</a><li><a href=c>Ref three</a></ul></article></main>", ["T", "By", "{0}", "{0}", "Ref one", "Ref two", "Ref three"]),
+        ("<article><p>Lead</p><div class=related><p>Else</p></div><section><p>{0}</p><p>{0}</p></section></article>", ["Lead", "{0}", "{0}"]),
+        ("<nav>menu</nav><div><h1>T</h1><div><p>Lead</p><div><p>{0}</p><p>{0}</p></div></div></div><footer>f</footer>", ["T", "Lead", "{0}", "{0}"]),
+    ],
+)
+def test_main_text_of_wrapped_bodies(page, wanted):
+    long = "A long paragraph that makes the article what it is, with many more words than the lead has. " * 4
+    assert html_text.blocks(page.format(long)) == [w.format(long.strip()) for w in wanted]
+
+
 def test_pages_with_nulls(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "y"), (None, "u", "<p>t</p>", "z")], "page_id long, url string, html string, text string")
     assert [(r["text"], r["n_chars"]) for r in rows(html_text.extract(df))] == [("", 0), ("", 0), ("t", 1)]
