@@ -24,6 +24,11 @@ def txt_12_highlighted(spark, sf):
     return p.select("para_seq", reporting.highlighted(F.col("text"), ["the", "a"]).alias("text"))
 
 
+@query("txt_12_all_highlighted")
+def txt_12_all_highlighted(spark, sf):
+    return tables.paragraphs(spark, sf).select("para_seq", reporting.highlighted(F.col("text"), ["the", "a"]).alias("text"))
+
+
 @query("txt_17_exports", "SELECT doc_id, regexp_matches(substr(text, 1, 8000), '\\bthe\\b') AND (regexp_matches(substr(text, 1, 8000), '\\bof\\b') OR source = 'src1') AS export FROM documents")
 def txt_17_exports(spark, sf):
     return tables.table(spark, sf, "documents").select("doc_id", reporting.is_export(F.substring("text", 1, 8000), F.col("source"), r"\bthe\b", r"\bof\b", "^src1$").alias("export"))
@@ -67,12 +72,26 @@ def str_09_ledger(spark, sf):
     return reporting.ledger(e, 500)
 
 
-@query("pred_06_rejections", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'too short' WHEN doc_id % 3 = 1 THEN 'placeholder lost' ELSE '' END AS reason FROM documents WHERE n_chars > 500")
-def pred_06_rejections(spark, sf):
+def _rejections(documents):
     before = F.concat(F.lit("# Head\n[Confirm date] "), "text")
     k = F.col("doc_id") % 3
     after = F.when(k == 0, "# Head").when(k == 1, F.replace(before, F.lit("[Confirm date]"), F.lit("May"))).otherwise(before)
-    return tables.table(spark, sf, "documents").where("n_chars > 500").select("doc_id", reporting.rejected(before, after).alias("reason"))
+    return documents.select("doc_id", reporting.rejected(before, after).alias("reason"))
+
+
+@query("pred_06_rejections", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'too short' WHEN doc_id % 3 = 1 THEN 'placeholder lost' ELSE '' END AS reason FROM documents WHERE n_chars > 500")
+def pred_06_rejections(spark, sf):
+    return _rejections(tables.table(spark, sf, "documents").where("n_chars > 500"))
+
+
+@query(
+    "pred_06_all_rejections",
+    """SELECT doc_id, CASE WHEN length(after) < greatest(200, floor(length(before) * 0.4)) THEN 'too short' WHEN doc_id % 3 = 1 THEN 'placeholder lost' ELSE '' END AS reason FROM (
+      SELECT doc_id, before, CASE doc_id % 3 WHEN 0 THEN '# Head' WHEN 1 THEN replace(before, '[Confirm date]', 'May') ELSE before END AS after FROM (
+        SELECT doc_id, '# Head' || chr(10) || '[Confirm date] ' || text AS before FROM documents))""",
+)
+def pred_06_all_rejections(spark, sf):
+    return _rejections(tables.table(spark, sf, "documents"))
 
 
 QUERIES, SQL = query.queries, query.sql

@@ -23,7 +23,7 @@ def txt_01_clean_text(spark, sf):
 @query("src_05_dehyphenate", r"SELECT doc_id, regexp_replace(replace(text, 'in ', 'in-' || chr(10)), '([A-Za-z])-\n([a-z])', '\1\2', 'g') AS text FROM documents WHERE NOT regexp_matches(replace(text, 'in ', 'in-' || chr(10)), '-\n[a-z]-\n')")
 def src_05_dehyphenate(spark, sf):
     broken = F.replace("text", F.lit("in "), F.lit("in-\n"))
-    return tables.table(spark, sf, "documents").where(~broken.rlike(r"-\n[a-z]-\n")).select("doc_id", shaping.dehyphenate(broken).alias("text"))
+    return tables.table(spark, sf, "documents").select("doc_id", shaping.dehyphenate(broken).alias("text"))
 
 
 @query(

@@ -1,6 +1,7 @@
 """Queries over all rows of small tables, against plain Python."""
 
 import datetime
+import re
 
 import pytest
 
@@ -48,3 +49,26 @@ def test_every_event_falls_into_an_interval(spark, tmp_path):
     for n, k in enumerate(ids, 1):
         wanted[k // 500] = wanted.get(k // 500, 0) + int(0.1 * n * 10)
     assert {r.bucket: r.prompt for r in QUERIES["join_15_all_interval_tokens"](spark, str(tmp_path)).collect()} == wanted
+
+
+def documents(spark, path, texts):
+    rows = [(k, t, "de", "src1", len(t)) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_texts_of_any_letters_and_lengths(spark, tmp_path):
+    texts = ["Über the Straße\néthe the1 (THE) the_x", "plain the", "x-\na-\nb in c-\nD É-\ne", "é" * 170, "e" * 170, "word " * 40, "y" * 600, "z" * 600, "w" * 600]
+    sf = documents(spark, tmp_path, texts)
+    lit = {k * 100_000 + n: re.sub(r"(?i)\b(the)\b", r"**\1**", p) for k, t in enumerate(texts) for n, p in enumerate(map(str.strip, t.split("\n")), 1) if p}
+    assert {r.para_seq: r.text for r in QUERIES["txt_12_all_highlighted"](spark, sf).collect()} == lit
+    joined = {k: re.sub(r"(?<=[A-Za-z])-\n(?=[a-z])", "", t.replace("in ", "in-\n")) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.text for r in QUERIES["src_05_dehyphenate"](spark, sf).collect()} == joined
+    reasons = {}
+    for k, t in enumerate(texts):
+        before = f"# Head\n[Confirm date] {t}"
+        after = ["# Head", before.replace("[Confirm date]", "May"), before][k % 3]
+        short = len(after) < max(200, int(len(before) * 0.4))
+        reasons[k] = "too short" if short else ["", "placeholder lost", ""][k % 3]
+    assert set(reasons.values()) == {"too short", "placeholder lost", ""}
+    assert {r.doc_id: r.reason for r in QUERIES["pred_06_all_rejections"](spark, sf).collect()} == reasons
