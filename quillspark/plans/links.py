@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import linking, review, search, shaping
 from quillspark.plans.registry import Registry
+from quillspark.plans.reviews import KEY
 from quillspark.sources import tables
 
 query = Registry()
@@ -106,6 +107,12 @@ def flt_05_grounded_citations(spark, sf):
     return tables.paragraphs(spark, sf).join(d, "doc_id", "left").where(F.col("page_text").isNull() | (F.col("page_text") == "") | F.contains("page_text", F.substring("text", 1, 20))).select("para_seq")
 
 
+@query("flt_05_whole_excerpts", f"SELECT para_seq FROM paragraphs p LEFT JOIN documents d ON d.doc_id = p.doc_id - 1 WHERE d.text IS NULL OR {KEY.format('d.text')} = '' OR contains({KEY.format('d.text')}, {KEY.format('p.text')})", P)
+def flt_05_whole_excerpts(spark, sf):
+    d = tables.table(spark, sf, "documents").select((F.col("doc_id") + 1).alias("doc_id"), review.norm_key(F.col("text")).alias("page_text"))
+    return tables.paragraphs(spark, sf).join(d, "doc_id", "left").where(F.col("page_text").isNull() | (F.col("page_text") == "") | F.contains("page_text", review.norm_key(F.col("text")))).select("para_seq")
+
+
 @query("flt_09_reasons", "SELECT CASE WHEN n_chars > 10000 THEN 'too long' WHEN n_chars < 50 THEN 'too short' WHEN trim(text) = '' THEN 'blank' ELSE '' END AS reason, count(*) AS n FROM documents GROUP BY 1")
 def flt_09_reasons(spark, sf):
     rules = {"too long": F.col("n_chars") > 10000, "too short": F.col("n_chars") < 50, "blank": F.trim("text") == ""}

@@ -175,6 +175,19 @@ def join_01_verified_quotes(spark, sf):
     return review.quotes_present(q, pages)
 
 
+@query(
+    "join_01_whole_quotes",
+    rf"""SELECT doc_id * 100000 + ord AS seq, len(list_filter(string_split_regex(trim(quote), '\s+'), lambda w: regexp_matches(w, '[\p{{L}}\p{{N}}]'))) >= 4 AND contains({KEY.format('d.text')}, {KEY.format('quote')}) AND (doc_id % 3 <> 0) AS found
+      FROM (SELECT doc_id, ord, replace(text, ' ', '  ') AS quote FROM paragraphs) JOIN documents d USING (doc_id)""",
+    P,
+)
+def join_01_whole_quotes(spark, sf):
+    d = tables.table(spark, sf, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("document"), F.lit(1).alias("page"), "text", "doc_id")
+    pages = d.unionByName(d.where("doc_id % 3 = 0"))
+    q = tables.paragraphs(spark, sf).select(F.col("para_seq").alias("seq"), F.concat(F.lit("doc_"), "doc_id").alias("document"), F.lit(1).alias("page"), F.replace("text", F.lit(" "), F.lit("  ")).alias("quote"))
+    return review.quotes_present(q, pages)
+
+
 @query("join_05_verdict_lines", "SELECT id, '- Claim ' || id || ': ' || coalesce(text, '') || ' => ' || verdict || ' | ref: ' || record_reference AS line FROM verifications v LEFT JOIN claims c USING (id)", V, C)
 def join_05_verdict_lines(spark, sf):
     v = tables.verifications(spark, sf).join(tables.claims(spark, sf).select("id", "text"), "id", "left")

@@ -72,3 +72,12 @@ def test_texts_of_any_letters_and_lengths(spark, tmp_path):
         reasons[k] = "too short" if short else ["", "placeholder lost", ""][k % 3]
     assert set(reasons.values()) == {"too short", "placeholder lost", ""}
     assert {r.doc_id: r.reason for r in QUERIES["pred_06_all_rejections"](spark, sf).collect()} == reasons
+
+
+def test_whole_quotes_and_excerpts(spark, tmp_path):
+    same = "A beginning of more than forty characters in common, and then "
+    texts = ["", same + "one end", same + "another end", "Donaudampfschifffahrtsgesellschaftskapitän mit drei Worten", "Before. A  BEGINNING of it all. After", "a beginning of it all."]
+    sf = documents(spark, tmp_path, texts)
+    words = {1: True, 2: True, 3: False, 4: True, 5: True}  # the page of document 3 is there twice
+    assert {r.seq // 100_000: r.found for r in QUERIES["join_01_whole_quotes"](spark, sf).collect()} == words
+    assert {r.para_seq // 100_000 for r in QUERIES["flt_05_whole_excerpts"](spark, sf).collect()} == {1, 5}
