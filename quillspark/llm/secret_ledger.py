@@ -3,7 +3,7 @@
 Content is addressed by its SHA-256. A ledger remembers which (blob, rule, rule version)
 have been scanned; a run scans only blobs with a pair that the ledger lacks, keeps
 findings by blob, and joins them back to every path and version that holds the blob.
-So a copy costs nothing to scan, and a changed rule rescans with that rule alone.
+So a copy costs nothing to scan; a changed rule rescans with all rules.
 
 Nulls are read as empty text, which has no findings; equal contents share one scan and
 get equal findings; texts are scanned whole; extra input columns are ignored.
