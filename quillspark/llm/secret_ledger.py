@@ -1,12 +1,14 @@
 """Secret scans over every historical version of a file, with DataFrame functions only.
 
 Content is addressed by its SHA-256. A ledger remembers which (blob, rule, rule version)
-have been scanned; a run scans only blobs with a pair that the ledger lacks, keeps
-findings by blob, and joins them back to every path and version that holds the blob.
-So a copy costs nothing to scan; a changed rule rescans with all rules.
+have been scanned; a run runs each rule only over blobs whose pair with that rule's version
+the ledger lacks, keeps findings by blob, and joins them back to every path and version that
+holds the blob. So a copy costs nothing to scan, and a changed rule rescans with that rule
+alone: the other rules' findings stay as they are known.
 
 Nulls are read as empty text, which has no findings; equal contents share one scan and
-get equal findings; texts are scanned whole; extra input columns are ignored.
+get equal findings; texts are scanned whole; repeated rows each get their findings; an empty
+table gives no rows, an empty ledger makes every pair unseen; extra input columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,36 +49,57 @@ MORE = (
 RULES = BASE + MORE
 SPAN = "array<struct<start:int,end:int>>"
 FINDING = "array<struct<start:int,rank:int,kind:string,end:int>>"
+#: Matches that are folded in one piece: a longer list of them is folded piece by piece.
+PIECE = 512
 
 
 def spans(text: Column, rule: Rule) -> Column:
     """Start and exclusive end, in code points, of the rule's matches, in order.
 
     The parts between matches and the matches come alternately, so their running
-    lengths are the offsets."""
+    lengths are the offsets. They are summed in pieces of PIECE: first each piece's
+    start, then the matches within, so that the work doesn't grow with their square."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+    kept = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
     between = F.split(text, rule.pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
     steps = F.arrays_zip(F.transform(between, F.length).alias("gap"), F.transform(found, F.length).alias("size"), F.transform(kept, F.length).alias("held"))
 
+    def width(x: Column) -> Column:
+        return x["gap"] + F.coalesce(x["size"], F.lit(0))
+
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
-        end = start + F.coalesce(x["size"], F.lit(0))
-        hit = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["held"] >= rule.least, F.concat(state["out"], hit)).otherwise(state["out"]).alias("out"))
+        hit = F.array(F.struct(start.alias("start"), (state["at"] + width(x)).alias("end")))
+        return F.struct((state["at"] + width(x)).alias("at"), F.when(x["held"] >= rule.least, F.concat(state["out"], hit)).otherwise(state["out"]).alias("out"))
+
+    def within(piece: Column, base: Column) -> Column:
+        return F.aggregate(piece, F.struct(base.alias("at"), F.array().cast(SPAN).alias("out")), step, lambda s: s["out"])
+
+    def folded(all_steps: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_steps) - 1) / PIECE).cast("int")), lambda k: F.slice(all_steps, k * PIECE + 1, PIECE))
+        long = F.transform(pieces, lambda p: F.aggregate(p, F.lit(0), lambda n, x: n + width(x)))
+        bases = F.aggregate(long, F.array(F.lit(0)), lambda out, n: F.concat(out, F.array(F.element_at(out, -1) + n)))
+        return F.flatten(F.zip_with(pieces, F.slice(bases, 1, F.size(pieces)), within))
+
+    # One element that a lambda names, so that the matches are found once however often the fold reads them.
+    once = F.element_at(F.transform(F.array(steps), folded), 1)
+    return F.when(text.rlike(rule.pattern), once).otherwise(F.array().cast(SPAN))
+
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(steps, zero, step, lambda s: s["out"])).otherwise(F.array().cast(SPAN))
+def pair(rule: Rule) -> str:
+    """How the ledger's pairs name a rule and its version."""
+    return f"{rule.kind}@{rule.version}"
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob and findings (start, rank of the kind, kind, end) of each blob's text, by start."""
+    """blob, missing and findings (start, rank of the kind, kind, end) of each blob's text, by
+    start: each rule runs over the blobs whose missing pairs name it, and over no others."""
 
     def named(rank: int, kind: str) -> Callable[[Column], Column]:
         return lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"))
 
-    each = [F.transform(spans(F.col("text"), r), named(k, r.kind)) for k, r in enumerate(rules)]
-    return blobs.select("blob", F.array_sort(F.concat(*each)).cast(FINDING).alias("findings"))
+    each = [F.when(F.array_contains("missing", pair(r)), F.transform(spans(F.col("text"), r), named(k, r.kind))).otherwise(F.array().cast(FINDING)) for k, r in enumerate(rules)]
+    return blobs.select("blob", "missing", F.array_sort(F.concat(*each)).cast(FINDING).alias("findings"))
 
 
 def address(versions: DataFrame) -> DataFrame:
@@ -85,31 +108,41 @@ def address(versions: DataFrame) -> DataFrame:
 
 
 def unseen(versions: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame | None) -> DataFrame:
-    """One row (blob, text) for each content that lacks one of the rules in the ledger
-    (blob, kind, version)."""
-    blobs = versions.groupBy("blob").agg(F.any_value("text").alias("text"))
+    """One row (blob, text, missing) for each content that lacks a pair in the ledger (blob,
+    kind, version); missing names the pairs. The ledger meets addresses; texts of blobs that
+    lack nothing aren't shuffled together."""
+    wanted = F.array(*[F.lit(pair(r)) for r in rules])
     if ledger is None:
-        return blobs
-    wanted = F.array(*[F.concat(F.lit(f"{r.kind}@{r.version}")) for r in rules])
-    done = ledger.groupBy("blob").agg(F.collect_set(F.concat("kind", F.lit("@"), "version")).alias("done"))
-    return blobs.join(done, "blob", "left").where(F.col("done").isNull() | (F.size(F.array_except(wanted, "done")) > 0)).select("blob", "text")
+        return versions.groupBy("blob").agg(F.any_value("text").alias("text")).select("blob", "text", wanted.alias("missing"))
+    done = ledger.groupBy("blob").agg(F.collect_set(F.concat("kind", F.lit("@"), F.col("version").cast("string"))).alias("done"))
+    lacking = versions.select("blob").distinct().join(done, "blob", "left").select("blob", F.array_except(wanted, F.coalesce("done", F.array().cast("array<string>"))).alias("missing"))
+    lacking = lacking.where(F.size("missing") > 0)
+    return versions.join(lacking, "blob").groupBy("blob").agg(F.any_value("text").alias("text"), F.any_value("missing").alias("missing"))
 
 
-def entries(findings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Ledger rows (blob, kind, version) of what a scan has covered."""
-    rule_rows = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-    return findings.select("blob", F.explode(rule_rows).alias("rule")).select("blob", "rule.kind", "rule.version")
+def entries(fresh: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Ledger rows (blob, kind, version): the pairs that a scan has covered."""
+    rule_rows = F.array(*[F.struct(F.lit(pair(r)).alias("pair"), F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    covered = F.filter(rule_rows, lambda r: F.array_contains("missing", r["pair"]))
+    return fresh.select("blob", F.explode(covered).alias("rule")).select("blob", "rule.kind", "rule.version")
 
 
 def update(versions: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """The next (ledger, findings): what was known, and what the unseen pairs add.
 
-    Findings of rules whose version changed are replaced. known: blob, findings."""
+    A pair that is scanned replaces what the ledger and known (blob, findings) held of
+    that blob and kind; everything else of them stays."""
     fresh = scan(unseen(address(versions), rules, ledger), rules)
     if ledger is None or known is None:
-        return entries(fresh, rules), fresh
-    stale = known.join(fresh.select("blob"), "blob", "left_anti")
-    return ledger.unionByName(entries(fresh, rules)).distinct(), stale.unionByName(fresh)
+        return entries(fresh, rules), fresh.select("blob", "findings")
+    new = entries(fresh, rules)
+    kinds = F.array(*[F.struct(F.lit(pair(r)).alias("pair"), F.lit(r.kind).alias("kind")) for r in rules])
+    again = F.transform(F.filter(kinds, lambda k: F.array_contains("missing", k["pair"])), lambda k: k["kind"])
+    added = fresh.select("blob", F.col("findings").alias("_new"), again.alias("_again"))
+    none = F.array().cast(FINDING)
+    kept = F.filter(F.coalesce("findings", none), lambda f: ~F.coalesce(F.array_contains("_again", f["kind"]), F.lit(False)))
+    merged = known.join(added, "blob", "full").select("blob", F.array_sort(F.concat(kept, F.coalesce("_new", none))).alias("findings"))
+    return ledger.join(new, ["blob", "kind"], "left_anti").select("blob", "kind", "version").unionByName(new), merged
 
 
 def by_path(versions: DataFrame, findings: DataFrame) -> DataFrame:
