@@ -45,18 +45,64 @@ def test_the_tree_hands_out_exact_quotas():
     assert (mixing.split_tree(quotas, 7, 3) == parts).all()
 
 
+def plain_targets(sizes, weights):
+    """One source at a time stops at twice its size, until none is above."""
+    total, stopped = 1.5 * sum(sizes), set()
+    while True:
+        open_ = [i for i in range(len(sizes)) if i not in stopped]
+        left = total - sum(2 * sizes[i] for i in stopped)
+        goal = {i: left * weights[i] / sum(weights[j] for j in open_) for i in open_}
+        above = [i for i in open_ if goal[i] > 2 * sizes[i] + 1e-9]
+        if not above:
+            return [goal.get(i, 2.0 * sizes[i]) for i in range(len(sizes))]
+        stopped.add(above[0])
+
+
 def test_mixing_reaches_targets(spark, sf):
     found = rows(mixing.op1_mixing(spark, sf))
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert len(found) == len(docs)
-    by = defaultdict(list)
+    by, sizes = defaultdict(list), Counter()
     for r in found:
         assert r["size"] == len(WORD.findall(docs[r["doc_id"]].text or "")) and 0 <= r["taken"] <= 2 * r["size"]
         by[docs[r["doc_id"]].source].append(r)
-    for own in by.values():
-        assert sum(r["taken"] for r in own) == round(own[0]["target"]) and sum(r["size"] for r in own) == own[0]["source_size"]
-    again = {r["doc_id"]: r["taken"] for r in rows(mixing.op1_mixing(spark, sf))}
-    assert again == {r["doc_id"]: r["taken"] for r in found}
+        sizes[docs[r["doc_id"]].source] += r["size"]
+    order = sorted(by, key=lambda s: (s is None, s or ""))
+    wanted = dict(zip(order, plain_targets([sizes[s] for s in order], [(5, 2, 1)[k % 3] for k in range(len(order))])))
+    for source, own in by.items():
+        assert all(abs(r["target"] - wanted[source]) < 1e-6 and r["source_size"] == sizes[source] for r in own)
+        assert sum(r["taken"] for r in own) == round(own[0]["target"])
+    again = {r["doc_id"]: r for r in rows(mixing.op1_mixing(spark, sf))}
+    assert again == {r["doc_id"]: r for r in found}
+
+
+def test_the_tree_decides_what_is_taken(spark, sf, monkeypatch):
+    """Draws come out of shards' quotas: a shard whose quotas are zero draws nothing, and the others what they had."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = {r["doc_id"]: {(d["pass"], d["shard"]) for d in r["draws"]} for r in rows(mixing.draw(docs))}
+    shards = Counter(s for d in before.values() for _, s in d)
+    assert set(shards) == set(range(8))
+    split = mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda *a: np.where(np.arange(8)[:, None] == 7, 0, split(*a)))
+    after = {r["doc_id"]: {(d["pass"], d["shard"]) for d in r["draws"]} for r in rows(mixing.draw(docs))}
+    assert after == {i: {d for d in own if d[1] != 7} for i, own in before.items()}
+    monkeypatch.setattr(mixing, "split_tree", lambda quotas, shards, seed: np.zeros((shards, len(quotas)), np.int64))
+    assert all(r["taken"] == 0 and r["shards"] == [] for r in rows(mixing.op1_mixing(spark, sf)))
+
+
+def test_shards_of_the_mix_are_even_and_shuffled(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "abc"[k % 3], "w " * (20 + k % 9)) for k in range(1200)], "doc_id long, source string, text string")
+    words = Counter()
+    for r in rows(mixing.draw(docs)):
+        for d in r["draws"]:
+            words[d["shard"]] += d["words"]
+    assert max(words.values()) < 1.3 * min(words.values())
+    mixing.mixed(docs).withColumn("part", F.spark_partition_id()).write.parquet(str(tmp_path / "mix"))
+    written = sorted(tmp_path.glob("mix/*.parquet"))
+    got = [r for f in written for r in spark.read.parquet(str(f)).collect()]
+    assert [(r._shard, r._place) for r in got] == sorted((r._shard, r._place) for r in got) and len({r.part for r in got}) == 8
+    first = [r.source for r in got if r._shard == 0]
+    assert len(first) > 20 and first != sorted(first)
 
 
 def test_the_mix_holds_what_is_taken(spark, odd, none):
@@ -68,6 +114,13 @@ def test_the_mix_holds_what_is_taken(spark, odd, none):
     assert rows(mixing.draw(none)) == [] and rows(mixing.mixed(none)) == []
 
 
+def test_rows_of_one_id_are_drawn_the_same_again(spark):
+    docs = spark.createDataFrame([(1, "s", "a " * n, {"k": n}) for n in range(40)] + [(1, "s", "b c", {"k": 0})] * 30, "doc_id long, source string, text string, extra map<string,int>")
+    taken = [sorted((r["size"], r["taken"], tuple(r["shards"]) if "shards" in r else ()) for r in rows(mixing.draw(docs.repartition(n)))) for n in (1, 5)]
+    assert taken[0] == taken[1]
+    assert sum(len(WORD.findall(r["text"])) for r in rows(mixing.mixed(docs))) == sum(t for _, t, _ in taken[0])
+
+
 # ---------------------------------------------------------------- op2
 
 
