@@ -1,17 +1,24 @@
 """HTML extraction: main text by text-to-tag ratios over parser events.
 
 The standard library's parser streams events; every block-level tag starts a new line.
-A line's ratio is its characters outside links over its tags, 0 inside elements that
-name themselves as menus, adverts and the like. The ratios are smoothed with a Gaussian
-over neighbouring lines and clustered by a threshold (two means of their logarithms).
-The content region is the deepest element that holds nearly all text of the upper
-cluster, widened to the outermost article or main around it, or else to its highest
-ancestor that adds no line of an element that says it is something else. All of its lines
-are the main text, except those in elements that say they are something else, or, outside
-article and main, that consist of links in a list of links.
-
-Defined results: null or empty html, and pages without text, give an empty text; broken
-markup is read as the parser reads it; equal html gives equal text. One row in, one out.
+A line's ratio is its characters outside links over its tags. The ratios are smoothed with
+a Gaussian over neighbouring lines and clustered by a threshold (two means of their
+logarithms); lines of the upper cluster are content, lines of elements that are no text of an
+article (SHUT) are not. The content region is the article or main that holds more than half of
+the upper cluster, lines weighing by their smoothed ratios, so that long text decides and not
+many lines; else the deepest element that holds nearly all of it, widened to its highest
+ancestor that adds no line that is shut out. Without an upper cluster there is no region, and
+the page is content as a whole.
+
+All lines of the region are the main text, but for inserts that say they are something else
+(SHUT_NAMES: a class, id or role of exactly such a name), and, where no article or main marks
+the region, for containers that hold links alone (ratio 0). Such inserts have no weight in the
+choice of the region; what lies outside it is left out by its ratios, whatever it is called.
+
+Defined results: null or empty html, and pages without text, give an empty text; broken markup
+is read as the parser reads it; white space is space, tab, LF, VT, FF and CR; equal html gives
+equal text, repeated rows each theirs. One row in, one out; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,56 +39,47 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that are never part of an article's text.
-OUTSIDE = frozenset(
-    "head title script style noscript template nav footer aside form fieldset button select option textarea input iframe object canvas svg audio video menu dialog".split()
-)
-#: What elements that aren't the article call themselves: whole parts of a class, id or role.
-NAMED = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion banner cookie cookies consent gdpr notice notices alert "
-    "sidebar sidebars aside widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist disqus "
-    "reply replies respond discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay "
-    "pagination pager copyright legal skip search contentinfo complementary dialog hidden teaser teasers outbrain taboola".split()
-)
-#: Of these, what also shuts out an element that stands for the article itself.
-NAMED_ARTICLE = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies teaser related recommended".split())
-KEEPS_ITS_NAME = frozenset("html body main article".split())
-WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Elements that are no text of an article: menus, headers (of the page), footers, sidebars, adverts' and
+#: other frames, forms and their controls, scripts and styles.
+SHUT = frozenset("head script style noscript template nav menu header footer aside form button select textarea option input dialog iframe object svg audio video canvas".split())
+#: What inserts of an article are called that aren't its text; whole names only.
+SHUT_NAMES = frozenset("menu navigation footer sidebar related notice ad ads advert adverts advertisement form comments banner contentinfo complementary".split())
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
 #: Elements that an opening tag ends without their own end tag.
 ENDS = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
-SIGMA, REGION = 1.0, 0.9
+WHITE = " \t\n\v\f\r"
+SIGMA, REGION, MARKED = 1.0, 0.9, 0.5
 
 
 class Lines(HTMLParser):
-    """Lines of a page: [text parts, characters in links, tags, element path, shut out]."""
+    """Lines of a page: [text parts, characters in links, tags, element path, shut out, insert's element or 0]."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.elements: list[tuple[str, int, bool, bool]] = []  # name, number, shut out, article
+        self.elements: list[tuple[str, int, bool, bool, int]] = []  # name, number, shut out, article, insert
         self.lines: list[list] = []
         self.articles: set[int] = set()
         self.count = self.links = 0
         self._new()
 
+    def _inside(self) -> tuple[bool, int]:
+        return (self.elements[-1][2], self.elements[-1][4]) if self.elements else (False, 0)
+
     def _new(self) -> None:
         path = tuple(e[1] for e in self.elements)
-        out = bool(self.elements) and self.elements[-1][2]
         if self.lines and not self.lines[-1][0]:
-            self.lines[-1][3:] = [path, out]
+            self.lines[-1][3:] = [path, *self._inside()]
         else:
-            self.lines.append([[], 0, 0, path, out])
+            self.lines.append([[], 0, 0, path, *self._inside()])
 
-    def _shuts(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        inside = any(e[3] for e in self.elements)
-        if tag in OUTSIDE or tag == "header" and not inside:
+    def _shuts(self, tag: str, known: dict[str, str | None]) -> bool:
+        if tag in SHUT and not (tag == "header" and any(e[3] for e in self.elements)):  # an article's own header has its title
             return True
-        known = NAMED_ARTICLE if tag in KEEPS_ITS_NAME else NAMED
-        for key, value in attrs:
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and value and re.search(r"display\s*:\s*none", value):
-                return True
-            if key in ("class", "id", "role") and value and tag not in ("html", "body") and not known.isdisjoint(w.lower() for w in WORDS.findall(value)):
-                return True
-        return False
+        return "hidden" in known or known.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", known.get("style") or ""))
+
+    def _named(self, tag: str, known: dict[str, str | None]) -> bool:
+        names = {n.lower() for key in ("class", "id", "role") for n in (known.get(key) or "").split()}
+        return not SHUT_NAMES.isdisjoint(names) and tag not in ("html", "body", "main", "article")
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ENDS:
@@ -95,12 +93,12 @@ class Lines(HTMLParser):
             self._close(len(self.elements) - 1)
         if tag not in VOID:
             self.count += 1
-            shut = bool(self.elements) and self.elements[-1][2] or self._shuts(tag, attrs)
-            self.elements.append((tag, self.count, shut, tag in ("article", "main")))
+            known, (shut, insert) = dict(attrs), self._inside()
+            self.elements.append((tag, self.count, shut or self._shuts(tag, known), tag in ("article", "main"), insert or self.count * self._named(tag, known)))
             if self.elements[-1][3]:
                 self.articles.add(self.count)
             self.links += tag == "a"
-        if tag in BLOCKS or bool(self.elements) and self.elements[-1][2] != self.lines[-1][4]:
+        if tag in BLOCKS or [*self._inside()] != self.lines[-1][4:]:
             self._new()
         self.lines[-1][2] += 1
         if tag == "br":
@@ -111,7 +109,7 @@ class Lines(HTMLParser):
             self.links -= tag == "a"
         block = any(e[0] in BLOCKS for e in self.elements[k:])
         del self.elements[k:]
-        if block or (bool(self.elements) and self.elements[-1][2]) != self.lines[-1][4]:
+        if block or [*self._inside()] != self.lines[-1][4:]:
             self._new()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -130,7 +128,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         line = self.lines[-1]
-        if line[0] or not data.isspace():
+        if line[0] or data.strip(WHITE):
             line[0].append(data)
             if self.links:
                 line[1] += len(data)
@@ -162,44 +160,51 @@ def threshold(values: list[float]) -> float:
         low, high = means
 
 
+def region(lines: list[tuple], even: list[float], articles: set[int]) -> tuple[int | None, bool]:
+    """The element that the lines' upper cluster lies in (None: there is no such cluster, or no
+    such element), and whether an article or main marks it."""
+    cut = threshold(even)
+    if cut < min(even):
+        return None, False
+    text = [k for k, x in enumerate(lines) if not x[4]]
+    text = [k for k in text if not lines[k][5]] or text
+    chosen = [k for k in text if even[k] > cut] or text
+    held: dict[int, float] = {}
+    for k in chosen:
+        for number in lines[k][3]:
+            held[number] = held.get(number, 0) + math.expm1(even[k])
+    most = sum(math.expm1(even[k]) for k in chosen)
+    marked = [n for n, weight in held.items() if n in articles and weight > MARKED * most]
+    if marked:
+        return min(marked), True  # numbers grow inwards: the outermost
+    # A single paragraph is no region of its own.
+    roots = {n for x in lines for n in x[3][:-1]}
+    deepest = max((n for n, weight in held.items() if weight >= REGION * most and n in roots), default=None)
+    if deepest is None:
+        return None, False
+    path = next(x[3] for x in lines if deepest in x[3])
+    above = path[: path.index(deepest) + 1]
+    # A line shut out beside the region leaves its path at some depth; ancestors down to there hold it.
+    apart = (next(k for k, n in enumerate(above) if x[3][k : k + 1] != (n,)) for x in lines if x[4] and deepest not in x[3])
+    return above[max(apart, default=0)], False
+
+
 def blocks(html: str) -> list[str]:
     """The main text's blocks, in page order."""
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = [(" ".join("".join(parts).split()), links, tags, path, out) for parts, links, tags, path, out in parser.lines]
+    lines = [(SPACE.sub(" ", "".join(line[0])).strip(" "), *line[1:]) for line in parser.lines]
     lines = [x for x in lines if x[0]]
     if not any(not x[4] for x in lines):
         return []
-    ratio = [0.0 if out else max(0, len(text) - links) / max(1, tags) for text, links, tags, _, out in lines]
-    even = [math.log1p(v) for v in smoothed(ratio)]
-    cut = threshold(even)
-    chosen = [k for k, v in enumerate(even) if v > cut and not lines[k][4]] or [k for k, x in enumerate(lines) if not x[4]]
-    held: dict[int, int] = {}
-    for k in chosen:
-        for number in lines[k][3]:
-            held[number] = held.get(number, 0) + len(lines[k][0])
-    most = sum(len(lines[k][0]) for k in chosen)
-    # Numbers grow inwards, so the greatest is the deepest. A single paragraph is no region of its own.
-    roots = {n for x in lines for n in x[3][:-1]}
-    region = max((n for n, size in held.items() if size >= REGION * most and n in roots), default=None)
-    named = False
-    if region is not None:
-        path = next(x[3] for x in lines if region in x[3])
-        above = path[: path.index(region) + 1]
-        article = next((n for n in above if n in parser.articles), None)
-        named = article is not None
-        # A line shut out beside the region leaves its path at some depth; ancestors down to there hold it.
-        apart = (next(k for k, n in enumerate(above) if x[3][k : k + 1] != (n,)) for x in lines if x[4] and region not in x[3])
-        region = article if named else above[max(apart, default=0)]
-    out = []
-    for text, links, _, path, shut in lines:
-        if shut or region is not None and region not in path:
-            continue
-        if not named and links >= 0.9 * len(text) and sum(x[1] >= 0.9 * len(x[0]) for x in lines if x[3][:-2] == path[:-2]) >= 3:
-            continue
-        out.append(text)
-    return out
+    ratio = [max(0, len(x[0]) - x[1]) / max(1, x[2]) for x in lines]
+    inside, marked = region(lines, [math.log1p(v) for v in smoothed(ratio)], parser.articles)
+    kept = [k for k, x in enumerate(lines) if not x[4] and (inside is None or inside in x[3] and not x[5] > inside)]
+    if not marked:
+        spoken = {lines[k][3][:-2] for k in kept if ratio[k] > 0}
+        kept = [k for k in kept if lines[k][3][:-2] in spoken]
+    return [lines[k][0] for k in kept]
 
 
 def extract(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:

@@ -455,6 +455,8 @@ def test_main_text_of_pages(spark, sf):
         ("<div id=c><p>A long paragraph that makes the article what it is.</p><form>name <input></form><div class='comments'><p>A reader's comment, long enough to look like text.</p></div></div><aside>side text</aside>", ["A long paragraph that makes the article what it is."]),
         ("<article><p>a  b\n c</p><script>var x='<p>no</p>'</script><style>p{}</style><p>d<br>e</p></article>", ["a b c", "d e"]),
         ("<p>unclosed <b>bold <i>text", ["unclosed bold text"]),
+        ("<nav>menu</nav><article><p class='reply'>He replied at once.</p><div class='notice-period'><p>A month's notice.</p></div><p>End of it.</p></article>", ["He replied at once.", "A month's notice.", "End of it."]),
+        ("<article><p>a\u00a0b&nbsp;c \x1d d</p></article>", ["a\u00a0b\u00a0c \x1d d"]),
     ],
 )
 def test_main_text_of_small_pages(page, wanted):
@@ -475,6 +477,20 @@ def test_main_text_of_wrapped_bodies(page, wanted):
     assert html_text.blocks(page.format(long)) == [w.format(long.strip()) for w in wanted]
 
 
+def test_ratios_choose_the_region(spark, sf, monkeypatch):
+    """No name of a class is needed for the given pages; with flat ratios all of them come out otherwise."""
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    wanted = [html_text.blocks(p) for p in pages]
+    bare = [re.sub("</?(article|main)>", lambda m: m[0].replace(m[1], "div"), p) for p in pages]
+    monkeypatch.setattr(html_text, "SHUT_NAMES", frozenset())
+    assert [html_text.blocks(p) for p in pages] == wanted
+    # Without any mark of the article, an advert about as long as all of the article is text to ratios.
+    assert sum(html_text.blocks(p) == w for p, w in zip(bare, wanted)) >= 0.85 * len(pages)
+    monkeypatch.undo()
+    monkeypatch.setattr(html_text, "smoothed", lambda values: [1.0] * len(values))
+    assert not any(html_text.blocks(p) == w for p, w in zip(pages, wanted))
+
+
 def test_pages_with_nulls(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "y"), (None, "u", "<p>t</p>", "z")], "page_id long, url string, html string, text string")
     assert [(r["text"], r["n_chars"]) for r in rows(html_text.extract(df))] == [("", 0), ("", 0), ("t", 1)]
