@@ -8,7 +8,8 @@ merging. The vocabulary file is a parameter (``tokenizers`` JSON of kind BPE wit
 an end-of-word suffix); no tokenizer is trained.
 
 Nulls are read as empty text; an empty text has no tokens. Texts are processed whole,
-whatever their length; extra input columns are ignored. The strings of added special
+whatever their length; repeated rows each get their tokens; an empty table gives no rows;
+extra input columns are ignored. The strings of added special
 tokens are found in the raw text and become their own ids, as the library does.
 """
 
@@ -91,6 +92,8 @@ class IntTable:
 #: Words of more symbols are cut and merged one at a time.
 SHORT = 32
 STEP = np.uint64(0x100000001B3)
+#: Pairs that are remembered: a later one takes the slot of an earlier one.
+VERDICT_BITS = 20
 
 
 class WordBpe:
@@ -132,9 +135,11 @@ class WordBpe:
         self.alone_last = np.array([self.vocab.get(c + self.suffix, -1) for c in self.bytes_as], np.int64)
         self.power = STEP ** np.arange(SHORT + 1, dtype=np.uint64)
         self.most_runs = most_runs
-        self.ids: dict[str, bytes] = {}
-        self.text: dict[str, str] = {}
-        self.good = self.bad = np.empty(0, np.int64)
+        # Two generations of runs: the old one goes when the young one is half of what is allowed.
+        self.young: dict[str, tuple[bytes, str]] = {}
+        self.old: dict[str, tuple[bytes, str]] = {}
+        # Verdicts on pairs, each in the one slot that its key hashes to: pair * 2 + verdict.
+        self.verdicts = np.full(1 << VERDICT_BITS, -1, np.int64)
         self.exact_words = self.guessed_words = 0
         #: Splits as the file's pre-tokenizer; white space belongs to no part.
         self.parts = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -180,16 +185,16 @@ class WordBpe:
         return ok
 
     def _pairs_ok(self, key: np.ndarray) -> np.ndarray:
-        """compatible() of unique pair keys, remembered."""
-        fresh = key[~(np.isin(key, self.good) | np.isin(key, self.bad))]
+        """compatible() of unique pair keys. What was found before is looked up, in time that
+        doesn't grow with how much that is."""
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - VERDICT_BITS)).astype(np.int64)
+        held = self.verdicts[slot]
+        ok = (held & 1).astype(bool)
+        fresh = np.flatnonzero(held >> 1 != key)
         if len(fresh):
-            ok = self.compatible(fresh // self.n, fresh % self.n)
-            if len(self.good) + len(self.bad) > 2_000_000:
-                self.good = self.bad = np.empty(0, np.int64)
-                return self._pairs_ok(key)
-            self.good = np.union1d(self.good, fresh[ok])
-            self.bad = np.union1d(self.bad, fresh[~ok])
-        return np.isin(key, self.good)
+            ok[fresh] = self.compatible(key[fresh] // self.n, key[fresh] % self.n)
+            self.verdicts[slot[fresh]] = key[fresh] * 2 + ok[fresh]
+        return ok
 
     def guess(self, rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest match of many words (rows of bytes, size of each): entries
@@ -315,17 +320,17 @@ class WordBpe:
             self.exact_words += 1
         return out
 
-    def learn(self, runs: Iterable[str]) -> None:
-        """Encode runs without white space that aren't remembered yet."""
+    def learn(self, runs: Iterable[str]) -> dict[str, tuple[bytes, str]]:
+        """The ids, packed, and the decoded text of runs without white space."""
         runs = list(runs)
         parts = [(r,) if r.isascii() and r.isalpha() else self.parts.findall(r) for r in runs]
         words = list({w for p in parts for w in p})
         known = dict(zip(words, self.encode_words(words), strict=True))
-        name = self.names.__getitem__
+        name, out = self.names.__getitem__, {}
         for run, part in zip(runs, parts, strict=True):
             ids = known[part[0]] if len(part) == 1 else [i for w in part for i in known[w]]
-            self.ids[run] = struct.pack(f"<{len(ids)}I", *ids)
-            self.text[run] = " ".join(map(name, ids))
+            out[run] = struct.pack(f"<{len(ids)}I", *ids), " ".join(map(name, ids))
+        return out
 
     def normal(self, text: str) -> str:
         """NFC and lower case, letter by letter (no final-sigma rule)."""
@@ -354,16 +359,17 @@ class WordBpe:
         """For each text its ids as little-endian 32-bit integers, and the decoded text."""
         split = [self.runs(t) for t in texts]
         wanted = set().union(*split)
-        unknown = wanted - self.ids.keys()
-        if len(self.ids) + len(unknown) > self.most_runs:
-            # What these texts use stays; the rest makes room.
-            self.ids = {r: self.ids[r] for r in wanted if r in self.ids}
-            self.text = {r: self.text[r] for r in self.ids}
-        self.learn(unknown - self.special.keys())
-        for s in unknown & self.special.keys():
-            self.ids[s], self.text[s] = struct.pack("<I", self.special[s]), s
-        ids, text = self.ids.__getitem__, self.text.__getitem__
-        return [(b"".join(map(ids, runs)), " ".join(map(text, runs))) for runs in split]
+        unknown = wanted - self.young.keys()
+        if len(self.young) + len(unknown) > self.most_runs // 2:
+            self.old, self.young = self.young, {}
+            unknown = wanted
+        again = unknown & self.old.keys()
+        self.young.update((r, self.old[r]) for r in again)
+        unknown -= again
+        self.young.update((s, (struct.pack("<I", self.special[s]), s)) for s in unknown & self.special.keys())
+        self.young.update(self.learn(unknown - self.special.keys()))
+        held = [list(map(self.young.__getitem__, runs)) for runs in split]
+        return [(b"".join([i for i, _ in h]), " ".join([t for _, t in h])) for h in held]
 
     def decode(self, ids: Iterable[int]) -> str:
         """Entries joined by single spaces: what a file without a decoder means."""

@@ -23,10 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: what the session names in
-    spark.checkpoint.dir. Only where that is unset (tests on one machine) is a
-    local folder made and set."""
+    spark.checkpoint.dir. Only where that is unset and the master is local (tests on
+    one machine) is a local folder made and set; a cluster without it is refused."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="quillspark-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
@@ -35,11 +37,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Workspace:
     """Tables that a many-step operator writes to the shared folder to cut its
-    lineage: an executor lost later costs no recomputation of earlier steps."""
+    lineage: an executor lost later costs no recomputation of earlier steps. Results
+    read them, so they stay until the application ends, when the folder is deleted."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        fs, path = self._fs(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _fs(self, path: str) -> tuple:
+        """Hadoop's file system and path of a folder."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return it as read again. Empty columns of no type become strings."""
@@ -49,9 +60,7 @@ class Workspace:
 
     def drop(self, name: str) -> None:
         """Delete a table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        fs, path = self._fs(f"{self.root}/{name}")
         fs.delete(path, True)
 
     def release(self) -> None:

@@ -14,7 +14,8 @@ sampled bits find candidates, and the full fingerprint verifies them.
 Defined results: null is an empty text; empty texts have the fingerprint "" and likeness 1
 to each other, 0 to others; equal texts have equal fingerprints; long texts are walked
 whole; rows are ordered by doc_id, then by a hash of the text, so repeated rows have a
-defined neighbour; a lone row is its own next document.
+defined neighbour; a lone row is its own next document; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ PERIOD, BASE, SAMPLES, CONTEXT, SEED = 4096, 6, 64, 4, 11
 ROWS = 8
 #: Fingerprints that are compared with as many others in one group.
 BLOCK = 512
+#: Rows sampled to find the borders of a part, and what a row counts for beside its characters.
+SAMPLES_A_PART, ROW_WEIGHT = 100, 500
 #: Texts walked side by side, by total length.
 AT_ONCE = 1_500_000
 
@@ -162,9 +165,9 @@ def near_groups(docs: DataFrame, least: float = 0.8) -> DataFrame:
     own = space.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_of(whole_text()).alias("print")), "own")
     classes = own.where("doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"))
 
-    @F.udf("array<long>")
-    def banded(p: str) -> list[int]:
-        return [k << 56 ^ h for k, h in bands(bytes.fromhex(p))]
+    @F.pandas_udf("array<long>")
+    def banded(prints: pd.Series) -> pd.Series:
+        return pd.Series([[k << 56 ^ h for k, h in bands(bytes.fromhex(p))] for p in prints])
 
     rows = classes.select("node", F.explode(banded("print")).alias("bucket"))
     first = rows.groupBy("bucket").agg(F.min("node").alias("v"))
@@ -232,36 +235,63 @@ def _described(texts: list[str], following: list[str]) -> tuple[list[bytes], lis
     return own, edited, prints
 
 
-def _neighbours(docs: DataFrame) -> DataFrame:
-    """part, doc_id, text and halo: parts are runs of doc_id, each followed by a copy of
-    the next part's first row (halo), the last by the first of all."""
-    rows = docs.select("doc_id", whole_text().alias("text"))
-    parts = 4 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ids = rows.select("doc_id").where("doc_id is not null")
-    cuts = ids.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("cuts")).first().cuts if parts > 1 else None
-    cuts = sorted(set(cuts or ()), reverse=True)
-    # Parts count from the highest ids down; rows without an id come last.
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c > F.col("doc_id")))) if cuts else F.lit(0)
-    rows = rows.withColumn("part", part.cast("int")).withColumn("tie", F.xxhash64("text"))
-    tops = {r.part: r.top for r in rows.groupBy("part").agg(F.max(F.struct(F.col("doc_id").isNotNull().cast("int").alias("some"), "doc_id", (-F.col("tie")).alias("tie"))).alias("top")).collect()}
-    full = sorted(tops)
-    if not full:
-        return rows.withColumn("halo", F.lit(False))
-    before = {p: full[k - 1] for k, p in enumerate(full)}
-    first = [F.struct(F.lit(p).alias("p"), F.lit(before[p]).alias("to"), F.lit(tops[p].doc_id).cast("long").alias("id"), F.lit(-tops[p].tie).alias("tie")) for p in full]
-    heads = rows.where(F.col("doc_id").isin([t.doc_id for t in tops.values() if t.doc_id is not None]) | F.col("doc_id").isNull())
-    match = heads.join(F.broadcast(docs.sparkSession.range(1).select(F.explode(F.array(*first)).alias("f"))), F.col("doc_id").eqNullSafe(F.col("f.id")) & (F.col("tie") == F.col("f.tie")))
-    halo = match.select("doc_id", "text", F.col("f.to").alias("part"), "tie").dropDuplicates(["part"])
+KEY = ["later", "down", "tie"]
+
+
+def _ordered(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and KEY, whose ascending order is that of documents: descending doc_id,
+    rows without one last, then a hash of the text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    return rows.select("doc_id", "text", F.col("doc_id").isNull().cast("int").alias("later"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).cast("long").alias("down"), F.xxhash64("text").alias("tie"))
+
+
+def _borders(rows: DataFrame, parts: int) -> np.ndarray:
+    """Keys (a row each, sorted) that cut the documents' order into parts of about equal
+    characters, by a sample of SAMPLES_A_PART rows a part. Results don't depend on them."""
+    share = min(1.0, SAMPLES_A_PART * parts / max(1, rows.count()))
+    got = rows.select(*KEY, (F.length("text") + ROW_WEIGHT).cast("long").alias("size")).sample(share, SEED).toArrow()
+    key = [got.column(c).to_numpy().astype(np.int64) for c in KEY]
+    order = np.lexsort(key[::-1])
+    total = np.cumsum(got.column("size").to_numpy()[order])
+    cuts = np.searchsorted(total, np.arange(1, parts) * (total[-1] / parts)) if len(order) else np.empty(0, np.int64)
+    return np.unique(np.stack(key, 1)[order[cuts]], axis=0) if len(cuts) else np.empty((0, 3), np.int64)
+
+
+def _part_of(borders: np.ndarray) -> Column:
+    """How many borders a row's KEY is at or behind; keys alone go to Python, texts don't."""
+
+    @F.pandas_udf("int")
+    def place(later: pd.Series, down: pd.Series, tie: pd.Series) -> pd.Series:
+        n = len(later)
+        both = [np.concatenate([borders[:, k], column.to_numpy().astype(np.int64)]) for k, column in enumerate((later, down, tie))]
+        is_row = np.arange(len(borders) + n) >= len(borders)
+        order = np.lexsort([is_row, *both[::-1]])
+        before = np.cumsum(~is_row[order])
+        out = np.empty(len(order), np.int32)
+        out[order] = before
+        return pd.Series(out[len(borders) :])
+
+    return place(*KEY)
+
+
+def _neighbours(docs: DataFrame, parts: int) -> DataFrame:
+    """part, doc_id, text and halo: parts are runs of the documents' order, each followed by
+    a copy of the next part's first row (halo), the last by the first of all."""
+    rows = _ordered(docs)
+    rows = rows.withColumn("part", _part_of(_borders(rows, parts)))
+    tops = sorted((r.part, *r.top) for r in rows.groupBy("part").agg(F.min(F.struct(*KEY)).alias("top")).collect())
+    heads = docs.sparkSession.createDataFrame([(tops[k - 1][0], *t[1:]) for k, t in enumerate(tops)], "to int, later int, down long, tie long")
+    # A row for each part at most.
+    halo = rows.drop("part").join(F.broadcast(heads), KEY).select("doc_id", "text", *KEY, F.col("to").alias("part")).dropDuplicates(["part"])
     return rows.withColumn("halo", F.lit(False)).unionByName(halo.withColumn("halo", F.lit(True)))
 
 
 def described(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likenesses. The only
-    shuffle of texts brings runs of doc_id together; a part's last row finds its next
-    document in a copied row, so no text goes to the driver."""
-    near = _neighbours(docs)
+    shuffle of texts brings runs of the documents' order together, a run a task; a run's last
+    row finds its next document in a copied row, so no text goes to the driver."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = near.repartition(parts, "part").sortWithinPartitions("part", F.col("halo").asc(), F.col("doc_id").desc_nulls_last(), "tie").select("part", "halo", "doc_id", "text")
+    placed = _neighbours(docs, parts).repartitionById(parts, "part").sortWithinPartitions("part", "halo", *KEY).select("part", "halo", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

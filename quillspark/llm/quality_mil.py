@@ -6,13 +6,15 @@ and gets a gated attention weight, tanh(Vh) * sigmoid(Uh), normalised over the d
 the weighted mean of the passages' representations is scored. Encoder, attention and score
 are learned together from document labels alone.
 
-The model is fitted on at most MOST_LABELLED labelled documents (in the order of a hash),
-whose passages' features are what the driver gets; everything else is scored in one pass.
-Rows whose crc32(doc_id as text) mod 5 is 0 are held out. Only texts are inputs.
+The model is fitted on at most MOST_LABELLED labelled documents (in the order of a hash), and
+of a longer one on MOST_PASSAGES passages at even distances from its first to its last. Their
+features are what the driver gets, at most 68 MB; all documents are scored in one pass, by all
+their passages. Rows whose crc32(doc_id as text) mod 5 is 0 are held out. Only texts are inputs.
 
 Defined results: null and empty texts are one empty passage and get a score like all
 others; null labels teach nothing; without any label the score is 0.5; long texts have
-more passages; equal texts get equal scores; other columns are ignored.
+more passages; equal texts get equal scores; rows without doc_id aren't held out, and no label
+meets them; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import slices, table, whole_text
 
-#: A bound on what the classifier is fitted to.
-MOST_LABELLED = 3000
+#: A bound on what the classifier is fitted to: labelled documents, and passages of one of them.
+MOST_LABELLED, MOST_PASSAGES = 3000, 64
 PASSAGE, HASHED, HIDDEN, GATE = 512, 128, 16, 8
 STEPS, RATE, DECAY, SEED = 160, 0.02, 1e-4, 7
 CUT = 0.3
@@ -119,8 +121,13 @@ def new_model(x: np.ndarray) -> Model:
     return Model(x.mean(0), x.std(0) + 0.02, w)
 
 
-def held_out(doc_id: str = "doc_id") -> F.Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def spread(bag: np.ndarray, most: int = MOST_PASSAGES) -> np.ndarray:
+    """All rows of a bag, or most of them at even distances, the first and the last among them."""
+    return bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).round().astype(int)]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -134,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x, first = encode(batch.column("text").to_pylist())
-            parts = [p.astype("<f2").tobytes() for p in np.split(x, first[1:])]
+            parts = [spread(p).astype("<f2").tobytes() for p in np.split(x, first[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "quality", "x"])
 
     got = sorted((r.doc_id, bytes(r.x), r.quality) for r in rows.mapInArrow(run, "doc_id long, quality int, x binary").toLocalIterator())

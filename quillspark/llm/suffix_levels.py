@@ -18,7 +18,8 @@ once. Equality of strings is that of 64-bit hashes, of whole surroundings of 128
 
 Defined results: null is empty; texts under LENGTH bytes, and empty tables, lose nothing; all
 copies of a text of LENGTH bytes or more lose everything; matches never cross documents;
-other columns are ignored; rows need no unique doc_id.
+other columns are ignored; rows need no unique doc_id. A text of 2**28 bytes or more is refused
+with an error: its places don't fit, and a task holds about a hundred bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -82,6 +83,8 @@ class Anchors:
     last start of the strings it stands for; and keys, the two kinds apart."""
 
     def __init__(self, texts: list[bytes]):
+        if sum(map(len, texts)) >= 1 << PLACE:
+            raise ValueError(f"a text of {1 << PLACE} bytes or more can't be indexed; split it first")
         self.data = data = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(sizes)

@@ -284,6 +284,23 @@ def test_stored_texts(odd, none):
     assert len(probed) == 2 * odd.count() and all(r["ended"] and not r["bad_pages"] for r in probed)
 
 
+def test_stored_documents_against_plain_python(spark, sf):
+    docs = texts_of(spark, sf)
+    found = {r["doc_id"]: r for r in rows(media_ogg.op4_media_ogg(spark, sf))}
+    assert found.keys() == docs.keys()
+    same = defaultdict(set)
+    for i, text in docs.items():
+        data, r = (text or "").encode(), found[i]
+        payload = data + b"\0" * (64 - len(data) if len(data) < 64 else -len(data) % 64)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(payload[-64:]) and r["media_bytes"] > len(payload)
+        loud = dict(f.split("=") for f in r["feature"].split(";"))
+        samples = np.frombuffer(payload, np.uint8).astype(int) - 128
+        assert int(loud["crossings"]) == sum((a < 0) != (b < 0) for a, b in zip(samples.tolist(), samples[1:].tolist()))
+        same[text].add((r["media_sha256"], r["feature"]))
+    assert all(len(s) == 1 for s in same.values())
+
+
 # ---------------------------------------------------------------- op5
 
 
@@ -417,6 +434,45 @@ def test_fingerprints_on_odd_rows(odd, none):
     assert rows(edit_embedding.described(none)) == []
 
 
+def test_next_documents_over_all_borders(spark):
+    """Ids that repeat, or are missing, by the third of all rows each, in any number of parts."""
+    rng = random.Random(7)
+    docs = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k - 60, f"text {rng.random()} " * rng.randrange(0, 4)) for k in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    tie = {r.text: r.tie for r in df.select("text", F.xxhash64("text").alias("tie")).collect()}
+    order = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), tie[d[1]]))
+    wanted = []
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
+        k = len(t) // 3
+        wanted.append((str(i), len(t), hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()))
+    for parts in ("1", "4", "23"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = [(str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in rows(edit_embedding.described(df))]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert sorted(got) == sorted(wanted)
+
+
+def test_bands_find_what_is_near():
+    """Recall of the bands against all pairs: of edited texts whose fingerprints agree by 0.8 or more."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randrange(2, 9))) for _ in range(400)]
+    texts = []
+    for _ in range(40):
+        own = [rng.choice(words) for _ in range(rng.randrange(30, 300))]
+        texts.append(" ".join(own))
+        for edits in (1, 2, 4, 8):
+            more = own[:]
+            for _ in range(edits):
+                more[rng.randrange(len(more))] = rng.choice(words)
+            texts.append(" ".join(more))
+    prints = edit_embedding.fingerprints(texts)
+    held = [set(edit_embedding.bands(p)) for p in prints]
+    near = [(i, j) for i in range(len(prints)) for j in range(i) if edit_embedding.likeness(prints[i], prints[j]) >= 0.8]
+    assert len(near) > 60 and sum(not held[i].isdisjoint(held[j]) for i, j in near) >= 0.98 * len(near)
+
+
 def test_groups_of_near_fingerprints(spark, odd, none, monkeypatch):
     rng = random.Random(2)
     text = "".join(rng.choice("abcdefgh ") for _ in range(3000))
@@ -602,3 +658,30 @@ def test_speculation_agrees_with_merging():
     words = list({"".join(rng.choice("aeinorstlhdg") for _ in range(rng.randrange(1, 45))) for _ in range(3000)})
     for word, ids in zip(words, bpe.encode_words(words)):
         assert ids == bpe.merge(word.encode())
+
+
+def test_tokens_of_all_documents(spark, sf):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(bpe_codec.default_path())
+    library.no_truncation()
+    library.no_padding()
+    docs = texts_of(spark, sf)
+    found = {r["doc_id"]: r for r in rows(bpe_codec.op10_bpe_codec(spark, sf))}
+    assert found.keys() == docs.keys()
+    for i, text in docs.items():
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        packed = np.array(ids, "<u4").tobytes()
+        decoded = library.decode(ids, skip_special_tokens=False).encode()
+        assert (found[i]["n_tokens"], found[i]["ids_sha256"], found[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded).hexdigest())
+
+
+def test_small_caches_change_nothing():
+    with open(bpe_codec.default_path(), encoding="utf-8") as f:
+        import json
+
+        small = bpe_codec.WordBpe(json.load(f), most_runs=20)
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdetions") for _ in range(rng.randrange(1, 12))) for _ in range(30)) for _ in range(40)]
+    whole = bpe_codec.load(bpe_codec.default_path())
+    assert [small.encode([t])[0] for t in texts] == whole.encode(texts)
+    assert len(small.young) + len(small.old) <= 3 * 30
