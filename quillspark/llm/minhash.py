@@ -17,8 +17,10 @@ of different components are compared in memory, by signature and then by full se
 links that join two components come out.
 
 Defined results: null and empty texts have no shingles and link with nothing; fewer than k
-words are one shingle; rows of one doc_id count as one document; rows without doc_id are
-never linked and have no component; texts are read whole; other columns are ignored.
+words are one shingle; rows of one doc_id count as one document, for which the text with the
+largest set stands (ties by hashes of the set and the text); rows without doc_id are never
+linked and have no component; texts are read whole; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ from quillspark.llm.components import components
 BANDS, ROWS, SEED = 32, 5, 2024
 #: A signature is compared first: fewer equal minima than this share (five standard deviations below 0.8) can't be a link.
 SURE = 0.64
-ROUNDS, BLOCK = 2, 1024
+ROUNDS = 2
+#: Documents, and bytes, of a block: a task compares two of them.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.default_rng(SEED)
 BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -109,9 +113,13 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("tie"), F.encode(whole_text(), "UTF-8").alias("text"))
+
+
 def sketched(docs: DataFrame, near: Near) -> DataFrame:
-    """doc_id, n_shingles, h1 and h2 (hashes of the set) and sig of every row."""
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(whole_text(), "UTF-8").alias("text"))
+    """doc_id, tie (a hash of the text), n_shingles, h1 and h2 (hashes of the set) and sig of every row."""
+    kept = _texts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
@@ -120,9 +128,9 @@ def sketched(docs: DataFrame, near: Near) -> DataFrame:
             sig = iter(signatures(full) if full else ())
             rows = [(len(s), int(s.sum()) - (1 << 63) if len(s) else 0, int(_mix(s).sum()) - (1 << 63) if len(s) else 0, next(sig).astype("<u4").tobytes() if len(s) else b"") for s in sets]
             n, h1, h2, sigs = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "tie", "n_shingles", "h1", "h2", "sig"])
 
-    return kept.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
+    return kept.mapInArrow(run, "doc_id long, tie long, n_shingles long, h1 long, h2 long, sig binary")
 
 
 def _banded(reps: DataFrame) -> DataFrame:
@@ -180,9 +188,10 @@ def _in_blocks(rest: DataFrame, reps: DataFrame, texts: DataFrame, near: Near, s
     first = rest.groupBy("bucket").agg(F.min("node").alias("v"))
     cluster = components(rest.join(first, "bucket").select(F.col("node").alias("u"), "v"), space, "clusters").withColumnRenamed("component", "cluster")
     rows = space.keep(rest.select("node", "component").distinct().join(cluster, "node"), "clustered")
-    sized = rows.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_BYTES))).cast("int")
+    sized = rows.join(texts.select("node", "size"), "node").groupBy("cluster").agg(blocks.alias("blocks"))
     rows = rows.join(sized, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.join(reps, "node").join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.join(reps, "node").join(texts.drop("size"), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("cluster", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "component", "sig", "text")
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -222,17 +231,20 @@ def near_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:
     space = Workspace(docs.sparkSession, "minhash")
     rows = space.keep(sketched(docs, near), "sketched")
     some = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"))
-    of = space.keep(rows.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node")), "of")
-    firsts = of.where("doc_id = node").select("doc_id").distinct()
-    shared = some.join(firsts, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "sig")
+    best = some.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "h1", "h2", "tie")).alias("best")).select("doc_id", "best.*")
+    classes = best.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("node"))
+    stands = space.keep(best.join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "tie", "node"), "stands")
+    of = rows.select("doc_id", "n_shingles").join(stands.select("doc_id", "node"), "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).alias("node"))
+    firsts = stands.where("doc_id = node").select("node", "tie")
+    shared = some.withColumnRenamed("doc_id", "node").join(firsts, ["node", "tie"], "left_semi").select("node", "sig")
     # A bucket of one row is no candidate; what is left is a fraction of all rows.
     banded = _banded(shared).distinct()
     full = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     left = space.keep(banded.join(full, "bucket").select("band", "bucket", "node"), "buckets-0")
     nodes = left.select("node").distinct()
-    reps = space.keep(shared.join(nodes, "node", "left_semi"), "reps")
-    texts = space.keep(docs.select(F.col("doc_id").cast("long").alias("node"), F.encode(whole_text(), "UTF-8").alias("text")).join(nodes, "node", "left_semi"), "texts")
+    reps = space.keep(shared.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "reps")
+    texts = _texts(docs).withColumnRenamed("doc_id", "node").join(firsts.join(nodes, "node", "left_semi"), ["node", "tie"], "left_semi").groupBy("node", "tie").agg(F.any_value("text").alias("text"))
+    texts = space.keep(texts.select("node", "text", F.length("text").cast("long").alias("size")), "texts")
     found = nodes.select("node", F.col("node").alias("component"))
     for at in range(ROUNDS + 1):
         known = left.join(found, "node")

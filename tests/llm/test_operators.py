@@ -213,6 +213,15 @@ def test_leftover_buckets_are_tested_whole(spark, monkeypatch):
     assert got == wanted
 
 
+def test_rows_of_one_id_stand_for_one_document(spark):
+    """The text with the largest set stands for its doc_id; repeats of a row change nothing."""
+    base = [f"w{i}" for i in range(50)]
+    docs = [(1, " ".join(base)), (2, "short text here"), (2, " ".join([*base, "end"])), (2, " ".join([*base, "end"])), (3, "short text here"), (4, " ".join([*base[:49], "x"]))]
+    for order in (docs, docs[::-1]):
+        got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in rows(minhash.near_groups(spark.createDataFrame(order, "doc_id long, text string"), minhash.Near(2, 80)))}
+        assert got == {(1, 49): 1, (2, 2): 1, (2, 50): 1, (3, 2): 3, (4, 49): 1}
+
+
 def test_minhash_on_odd_rows(odd, none):
     got = rows(minhash.near_groups(odd, minhash.Near(2, 80)))
     assert len(got) == odd.count()
