@@ -37,11 +37,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group; rows without doc_id stay, of rows of one doc_id one stays."""
+    """Keeps one document of each group; rows without doc_id stay, of rows of one doc_id the one
+    whose row has the least hash stays."""
     names = docs.columns
     dropped = minhash.near_groups(docs, NEAR).where("not kept").select("doc_id").distinct()
     left = docs.join(dropped, "doc_id", "left_anti").select(*names)
-    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    hashed = F.xxhash64(*[f.name for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    one = left.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*names), hashed).alias("_row"))
+    return left.where("doc_id is null").unionByName(one.select("_row.*"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
