@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import Workspace, table, word_count
 
 #: Rows of a source's permutation that one window task puts in order; the result doesn't depend on it.
-BUCKET_ROWS = 65_536
+BUCKET_ROWS = 2048
 #: Sources are what a mix is made of: a row each, and a quota for each shard, are the driver's. More are refused.
 MOST_SOURCES, MOST_QUOTAS = 100_000, 5_000_000
 
