@@ -158,12 +158,3 @@ def resolved(references: DataFrame, units: DataFrame) -> DataFrame:
     """References (seq, reference) with the one readable unit that they name, or none."""
     known = aliases(units).where("readable").drop("readable")
     return references.withColumn("alias", norm_key(F.col("reference"))).join(known, "alias", "left").drop("alias")
-
-
-def quotes_present(quotes: DataFrame, pages: DataFrame) -> DataFrame:
-    """Quotes (seq, document, page, quote) with found: whether the page at that address, if it
-    is the only one there, holds the quote but for case and white space; short quotes never."""
-    at = pages.groupBy("document", "page").agg(F.count("*").alias("n"), F.any_value(norm_key(F.col("text"))).alias("text"))
-    joined = quotes.join(at, ["document", "page"], "left")
-    words = F.size(F.filter(F.split(F.trim("quote"), r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]")))
-    return joined.select("seq", (F.coalesce(F.col("n") == 1, F.lit(False)) & (words >= 4) & F.coalesce(F.contains(F.col("text"), norm_key(F.col("quote"))), F.lit(False))).alias("found"))

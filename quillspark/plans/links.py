@@ -27,15 +27,10 @@ def join_03_page_ranges(spark, sf):
 
 @query(
     "join_06_restored_citations",
-    """SELECT seq AS id, coalesce((SELECT arg_min(source, o.seq) FROM facts o WHERE o.date = f.date AND o.description = f.description), arg) AS source FROM (
-      SELECT f.*, d.arg FROM facts f JOIN (SELECT description, arg_min(source, seq) AS arg FROM facts GROUP BY 1) d USING (description)) f WHERE seq % 10 = 0""",
+    """SELECT seq AS id, coalesce(e.arg, l.arg) AS source FROM facts f LEFT JOIN (SELECT date, description, arg_min(source, seq) AS arg FROM facts GROUP BY 1, 2) e USING (date, description)
+      LEFT JOIN (SELECT description, arg_min(source, seq) AS arg FROM facts GROUP BY 1) l USING (description)""",
     F_,
 )
-def join_06_restored_citations(spark, sf):
-    f = tables.facts(spark, sf)
-    return linking.restored(f.where("seq % 10 = 0").select(F.col("seq").alias("id"), "date", "description"), f)
-
-
 @query(
     "join_06_all_restored_citations",
     """SELECT seq AS id, coalesce(e.arg, l.arg) AS source FROM facts f LEFT JOIN (SELECT date, description, arg_min(source, seq) AS arg FROM facts GROUP BY 1, 2) e USING (date, description)
@@ -101,12 +96,7 @@ def flt_04_selected_facts(spark, sf):
     return tables.facts(spark, sf).join(chosen, "document", "left_semi").select("seq")
 
 
-@query("flt_05_grounded_citations", "SELECT doc_id * 100000 + ord AS para_seq FROM paragraphs p LEFT JOIN documents d ON d.doc_id = p.doc_id - 1 WHERE d.text IS NULL OR d.text = '' OR contains(d.text, substr(p.text, 1, 20))".replace("doc_id * 100000 + ord", "para_seq"), P)
-def flt_05_grounded_citations(spark, sf):
-    d = tables.table(spark, sf, "documents").select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("page_text"))
-    return tables.paragraphs(spark, sf).join(d, "doc_id", "left").where(F.col("page_text").isNull() | (F.col("page_text") == "") | F.contains("page_text", F.substring("text", 1, 20))).select("para_seq")
-
-
+@query("flt_05_grounded_citations", f"SELECT para_seq FROM paragraphs p LEFT JOIN documents d ON d.doc_id = p.doc_id - 1 WHERE d.text IS NULL OR {KEY.format('d.text')} = '' OR contains({KEY.format('d.text')}, {KEY.format('p.text')})", P)
 @query("flt_05_whole_excerpts", f"SELECT para_seq FROM paragraphs p LEFT JOIN documents d ON d.doc_id = p.doc_id - 1 WHERE d.text IS NULL OR {KEY.format('d.text')} = '' OR contains({KEY.format('d.text')}, {KEY.format('p.text')})", P)
 def flt_05_whole_excerpts(spark, sf):
     d = tables.table(spark, sf, "documents").select((F.col("doc_id") + 1).alias("doc_id"), review.norm_key(F.col("text")).alias("page_text"))
@@ -142,17 +132,11 @@ def ded_04_renamed_sources(spark, sf):
 
 @query(
     "ded_07_padded",
-    """WITH own AS (SELECT o_custkey AS case_id, o_orderpriority AS title, min(o_orderkey) AS seq FROM orders WHERE o_orderkey % 4 = 0 GROUP BY ALL),
+    """WITH own AS (SELECT o_custkey AS case_id, o_orderpriority AS title, min(o_orderkey) AS seq FROM orders GROUP BY ALL),
       al AS (SELECT case_id, title, 0 AS kind, seq FROM own UNION ALL SELECT case_id, t, 1, i FROM (SELECT DISTINCT case_id FROM own), (VALUES ('2-HIGH', 1), ('read it aloud', 2), ('add dates', 3)) v(t, i)),
       f AS (SELECT case_id, title, min({'k': kind, 's': seq}) AS o FROM al GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY o, title) AS place FROM f)
       SELECT case_id, title, CAST(place AS INTEGER) AS place FROM p WHERE (o.k = 0 AND place <= 5) OR (o.k = 1 AND place <= 3)""",
 )
-def ded_07_padded(spark, sf):
-    own = tables.table(spark, sf, "orders").where("o_orderkey % 4 = 0").select(F.col("o_custkey").alias("case_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderkey").alias("seq"))
-    more = spark.createDataFrame([("2-HIGH", 1), ("read it aloud", 2), ("add dates", 3)], "title string, seq long")
-    return linking.padded(own, more, "case_id")
-
-
 @query(
     "ded_07_all_padded",
     """WITH own AS (SELECT o_custkey AS case_id, o_orderpriority AS title, min(o_orderkey) AS seq FROM orders GROUP BY ALL),

@@ -136,12 +136,12 @@ def join_14_orphan_blobs(spark, sf):
     return tables.table(spark, sf, "part").where("p_size > 10").select(F.col("p_partkey").alias("key")).join(kept, "key", "left_anti")
 
 
-@query("join_15_interval_tokens", "SELECT k AS bucket, CAST(sum(prompt_tokens) AS BIGINT) AS prompt FROM usage JOIN (SELECT k, k * 500 AS low, k * 500 + 500 AS high FROM range(20) r(k)) b ON seq > low AND seq <= high GROUP BY 1", U)
-def join_15_interval_tokens(spark, sf):
-    # The intervals are the range's multiples, so the range join is an equality on the bucket.
-    return tables.usage(spark, sf).where("seq > 0 and seq <= 10000").groupBy(F.floor((F.col("seq") - 1) / 500).alias("bucket")).agg(F.sum("prompt_tokens").alias("prompt"))
-
-
+@query(
+    "join_15_interval_tokens",
+    """SELECT k AS bucket, CAST(sum(prompt_tokens) AS BIGINT) AS prompt FROM usage JOIN (SELECT k, first - 1 + k * 500 AS low, first + 499 + k * 500 AS high FROM (
+      SELECT first, unnest(range((last - first) // 500 + 1)) AS k FROM (SELECT min(seq) AS first, max(seq) AS last FROM usage))) b ON seq > low AND seq <= high GROUP BY 1""",
+    U,
+)
 @query(
     "join_15_all_interval_tokens",
     """SELECT k AS bucket, CAST(sum(prompt_tokens) AS BIGINT) AS prompt FROM usage JOIN (SELECT k, first - 1 + k * 500 AS low, first + 499 + k * 500 AS high FROM (

@@ -18,12 +18,10 @@ def txt_10_grouped_lines(spark, sf):
     return d.select("doc_id", "part", F.length("text").alias("n"), F.sha2("text", 256).alias("sha"))
 
 
-@query("txt_12_highlighted", r"SELECT para_seq, regexp_replace(text, '(?i)\b(THE)\b', '**\1**', 'g') AS text FROM paragraphs WHERE NOT regexp_matches(text, '[^\x00-\x7f]')", P)
-def txt_12_highlighted(spark, sf):
-    p = tables.paragraphs(spark, sf).where(~F.col("text").rlike(r"[^\x00-\x7f]"))
-    return p.select("para_seq", reporting.highlighted(F.col("text"), ["the", "a"]).alias("text"))
+_EDGE = r"[^\p{L}\p{N}_*]"
 
 
+@query("txt_12_highlighted", rf"SELECT para_seq, regexp_replace(regexp_replace(text, '(?i)(^|{_EDGE.replace('*', '')})(the)($|{_EDGE.replace('*', '')})', '\1**\2**\3', 'g'), '(?i)(^|{_EDGE})(the)($|{_EDGE})', '\1**\2**\3', 'g') AS text FROM paragraphs", P)
 @query("txt_12_all_highlighted")
 def txt_12_all_highlighted(spark, sf):
     return tables.paragraphs(spark, sf).select("para_seq", reporting.highlighted(F.col("text"), ["the", "a"]).alias("text"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import review
+from quillspark.operators import quotes, review
 from quillspark.plans.registry import Registry
 from quillspark.sources import tables
 
@@ -142,11 +143,11 @@ def pred_02_citations(spark, sf):
     return tables.facts(spark, sf).select("seq", review.citation(F.col("source")).alias("c")).select("seq", "c.document", "c.page")
 
 
-_UNITS = "units AS (SELECT DISTINCT document, page, (page % 7 <> 0) AS readable FROM facts WHERE page <= 40)"
+_UNITS = "units AS (SELECT DISTINCT document, page, (page % 7 <> 0) AS readable FROM facts)"
 
 
 def _units(spark, sf):
-    return tables.facts(spark, sf).where("page <= 40").select("document", "page", (F.col("page") % 7 != 0).alias("readable")).distinct()
+    return tables.facts(spark, sf).select("document", "page", (F.col("page") % 7 != 0).alias("readable")).distinct()
 
 
 @query("join_02_resolved_references", "SELECT seq, reference, u.document AS document, u.page AS page FROM (SELECT seq, CASE WHEN seq % 2 = 0 THEN source ELSE upper(document) || ' — Page ' || page END AS reference FROM facts) r LEFT JOIN units u ON u.readable AND (lower(reference) = u.document || ' p.' || u.page OR lower(reference) = u.document || ' — page ' || u.page)", F_, _UNITS)
@@ -162,17 +163,52 @@ def flt_06_unresolved(spark, sf):
     return review.resolved(r, _units(spark, sf)).where("page is null").agg(F.count("*").alias("n"))
 
 
+#: Quotes that borders decide, each with its page: cut numbers, terms and words, and some that stand whole.
+_CASES = (
+    ("5 mg orally daily", "takes 1.5 mg orally daily"), ("1.5 mg orally daily", "takes 1.5 mg orally daily"), ("weight bearing on left", "non-weight bearing on left"),
+    ("non-weight bearing on left", "is Non-weight  bearing on left."), ("oxygen was at 95", "oxygen was at 95%"), ("oxygen was at 95%", "oxygen was at 95%, then"),
+    ("edema was rated 3", "edema was rated 3+ today"), ("temperature was about 37°", "temperature was about 37°C"), ("seen on 2024-01-0 again", "seen on 2024-01-02 again"),
+    ("range of motion 10", "range of motion 10-20 degrees"), ("the patient did well", "the patients did well"), ("patient could not walk", "patient could not walk'n"),
+    ("had pain at rest", "had pain at rest; had pain at resting"), ("pain at rest today", "xpain at rest today, pain at rest today"), ("operative pain was mild", "post—operative pain was mild"),
+    ("only three words", "only three words"), ("blood pressure was 120", "blood pressure was 120/80"), ("score was -5 points", "score was -5 points"), ("5 points in all", "score -5 points in all"),
+)
+
+
+def _cases(spark):
+    return spark.createDataFrame([(-k, f"case_{k}", 1, q, t) for k, (q, t) in enumerate(_CASES, 1)], "seq long, document string, page int, quote string, text string")
+
+
+_CASES_SQL = "cases AS (SELECT * FROM (VALUES " + ", ".join("({}, '{}', '{}')".format(-k, q.replace("'", "''"), t.replace("'", "''")) for k, (q, t) in enumerate(_CASES, 1)) + ") v(seq, quote, t))"
+
+
+def _bars(rules, side):
+    """SQL: no rule bars what stands on this side of the quote."""
+    edge = "regexp_matches({b}, '(?:{x})$')" if side == "b" else "regexp_matches({b}, '^(?:{x})')"
+    return " AND ".join("NOT (regexp_matches(q, '{}') AND {})".format(own.replace("'", "''"), edge.format(b=side, x=barred.replace("'", "''"))) for own, barred in rules)
+
+
+_STANDS_SQL = f"""stands AS (
+  SELECT seq, bool_or({_bars(quotes.BEFORE, "b")} AND {_bars(quotes.BEHIND, "f")}) AS found FROM (
+    SELECT seq, q, right(CASE WHEN i > 1 THEN q ELSE '' END || parts[i], 40) AS b, left(parts[i + 1] || CASE WHEN i + 1 < len(parts) THEN q ELSE '' END, 4) AS f
+    FROM (SELECT seq, q, parts, unnest(range(1, len(parts))) AS i FROM (SELECT seq, q, string_split(t, q) AS parts FROM asked WHERE long AND contains(t, q)))) GROUP BY seq)"""
+_LONG = r"len(list_filter(string_split_regex(trim(quote), '\s+'), lambda w: regexp_matches(w, '[\p{L}\p{N}]'))) >= 4"
+
+
 @query(
     "join_01_verified_quotes",
-    rf"""SELECT doc_id * 100000 + ord AS seq, len(list_filter(string_split_regex(trim(quote), '\s+'), lambda w: regexp_matches(w, '[\p{{L}}\p{{N}}]'))) >= 4 AND contains({KEY.format('d.text')}, {KEY.format('quote')}) AND (doc_id % 3 <> 0) AS found
-      FROM (SELECT doc_id, ord, replace(substr(text, 1, 40), ' ', '  ') AS quote FROM paragraphs) JOIN documents d USING (doc_id)""",
+    "SELECT seq, coalesce(found, false) AND unique_page AS found FROM asked LEFT JOIN stands USING (seq)",
     P,
+    _CASES_SQL,
+    f"""asked AS (SELECT doc_id * 100000 + ord AS seq, {_LONG} AS long, {KEY.format("quote")} AS q, {KEY.format("d.text")} AS t, doc_id % 3 <> 0 AS unique_page
+      FROM (SELECT doc_id, ord, replace(text, ' ', '  ') AS quote FROM paragraphs) JOIN documents d USING (doc_id)
+      UNION ALL SELECT seq, {_LONG}, {KEY.format("quote")}, {KEY.format("t")}, true FROM cases)""",
+    _STANDS_SQL,
 )
 def join_01_verified_quotes(spark, sf):
     d = tables.table(spark, sf, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("document"), F.lit(1).alias("page"), "text", "doc_id")
-    pages = d.unionByName(d.where("doc_id % 3 = 0"))
-    q = tables.paragraphs(spark, sf).select(F.col("para_seq").alias("seq"), F.concat(F.lit("doc_"), "doc_id").alias("document"), F.lit(1).alias("page"), F.replace(F.substring("text", 1, 40), F.lit(" "), F.lit("  ")).alias("quote"))
-    return review.quotes_present(q, pages)
+    pages = d.unionByName(d.where("doc_id % 3 = 0")).drop("doc_id").unionByName(_cases(spark).select("document", "page", "text"))
+    q = tables.paragraphs(spark, sf).select(F.col("para_seq").alias("seq"), F.concat(F.lit("doc_"), "doc_id").alias("document"), F.lit(1).alias("page"), F.replace("text", F.lit(" "), F.lit("  ")).alias("quote"))
+    return quotes.quotes_present(q.unionByName(_cases(spark).select("seq", "document", "page", "quote")), pages)
 
 
 @query(
@@ -185,7 +221,27 @@ def join_01_whole_quotes(spark, sf):
     d = tables.table(spark, sf, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("document"), F.lit(1).alias("page"), "text", "doc_id")
     pages = d.unionByName(d.where("doc_id % 3 = 0"))
     q = tables.paragraphs(spark, sf).select(F.col("para_seq").alias("seq"), F.concat(F.lit("doc_"), "doc_id").alias("document"), F.lit(1).alias("page"), F.replace("text", F.lit(" "), F.lit("  ")).alias("quote"))
-    return review.quotes_present(q, pages)
+    return quotes.quotes_present(q, pages)
+
+
+#: Pages are paragraphs, five of a document a chunk; facts cite the page behind the one that they quote.
+_CHUNKS = "pages AS (SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS page, text FROM paragraphs), facts_ AS (SELECT doc_id * 100000 + ord AS seq, doc_id, page, (page - 1) // 5 AS chunk, text AS quote FROM pages)"
+
+
+@query(
+    "join_08_relocated_citations",
+    "SELECT f.seq AS seq, 'doc_' || f.doc_id AS document, CASE WHEN n = 1 AND NOT own THEN found_at ELSE f.page + 1 END AS page, coalesce(n = 1 AND NOT own, false) AS moved FROM facts_ f LEFT JOIN held USING (seq)",
+    P,
+    _CHUNKS,
+    f"asked AS (SELECT f.seq * 1000 + p.page AS seq, f.seq AS fact, f.page AS cited, p.page AS found_at, {_LONG} AS long, {KEY.format('quote')} AS q, {KEY.format('p.text')} AS t FROM facts_ f JOIN pages p ON p.doc_id = f.doc_id AND (p.page - 1) // 5 = f.chunk)",
+    _STANDS_SQL,
+    "held AS (SELECT fact AS seq, count(*) AS n, any_value(found_at) AS found_at, bool_or(found_at = cited + 1) AS own FROM asked JOIN stands USING (seq) WHERE found GROUP BY 1)",
+)
+def join_08_relocated_citations(spark, sf):
+    page = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")).cast("long")
+    p = tables.paragraphs(spark, sf).withColumn("page", page).withColumn("chunk", F.concat_ws(":", "doc_id", F.floor((F.col("page") - 1) / 5))).withColumn("document", F.concat(F.lit("doc_"), "doc_id"))
+    facts = p.select(F.col("para_seq").alias("seq"), "chunk", "document", (F.col("page") + 1).alias("page"), F.col("text").alias("quote"))
+    return quotes.relocated(facts, p.select("chunk", "document", "page"), p.select("document", "page", "text"))
 
 
 @query("join_05_verdict_lines", "SELECT id, '- Claim ' || id || ': ' || coalesce(text, '') || ' => ' || verdict || ' | ref: ' || record_reference AS line FROM verifications v LEFT JOIN claims c USING (id)", V, C)

@@ -72,7 +72,10 @@ def test_blocks_are_lossless_and_chunks_cover(spark):
 def test_excerpts_hold_the_best_sentence():
     text = "First one. " * 30 + "The knee hurts badly. " + "Last one. " * 30
     found = shaping.excerpt(text, {"knee", "hurts"}, 100)
-    assert "The knee hurts badly." in found and len(found) <= 100
+    slice_ = found.removeprefix(shaping.EARLIER).removesuffix(shaping.LATER)
+    assert "The knee hurts badly." in slice_ and len(slice_) <= 100 and slice_ in text and slice_ != found
+    lines = "Seen in May.\n\nKnee  hurt.\tAgain \n\nthen well. Left knee hurt in June, badly. The end of it"
+    assert shaping.excerpt(lines, {"knee", "june"}, 60) == f"{shaping.EARLIER}Again \n\nthen well. Left knee hurt in June, badly.{shaping.LATER}"
     assert shaping.excerpt("short", set(), 10) == "short" and shaping.excerpt("x" * 50, set(), 10) == ""
 
 
