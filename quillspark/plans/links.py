@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import linking, review, search, shaping
@@ -220,7 +221,9 @@ def rnk_04_ranked_facts(spark, sf):
     q = spark.createDataFrame([(1, "status F near March 1997 orders")], "query_id long, query string")
     hit = shaping.ranked_evidence(f, q).select("para_seq", "overlap")
     floor = F.when(F.col("type").isin("in_service_event", "hospitalization"), F.lit(0.05)).otherwise(F.lit(0.0))
-    return shaping.top_per(f.join(hit, "para_seq", "left").withColumn("score", F.greatest(F.coalesce("overlap", F.lit(0.0)), floor)), "case_id", "score", "para_seq", 10).select("case_id", "para_seq", "score", "place")
+    scored = f.join(hit, "para_seq", "left").withColumn("score", F.greatest(F.coalesce("overlap", F.lit(0.0)), floor))
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), "para_seq"))
+    return scored.select("case_id", "para_seq", "score", place.alias("place"))
 
 
 QUERIES, SQL = query.queries, query.sql
