@@ -98,11 +98,13 @@ def ledger(events: DataFrame, budget: int) -> DataFrame:
     return events.groupBy("run").agg(F.aggregate(e, start, step).alias("s")).select("run", "s.state", "s.reserved", "s.spent", "s.refused")
 
 
-def rejected(before: Column, after: Column, headings: str = r"(?m)^#+ .*$", placeholder: str = r"\[Confirm[^\]]*\]") -> Column:
-    """Why a revised text can't stand: too short, a placeholder or a heading lost, or ""."""
+def rejected(before: Column, after: Column, headings: str = r"(?m)^#+ .*$", placeholder: str = r"\[[^\[\]]+\]") -> Column:
+    """Why a revised text can't stand: too short, a placeholder or a heading lost (each counts as
+    often as it stands there), or ""."""
+
     def lost(pattern: str) -> Column:
-        return F.size(F.array_except(F.regexp_extract_all(before, F.lit(pattern), F.lit(0)), F.regexp_extract_all(after, F.lit(pattern), F.lit(0)))) > 0
+        had, has = (F.regexp_extract_all(t, F.lit(pattern), F.lit(0)) for t in (before, after))
+        return F.exists(F.array_distinct(had), lambda p: F.size(F.filter(had, lambda x: x == p)) > F.size(F.filter(has, lambda x: x == p)))
 
-    fewer = F.regexp_count(after, F.lit(placeholder)) < F.regexp_count(before, F.lit(placeholder))
-    short = F.length(after) < F.greatest(F.lit(200), F.floor(F.length(before) * 0.4))
-    return F.when(short, "too short").when(fewer | lost(placeholder), "placeholder lost").when(lost(headings), "heading lost").otherwise("")
+    short = F.length(F.trim(after)) <= F.greatest(F.lit(200), F.floor(F.length(before) * 0.4))
+    return F.when(short, "too short").when(lost(placeholder), "placeholder lost").when(lost(headings), "heading lost").otherwise("")

@@ -77,14 +77,15 @@ def _rejections(documents):
     return documents.select("doc_id", reporting.rejected(before, after).alias("reason"))
 
 
-@query("pred_06_rejections", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'too short' WHEN doc_id % 3 = 1 THEN 'placeholder lost' ELSE '' END AS reason FROM documents WHERE n_chars > 500")
-def pred_06_rejections(spark, sf):
-    return _rejections(tables.table(spark, sf, "documents").where("n_chars > 500"))
-
-
+@query(
+    "pred_06_rejections",
+    """SELECT doc_id, CASE WHEN length(trim(after)) <= greatest(200, floor(length(before) * 0.4)) THEN 'too short' WHEN doc_id % 3 = 1 THEN 'placeholder lost' ELSE '' END AS reason FROM (
+      SELECT doc_id, before, CASE doc_id % 3 WHEN 0 THEN '# Head' WHEN 1 THEN replace(before, '[Confirm date]', 'May') ELSE before END AS after FROM (
+        SELECT doc_id, '# Head' || chr(10) || '[Confirm date] ' || text AS before FROM documents))""",
+)
 @query(
     "pred_06_all_rejections",
-    """SELECT doc_id, CASE WHEN length(after) < greatest(200, floor(length(before) * 0.4)) THEN 'too short' WHEN doc_id % 3 = 1 THEN 'placeholder lost' ELSE '' END AS reason FROM (
+    """SELECT doc_id, CASE WHEN length(trim(after)) <= greatest(200, floor(length(before) * 0.4)) THEN 'too short' WHEN doc_id % 3 = 1 THEN 'placeholder lost' ELSE '' END AS reason FROM (
       SELECT doc_id, before, CASE doc_id % 3 WHEN 0 THEN '# Head' WHEN 1 THEN replace(before, '[Confirm date]', 'May') ELSE before END AS after FROM (
         SELECT doc_id, '# Head' || chr(10) || '[Confirm date] ' || text AS before FROM documents))""",
 )
