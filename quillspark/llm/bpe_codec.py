@@ -99,7 +99,7 @@ VERDICT_BITS = 20
 class WordBpe:
     """One vocabulary with its merges, and bounded caches of words and pairs."""
 
-    def __init__(self, spec: dict, most_runs: int = 400_000):
+    def __init__(self, spec: dict, most_runs: int = 250_000):
         model = spec["model"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
