@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.replay import State, replayed
+
 #: Bounds of the two latency histograms, in milliseconds.
 SHORT_MS = (5, 10, 25, 50, 100, 250, 500, 1000, 2500, 5000, 10000, 30000, 60000)
 
@@ -20,15 +22,35 @@ def nearest_rank(values: Column, p: float) -> Column:
     return F.element_at(ordered, F.least(F.floor(F.size(ordered) * F.lit(p)).cast("int") + 1, F.size(ordered)))
 
 
+#: Equal steps of value in which ranks() looks for a percentile.
+BINS = 4096
+
+
 def ranks(rows: DataFrame, group: str, value: str, points: dict[str, float]) -> DataFrame:
-    """group and a column for each point: nearest-rank percentiles, exact at any size. Equal
-    values are counted before they meet, so a group's window holds distinct values only."""
-    counted = rows.groupBy(group, value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.partitionBy(group).orderBy(value))
-    total = F.sum("_n").over(Window.partitionBy(group))
-    placed = counted.withColumn("_upto", upto).withColumn("_total", total)
-    wanted = {name: F.least(F.floor(F.col("_total") * F.lit(p)), F.col("_total") - 1) + 1 for name, p in points.items()}
-    return placed.groupBy(group).agg(*[F.min(F.when(F.col("_upto") >= at, F.col(value))).alias(name) for name, at in wanted.items()], F.sum("_n").alias("n"), F.max(value).alias("max"))
+    """group, a column for each point (nearest-rank percentiles, exact at any size), n and max.
+
+    Rows are counted in BINS equal steps between the least and the greatest value of their
+    group; the counts, at most BINS + 1 a group, tell in which step a point's rank lies, and the
+    values of these steps alone are put in order. Nulls and NaN don't count."""
+    v = rows.select(F.col(group).alias("_g"), F.col(value).alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan(F.col("_v").cast("double")))
+    span = v.groupBy("_g").agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_all"))
+    low, high = (F.col(c).cast("double") for c in ("_low", "_high"))
+    step = F.floor((F.col("_v").cast("double") - low) / (high - low) * BINS)
+    s = span.withColumnRenamed("_g", "_h")
+    # No broadcast is asked for: groups may be many. Spark sees their size, and splits hot ones.
+    binned = v.join(s, F.col("_g").eqNullSafe(F.col("_h"))).select("_g", "_v", "_all", F.when(low == high, F.lit(0)).otherwise(step).cast("long").alias("_bin"))
+    counts = binned.groupBy("_g", "_bin", "_all").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = [F.struct(F.lit(k).alias("point"), (F.least(F.floor(F.col("_all") * F.lit(p)), F.col("_all") - 1) + 1).alias("rank")) for k, p in points.items()]
+    placed = counts.withColumn("_before", before).select("*", F.explode(F.array(*at)).alias("_at"))
+    wanted = placed.where((F.col("_at.rank") > F.col("_before")) & (F.col("_at.rank") <= F.col("_before") + F.col("_n")))
+    wanted = wanted.select(F.col("_g").alias("_h"), F.col("_bin").alias("_b"), F.col("_at.point").alias("_point"), (F.col("_at.rank") - F.col("_before")).alias("_rest"))
+    same = F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_bin") == F.col("_b"))
+    inside = binned.join(wanted, same, "left_semi").groupBy("_g", "_bin", "_v").agg(F.count("*").alias("_n"))
+    upto = inside.withColumn("_upto", F.sum("_n").over(Window.partitionBy("_g", "_bin").orderBy("_v")))
+    found = upto.join(wanted, same).where(F.col("_upto") >= F.col("_rest")).groupBy("_g").agg(*[F.min(F.when(F.col("_point") == k, F.col("_v"))).alias(k) for k in points])
+    out = found.join(s, F.col("_g").eqNullSafe(F.col("_h")))
+    return out.select(F.col("_g").alias(group), *points, F.col("_all").alias("n"), F.col("_high").alias("max"))
 
 
 def histogram(rows: DataFrame, labels: list[str], value: Column, bounds: tuple[float, ...]) -> DataFrame:
@@ -91,68 +113,83 @@ def rates(series: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
 
 def leases(events: DataFrame, lease_s: int = 900, most: int = 3) -> DataFrame:
     """job_id, status and attempts after a replay of events (job_id, seq, at in seconds, kind:
-    claim, beat, done, fail, release) by one fold per job. A claim of a running job whose lease
-    ran out counts as a new attempt; after the last attempt the job is abandoned; a release
-    gives the attempt back; events of a job that nobody holds, or that has ended, change nothing."""
-    e = F.array_sort(F.collect_list(F.struct("seq", "at", "kind")))
-    start = F.struct(F.lit("queued").alias("status"), F.lit(0).alias("attempts"), F.lit(0).cast("double").alias("beat"))
-
-    def step(s: Column, x: Column) -> Column:
-        held = (s["status"] == "running") & (x["at"] - s["beat"] <= lease_s)
-        free = (s["status"] == "queued") | ((s["status"] == "running") & ~held)
-        spent = free & (s["attempts"] >= most)
-        claim = x["kind"] == "claim"
-        status = (
-            F.when(claim & spent, "abandoned").when(claim & free, "running").when((x["kind"] == "done") & held, "done").when((x["kind"] == "fail") & held, "failed")
-            .when((x["kind"] == "release") & held, "queued").otherwise(s["status"])
-        )
-        attempts = s["attempts"] + F.when(claim & free & ~spent, 1).when((x["kind"] == "release") & held, -1).otherwise(0)
-        beat = F.when((claim & free & ~spent) | ((x["kind"] == "beat") & held), x["at"]).otherwise(s["beat"])
-        return F.struct(status.alias("status"), attempts.alias("attempts"), beat.alias("beat"))
-
-    return events.groupBy("job_id").agg(F.aggregate(e, start, step).alias("s")).select("job_id", "s.status", "s.attempts")
+    claim, beat, done, fail, release). A claim of a running job whose lease ran out counts as a
+    new attempt; after the last attempt the job is abandoned; a release gives the attempt back;
+    events of a job that nobody holds, or that has ended, or without a time, change nothing."""
+    ends = {"done": "done", "fail": "failed", "release": "queued"}
+
+    def step(s: State, x: State) -> None:
+        if x["at"] is None:
+            return
+        held = s["status"] == "running" and x["at"] - s["_beat"] <= lease_s
+        if x["kind"] == "claim" and (s["status"] == "queued" or s["status"] == "running" and not held):
+            if s["attempts"] >= most:
+                s["status"] = "abandoned"
+            else:
+                s.update(status="running", attempts=s["attempts"] + 1, _beat=x["at"])
+        elif held and x["kind"] == "beat":
+            s["_beat"] = x["at"]
+        elif held and x["kind"] in ends:
+            s["status"] = ends[x["kind"]]
+            s["attempts"] -= x["kind"] == "release"
+
+    start = {"status": "queued", "attempts": 0, "_beat": 0.0}
+    return replayed(events.select("job_id", "seq", "at", "kind"), "job_id", ["seq"], start.copy, step, "status string, attempts int, _beat double").drop("_beat")
 
 
 def breaker(calls: DataFrame, threshold: int = 3, recover_s: float = 60.0) -> DataFrame:
-    """endpoint, state, failures and refused after a replay of calls (endpoint, seq, at, ok):
-    closed until threshold failures in a row, then open; after recover_s one probe is let
-    through, which closes or opens it again."""
-    c = F.array_sort(F.collect_list(F.struct("seq", "at", "ok")))
-    start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failures"), F.lit(0).cast("double").alias("opened"), F.lit(0).alias("refused"))
-
-    def step(s: Column, x: Column) -> Column:
-        shut = (s["state"] == "open") & (x["at"] - s["opened"] < recover_s)
-        failures = F.when(x["ok"], 0).otherwise(s["failures"] + 1)
-        opens = ~x["ok"] & ((s["state"] == "open") | (failures >= threshold))
-        return F.when(shut, F.struct(s["state"].alias("state"), s["failures"].alias("failures"), s["opened"].alias("opened"), (s["refused"] + 1).alias("refused"))).otherwise(
-            F.struct(F.when(x["ok"], "closed").when(opens, "open").otherwise("closed").alias("state"), failures.alias("failures"), F.when(opens, x["at"]).otherwise(s["opened"]).alias("opened"), s["refused"].alias("refused"))
-        )
-
-    return calls.groupBy("endpoint").agg(F.aggregate(c, start, step).alias("s")).select("endpoint", "s.state", "s.failures", "s.refused")
+    """endpoint, state, failures, refused and unhealthy_since after a replay of calls (endpoint,
+    seq, at, ok; ok is null for a call without an answer yet). Closed until threshold failures
+    in a row, then open; after recover_s calls are let through on trial (half open), and the
+    first answer closes the breaker or opens it again. unhealthy_since is when it first opened:
+    a failed trial does not move it, closing clears it. Calls without a time change nothing."""
+
+    def step(s: State, x: State) -> None:
+        if x["at"] is None:
+            return
+        if s["state"] == "open":
+            if x["at"] - s["_opened"] < recover_s:
+                s["refused"] += 1
+                return
+            s["state"] = "half-open"
+        if x["ok"]:
+            s.update(state="closed", failures=0, unhealthy_since=None)
+        elif x["ok"] is not None:
+            s["failures"] = threshold if s["state"] == "half-open" else s["failures"] + 1
+            if s["failures"] >= threshold:
+                since = x["at"] if s["unhealthy_since"] is None else s["unhealthy_since"]
+                s.update(state="open", _opened=x["at"], unhealthy_since=since)
+
+    start = {"state": "closed", "failures": 0, "refused": 0, "unhealthy_since": None, "_opened": 0.0}
+    schema = "state string, failures int, refused long, unhealthy_since double, _opened double"
+    return replayed(calls.select("endpoint", "seq", "at", "ok"), "endpoint", ["seq"], start.copy, step, schema).drop("_opened")
 
 
 def spaced(requests: DataFrame, interval: float, most_wait: float) -> DataFrame:
     """gate, admitted, refused and next_free: each request takes the next slot, at least
-    interval after the one before; a slot too far ahead is refused, and used up all the same."""
-    r = F.array_sort(F.collect_list(F.struct("at", "seq")))
-    start = F.struct(F.lit(0.0).alias("free"), F.lit(0).alias("admitted"), F.lit(0).alias("refused"))
+    interval after the one before; a slot too far ahead is refused, and used up all the same.
+    Requests without a time change nothing."""
 
-    def step(s: Column, x: Column) -> Column:
-        slot = F.greatest(x["at"], s["free"])
-        late = slot - x["at"] > most_wait
-        return F.struct((slot + interval).alias("free"), (s["admitted"] + F.when(late, 0).otherwise(1)).alias("admitted"), (s["refused"] + F.when(late, 1).otherwise(0)).alias("refused"))
+    def step(s: State, x: State) -> None:
+        if x["at"] is not None:
+            slot = max(x["at"], s["next_free"])
+            s["refused" if slot - x["at"] > most_wait else "admitted"] += 1
+            s["next_free"] = slot + interval
 
-    return requests.groupBy("gate").agg(F.aggregate(r, start, step).alias("s")).select("gate", "s.admitted", "s.refused", F.round("s.free", 6).alias("next_free"))
+    start = {"admitted": 0, "refused": 0, "next_free": 0.0}
+    out = replayed(requests.select("gate", "at", "seq"), "gate", ["at", "seq"], start.copy, step, "admitted long, refused long, next_free double")
+    return out.withColumn("next_free", F.round("next_free", 6))
 
 
 def fitting(rows: DataFrame, group: str, order: str, size: str, budget: int, most: int) -> DataFrame:
-    """group and taken (the order keys): rows in order while they fit the budget; one that
-    doesn't is skipped, and smaller ones after it may still enter."""
-    r = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(size).cast("long").alias("n"))))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<long>").alias("taken"))
+    """group, used and taken (the order keys, most at the utmost): rows in order while they fit
+    the budget; one that doesn't is skipped, and smaller ones after it may still enter. A row
+    without a size is skipped."""
 
-    def step(s: Column, x: Column) -> Column:
-        fits = (s["used"] + x["n"] <= budget) & (F.size(s["taken"]) < most)
-        return F.when(fits, F.struct((s["used"] + x["n"]).alias("used"), F.concat(s["taken"], F.array(x["k"].cast("long"))).alias("taken"))).otherwise(s)
+    def step(s: State, x: State) -> None:
+        if x["_size"] is not None and s["used"] + x["_size"] <= budget and len(s["taken"]) < most:
+            s["used"] += x["_size"]
+            s["taken"].append(x["_order"])
 
-    return rows.groupBy(group).agg(F.aggregate(r, start, step).alias("s")).select(group, "s.used", "s.taken")
+    sized = rows.select(group, F.col(order).cast("long").alias("_order"), F.col(size).cast("long").alias("_size"))
+    return replayed(sized, group, ["_order", "_size"], lambda: {"used": 0, "taken": []}, step, "used long, taken array<long>")

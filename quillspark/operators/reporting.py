@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import dates
+from quillspark.operators.replay import State, replayed
 
 
 def grouped_lines(text: Column, limit: int = 1500) -> Column:
@@ -78,24 +79,24 @@ def report(rows: DataFrame, group: str, order: str, line: Column, title: Column)
 
 
 def ledger(events: DataFrame, budget: int) -> DataFrame:
-    """run, state and spent after a replay of (run, seq, kind, amount): reserve takes from the
-    budget if it fits, attempt spends from what is reserved, finish gives the rest back."""
-    e = F.array_sort(F.collect_list(F.struct("seq", "kind", F.col("amount").cast("long").alias("amount"))))
-    zero = F.lit(0).cast("long")
-    start = F.struct(F.lit("new").alias("state"), zero.alias("reserved"), zero.alias("spent"), zero.alias("refused"))
-
-    def step(s: Column, x: Column) -> Column:
-        reserve = (x["kind"] == "reserve") & (s["state"] == "new") & (x["amount"] <= budget)
-        spend = (x["kind"] == "attempt") & (s["state"] == "open") & (s["spent"] + x["amount"] <= s["reserved"])
-        finish = (x["kind"] == "finish") & (s["state"] == "open")
-        return F.struct(
-            F.when(reserve, "open").when(finish, "done").otherwise(s["state"]).alias("state"),
-            F.when(reserve, x["amount"]).when(finish, s["spent"]).otherwise(s["reserved"]).alias("reserved"),
-            (s["spent"] + F.when(spend, x["amount"]).otherwise(zero)).alias("spent"),
-            (s["refused"] + F.when(reserve | spend | finish, zero).otherwise(F.lit(1).cast("long"))).alias("refused"),
-        )
-
-    return events.groupBy("run").agg(F.aggregate(e, start, step).alias("s")).select("run", "s.state", "s.reserved", "s.spent", "s.refused")
+    """run, state, reserved, spent and refused after a replay of (run, seq, kind, amount): reserve
+    takes from the budget if it fits, attempt spends from what is reserved, finish gives the
+    rest back; what can't be done, or has no amount, is refused."""
+
+    def step(s: State, x: State) -> None:
+        kind, amount = x["kind"], x["amount"]
+        if kind == "reserve" and s["state"] == "new" and amount is not None and amount <= budget:
+            s.update(state="open", reserved=amount)
+        elif kind == "attempt" and s["state"] == "open" and amount is not None and s["spent"] + amount <= s["reserved"]:
+            s["spent"] += amount
+        elif kind == "finish" and s["state"] == "open":
+            s.update(state="done", reserved=s["spent"])
+        else:
+            s["refused"] += 1
+
+    rows = events.select("run", "seq", "kind", F.col("amount").cast("long").alias("amount"))
+    start = {"state": "new", "reserved": 0, "spent": 0, "refused": 0}
+    return replayed(rows, "run", ["seq"], start.copy, step, "state string, reserved long, spent long, refused long")
 
 
 def rejected(before: Column, after: Column, headings: str = r"(?m)^#+ .*$", placeholder: str = r"\[[^\[\]]+\]") -> Column:
