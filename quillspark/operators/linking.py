@@ -35,21 +35,33 @@ def restored(merged: DataFrame, originals: DataFrame) -> DataFrame:
 def preselected(selected: DataFrame, topic_map: DataFrame, fallback: tuple[str, ...] = ("A", "G", "K"), forced: tuple[str, ...] = ("B", "C", "E", "J")) -> DataFrame:
     """case_id and topic: the union of the chosen conditions' topics, the fallback for a
     condition without any, and the forced ones."""
-    named = selected.join(F.broadcast(topic_map), "condition", "left")
+    named = selected.join(topic_map, "condition", "left")
     own = named.select("case_id", F.explode(F.coalesce("topics", F.array(*map(F.lit, fallback)))).alias("topic"))
     always = selected.select("case_id").distinct().select("case_id", F.explode(F.array(*map(F.lit, forced))).alias("topic"))
     return own.unionByName(always).distinct()
 
 
-def shared_words(left: DataFrame, right: DataFrame, most: int = 3) -> DataFrame:
+def shared_words(left: DataFrame, right: DataFrame, most: int = 3, common: int = 4) -> DataFrame:
     """left_id, right_id, shared and place: the rows of right with most distinct words in
-    common with each of left; ties by right_id. Both have id and words (array). Rows meet
-    on words; a word that very many rows have is one key on the smaller side."""
+    common with each of left; ties by right_id. Both have id and words (array).
+
+    Rows first meet on the words of left but its `common` most frequent ones, which are counted
+    inside the pairs found. Where the last of the best shares more than was left out, no other
+    row can come before it; the few rows of left without such a best meet on all their words."""
     a = left.select(F.col("id").alias("left_id"), F.explode(F.array_distinct("words")).alias("w"))
     b = right.select(F.col("id").alias("right_id"), F.explode(F.array_distinct("words")).alias("w"))
-    n = a.join(b, "w").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
+    df = b.join(a.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
+    at = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc_nulls_last("n"), "w"))
+    asked = a.join(df, "w", "left").withColumn("at", at)
+    often = asked.where(F.col("at") <= common).groupBy("left_id").agg(F.collect_list("w").alias("often"))
+    met = asked.where(F.col("at") > common).select("left_id", "w").join(b, "w").groupBy("left_id", "right_id").agg(F.count("*").alias("rare"))
+    held = met.join(often, "left_id").join(right.select(F.col("id").alias("right_id"), "words"), "right_id")
     place = F.row_number().over(Window.partitionBy("left_id").orderBy(F.desc("shared"), "right_id"))
-    return n.withColumn("place", place).where(F.col("place") <= most)
+    best = held.select("left_id", "right_id", (F.col("rare") + F.size(F.array_intersect("often", "words"))).alias("shared")).withColumn("place", place).where(F.col("place") <= most)
+    all_ = Window.partitionBy("left_id")
+    sure = best.withColumn("_n", F.count("*").over(all_)).withColumn("_least", F.min("shared").over(all_)).where((F.col("_n") == most) & (F.col("_least") > common)).drop("_n", "_least")
+    rest = a.join(sure.select("left_id").distinct(), "left_id", "left_anti").join(b, "w").groupBy("left_id", "right_id").agg(F.count("*").alias("shared"))
+    return sure.unionByName(rest.withColumn("place", place).where(F.col("place") <= most))
 
 
 def feature_difference(rows: DataFrame, was: str, now: str) -> DataFrame:
@@ -79,9 +91,11 @@ def renamed_sources(docs: DataFrame) -> DataFrame:
 
 
 def padded(items: DataFrame, fallback: DataFrame, group: str, least: int = 3, most: int = 5) -> DataFrame:
-    """Distinct titles of each group by seq, filled up from the fallback to least, at most most."""
+    """Distinct titles of each group by seq, filled up from the fallback to least, at most most.
+    Of the fallback no more than its first `least` titles can enter, and only these are broadcast."""
+    first_titles = fallback.groupBy("title").agg(F.min("seq").alias("seq")).orderBy("seq", "title").limit(least)
     own = items.select(group, "title", F.lit(0).alias("_kind"), "seq")
-    more = items.select(group).distinct().crossJoin(F.broadcast(fallback)).select(group, "title", F.lit(1).alias("_kind"), "seq")
+    more = items.select(group).distinct().crossJoin(F.broadcast(first_titles)).select(group, "title", F.lit(1).alias("_kind"), "seq")
     first = own.unionByName(more).groupBy(group, "title").agg(F.min(F.struct("_kind", "seq")).alias("o"))
     place = F.row_number().over(Window.partitionBy(group).orderBy("o", "title"))
     p = first.withColumn("place", place)

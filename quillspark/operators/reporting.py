@@ -44,13 +44,20 @@ def visible(text: Column) -> Column:
     return F.coalesce(text.rlike(r"[^\s\p{Cc}\p{Cf}\p{Z}]"), F.lit(False))
 
 
+#: Conditions that mentions() looks for at most.
+MOST_CONDITIONS = 10_000
+
+
 def mentions(conditions: DataFrame, facts: DataFrame) -> DataFrame:
     """condition and n: facts (text) that hold the phrase, or else all its words over three
-    letters. Conditions (a checked, small dimension) are broadcast; each fact is looked at once."""
+    letters. Conditions are broadcast, and refused beyond MOST_CONDITIONS; each distinct text is
+    looked at once."""
+    if conditions.limit(MOST_CONDITIONS + 1).count() > MOST_CONDITIONS:
+        raise ValueError(f"more than {MOST_CONDITIONS} conditions: look for them in parts")
     words = F.filter(F.split(F.lower("condition"), r"\s+"), lambda w: F.length(w) > 3)
     asked = F.broadcast(conditions.select("condition", F.lower("condition").alias("_p"), words.alias("_w")))
     hit = F.contains(F.col("_t"), F.col("_p")) | ((F.size("_w") > 0) & F.forall("_w", lambda w: F.contains(F.col("_t"), w)))
-    found = facts.select(F.lower("text").alias("_t")).join(asked, hit).groupBy("condition").agg(F.count("*").alias("n"))
+    found = facts.groupBy(F.lower("text").alias("_t")).agg(F.count("*").alias("_n")).join(asked, hit).groupBy("condition").agg(F.sum("_n").alias("n"))
     return conditions.select("condition").join(found, "condition", "left").select("condition", F.coalesce("n", F.lit(0)).alias("n"))
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.plans import evidence, links, operational, reports, reviews, shapes, timelines
+from quillspark.plans import evidence, links, operational, reports, reviews, selections, shapes, timelines
 
-MODULES = (timelines, reviews, operational, shapes, links, reports, evidence)
+MODULES = (timelines, reviews, operational, shapes, links, reports, evidence, selections)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
