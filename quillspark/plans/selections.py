@@ -1,16 +1,19 @@
-"""Lists of bounded size: sampled timelines, catalogs, questions, advice, shortened JSON and combined parts."""
+"""Lists of bounded size (samples, catalogs, questions, advice, shortened JSON), combined parts, and
+rules whose other queries have plain inputs, over real lines."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import selection
+from quillspark.functions import dates
+from quillspark.operators import reporting, selection, shaping
 from quillspark.operators.review import ELEMENT_OF
 from quillspark.plans.registry import Registry
 from quillspark.sources import tables
 
 query = Registry()
-F_ = tables.FACTS_SQL
+F_, P = tables.FACTS_SQL, tables.PARAGRAPHS_SQL
 
 
 @query("rnk_06_sampled_timelines")
@@ -106,4 +109,63 @@ def ded_09_combined(spark, sf):
     return selection.combined(f.withColumn("part", F.col("seq") % 3).unionByName(again.withColumn("part", F.lit(3).cast("long"))))
 
 
+@query(
+    "txt_03_planted_spans",
+    """SELECT doc_id, page FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY page), 0) AS before FROM (
+      SELECT doc_id, ord AS page, length(text) AS n, sum(length(text)) OVER w - length(text) + if(para_seq % 11 = 0, 1, 0) AS s, sum(length(text)) OVER w + if(para_seq % 13 = 0, 2, 0) AS e FROM paragraphs WINDOW w AS (PARTITION BY doc_id ORDER BY ord)))
+      WHERE s <> before OR e <= s OR e - s <> n""",
+    P,
+)
+def txt_03_planted_spans(spark, sf):
+    """Paragraphs as spans of their document, some of them moved by one or too long by two."""
+    end = F.sum(F.length("text")).over(Window.partitionBy("doc_id").orderBy("ord"))
+    moved, longer = (F.when(F.col("para_seq") % k == 0, n).otherwise(0) for k, n in ((11, 1), (13, 2)))
+    spans = tables.paragraphs(spark, sf).select("doc_id", F.col("ord").alias("page"), "text", (end - F.length("text") + moved).alias("start"), (end + longer).alias("end"))
+    return shaping.broken_spans(spans, "doc_id").select("doc_id", "page")
+
+
+@query("flt_08_visible_rests", r"SELECT para_seq, regexp_matches(regexp_replace(text, '[\p{L}\p{N}.,;:-]', '', 'g') || CASE para_seq % 4 WHEN 0 THEN chr(8203) || chr(160) WHEN 1 THEN chr(173) ELSE '' END, '[^\s\p{Cc}\p{Cf}\p{Z}]') AS visible FROM paragraphs", P)
+def flt_08_visible_rests(spark, sf):
+    """What letters, digits and points leave of each paragraph, with invisible characters behind."""
+    k = F.col("para_seq") % 4
+    rest = F.concat(F.regexp_replace("text", r"[\p{L}\p{N}.,;:-]", ""), F.when(k == 0, "\u200b\u00a0").when(k == 1, "\u00ad").otherwise(""))
+    return tables.paragraphs(spark, sf).select("para_seq", reporting.visible(rest).alias("visible"))
+
+
+_DATES = rf"(?i)\b(?:\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{4}}-\d{{1,2}}|(?:{dates.MONTH})\.?\s+\d{{1,2}},?\s+\d{{4}}|(?:{dates.MONTH})\.?\s+\d{{4}}|\d{{1,2}}/\d{{1,2}}/\d{{2,4}}|\d{{4}})\b"
+
+
+@query(
+    "dat_04_dates_of_lines",
+    rf"""SELECT seq, coalesce(raws[1], '') AS first, CAST(least(6, len(list_distinct(raws))) AS INTEGER) AS n FROM (SELECT seq, regexp_extract_all(
+      date || ' and ' || text || ' near ' || date || CASE seq % 4 WHEN 0 THEN ' 1/2/99, 3/4/2001; 1987 or June 1990, July 4, 1991 then 2001-02' WHEN 1 THEN ' in ' || seq ELSE '' END, '{_DATES}') AS raws
+      FROM facts JOIN (SELECT o_orderkey AS seq, o_orderstatus || ' ' || CAST(o_custkey + 1900 AS VARCHAR) AS text FROM orders) USING (seq))""",
+    F_,
+)
+def dat_04_dates_of_lines(spark, sf):
+    k = F.col("seq") % 4
+    more = F.when(k == 0, " 1/2/99, 3/4/2001; 1987 or June 1990, July 4, 1991 then 2001-02").when(k == 1, F.concat(F.lit(" in "), "seq")).otherwise("")
+    text = tables.table(spark, sf, "orders").select(F.col("o_orderkey").alias("seq"), F.concat("o_orderstatus", F.lit(" "), F.col("o_custkey") + 1900).alias("text"))
+    line = F.concat("date", F.lit(" and "), "text", F.lit(" near "), "date", more)
+    found = tables.facts(spark, sf).join(text, "seq").select("seq", reporting.printed_dates(line).alias("d"))
+    return found.select("seq", F.coalesce(F.get("d", F.lit(0))["raw"], F.lit("")).alias("first"), F.size("d").alias("n"))
+
+
+@query(
+    "src_24_sections_of_lines",
+    """SELECT doc_id, section, letter, title, sha256(body) AS sha FROM (
+      SELECT doc_id, section, max(letter) AS letter, max(title) AS title, trim(coalesce(string_agg(body, chr(10) ORDER BY i) || if(max(i) < any_value(n), chr(10), ''), '')) AS body FROM (
+        SELECT doc_id, i, n, CAST((i - 1) // 4 AS INTEGER) AS section, if(i % 4 = 1, chr(CAST(65 + i % 26 AS INTEGER)), NULL) AS letter, if(i % 4 = 1, trim(line), NULL) AS title, if(i % 4 = 1, NULL, line) AS body FROM (
+          SELECT doc_id, len(string_split(text, chr(10))) AS n, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1, 2)""",
+)
+def src_24_sections_of_lines(spark, sf):
+    """Every fourth line of a document as the heading of a section."""
+    def line(x, i):
+        return F.when(i % 4 == 0, F.concat(F.lit("## "), F.chr(F.lit(65) + (i + 1) % 26), F.lit(". "), x)).otherwise(x)
+
+    text = F.array_join(F.transform(F.split("text", "\n"), line), "\n")
+    s = tables.table(spark, sf, "documents").select("doc_id", F.posexplode(reporting.sections(text)).alias("section", "s"))
+    return s.select("doc_id", "section", "s.letter", "s.title", F.sha2("s.body", 256).alias("sha"))
+
+
 QUERIES, SQL = query.queries, query.sql
