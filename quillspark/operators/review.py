@@ -158,3 +158,24 @@ def resolved(references: DataFrame, units: DataFrame) -> DataFrame:
     """References (seq, reference) with the one readable unit that they name, or none."""
     known = aliases(units).where("readable").drop("readable")
     return references.withColumn("alias", norm_key(F.col("reference"))).join(known, "alias", "left").drop("alias")
+
+
+#: A claim in which a witness says who they are, and a note that only tells who the patient is.
+WITNESS = (
+    r"(?i)\b(?:my name is|i am (?:the|a|an|his|her)|phone\s*:|i certify that|"
+    r"(?:the\s+)?(?:writer|witness|author|declarant)(?:'s)?\s+name\s+is|(?:the\s+)?(?:writer|witness|author|declarant)\s+is)\b"
+)
+PATIENT = (
+    r"(?i)\b(?:patient|veteran)\b.*\b(?:not|rather than|instead of|whereas)\b|"
+    r"\bidentifies the (?:veteran(?:/patient)?|patient(?:/veteran)?) as\b|\b(?:patient|veteran)(?:'s)? name is\b"
+)
+
+
+def downgrade(verdict: Column, absent: Column, reference: Column, claim: Column, note: Column) -> Column:
+    """Why a contradiction can't stand, or "": no record text was found for the claim (absent), no
+    entry is cited, or the note tells only that the witness isn't the patient. Nulls are blank,
+    and a null absent is false."""
+    told = lambda c: F.coalesce(c, F.lit(""))
+    rules = F.when(F.coalesce(absent, F.lit(False)), "no matching record text").when(F.trim(told(reference)) == "", "no entry cited")
+    rules = rules.when(told(claim).rlike(WITNESS) & told(note).rlike(PATIENT), "names the patient only").otherwise("")
+    return F.when(F.upper(told(verdict)) == "CONTRADICTED", rules).otherwise("")

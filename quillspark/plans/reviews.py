@@ -256,6 +256,28 @@ def flt_14_downgrades(spark, sf):
     return tables.verifications(spark, sf).select("id", F.when(F.col("verdict") != "CONTRADICTED", "").when(absent, "no matching record text").when(F.trim("record_reference") == "", "no entry cited").otherwise("").alias("reason"))
 
 
+_WITNESS, _PATIENT = (x.replace("'", "''") for x in (review.WITNESS, review.PATIENT))
+
+
+@query(
+    "flt_14_contradictions",
+    f"""SELECT id, CASE WHEN id % 5 > 2 AND verdict <> 'CONTRADICTED' THEN '' WHEN k IS NULL THEN 'no matching record text' WHEN trim(record_reference) = '' THEN 'no entry cited'
+      WHEN regexp_matches(claim, '{_WITNESS}') AND regexp_matches(note, '{_PATIENT}') THEN 'names the patient only' ELSE '' END AS reason FROM (
+        SELECT v.*, k, CASE id % 3 WHEN 0 THEN 'My  name is Al' WHEN 1 THEN 'The writer''s name is Al' ELSE 'He fell' END AS claim,
+          CASE id % 4 WHEN 0 THEN 'The Veteran is Bo' || chr(10) || 'not Al' WHEN 1 THEN 'The patient is Bo, whereas Al wrote' WHEN 2 THEN 'It identifies the veteran/patient as Bo' END AS note
+        FROM verifications v LEFT JOIN (SELECT DISTINCT doc_id AS k FROM documents WHERE contains(text, 'ing ')) ON k = id)""",
+    V,
+)
+def flt_14_contradictions(spark, sf):
+    """Record text for a claim is a document with a word in ing; witnesses, patients and notes by id."""
+    i = F.col("id")
+    held = tables.table(spark, sf, "documents").where(F.contains("text", F.lit("ing "))).select(F.col("doc_id").alias("k")).distinct()
+    v = tables.verifications(spark, sf).join(held, F.col("k") == i, "left")
+    claim = F.when(i % 3 == 0, "My  name is Al").when(i % 3 == 1, "The writer's name is Al").otherwise("He fell")
+    note = F.when(i % 4 == 0, "The Veteran is Bo\nnot Al").when(i % 4 == 1, "The patient is Bo, whereas Al wrote").when(i % 4 == 2, "It identifies the veteran/patient as Bo")
+    return v.select("id", review.downgrade(F.when(i % 5 < 3, "Contradicted").otherwise(F.col("verdict")), F.col("k").isNull(), F.col("record_reference"), claim, note).alias("reason"))
+
+
 @query("agg_03_providers", r"SELECT DISTINCT case_id, source AS provider FROM verifications v JOIN documents d ON d.doc_id = v.id WHERE NOT regexp_matches(source, '(?i)\b[pb]\.\d')", V)
 def agg_03_providers(spark, sf):
     v = tables.verifications(spark, sf)
