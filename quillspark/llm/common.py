@@ -52,10 +52,10 @@ class Workspace:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return it as read again. Empty columns of no type become strings."""
+    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """Write df, with further options of the writer, and return it as read again."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").options(**options).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
