@@ -7,8 +7,8 @@ group (searchsorted), and every A-B pair of tokens that end at one cut is a link
 the cuts by the product of both numbers of tokens).
 
 Neither vocabulary has a token across a single space between two other characters, so a text
-is cut there, and each distinct part of a chunk of documents is encoded and aligned once: both
-encodings, groups and links of a text are those of its parts in turn. Where vocabulary B has
+is cut there, and each distinct part of a chunk of documents is encoded and aligned once, many
+in one string: both encodings, groups and links of a text are those of its parts in turn. Where vocabulary B has
 an entry with an inner space, texts are left whole. B's model has to leave text as it is but
 for the space in front (an identity normaliser), which the comparison of bytes verifies.
 
@@ -43,30 +43,30 @@ from quillspark.llm.common import Workspace, slices, table, whole_text
 
 #: Bytes of text in a chunk (one document at least).
 CHUNK = 2 << 20
+#: Bytes of parts that are encoded in one string (one part at least).
+RUN = 1 << 17
 SALTS = 16
-#: Parts that a worker remembers, and the characters of one that it does.
-MOST_PARTS, LONG_PART = 200_000, 64
 #: A single space between two characters that no library takes for white space.
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 WIDE = "▁"
 
 
 @dataclass(frozen=True)
-class Part:
-    """What both vocabularies make of a part: how many tokens, groups and links, the groups as
-    printed, and the links (A's id in the upper half of a long). ok: both join to the part."""
+class Parts:
+    """What both vocabularies make of parts: whether their tokens join to the part, how many
+    tokens of A and B, groups and links each has, the groups as printed, and the links of all
+    (A's id in the upper half of a long)."""
 
-    ok: bool
-    n_a: int = 0
-    n_b: int = 0
-    n_groups: int = 0
-    groups: str = ""
-    links: bytes = b""
+    ok: np.ndarray
+    totals: np.ndarray
+    groups: list[str]
+    links: np.ndarray
 
 
 def cuts_of(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ends that both have, and the group of each token of A and of B."""
-    cuts = np.intersect1d(ends_a, ends_b)
+    """The ends that both have, and the group of each token of A and of B; ends never fall."""
+    distinct_a, distinct_b = (e[np.diff(e, prepend=-1) > 0] for e in (ends_a, ends_b))
+    cuts = np.intersect1d(distinct_a, distinct_b, assume_unique=True)
     return cuts, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
 
 
@@ -81,9 +81,9 @@ def links_of(cuts: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[
 
 
 class Aligner:
-    """Both vocabularies, and a bounded memory of parts."""
+    """Both vocabularies."""
 
-    def __init__(self, path_a: str, path_b: str, most_parts: int = MOST_PARTS):
+    def __init__(self, path_a: str, path_b: str):
         import sentencepiece
         import tokenizers
 
@@ -102,61 +102,62 @@ class Aligner:
         self.divisible = not any(WIDE in p.lstrip(WIDE) for p in pieces)
         #: Ids in decimal with what follows them in print.
         self.printed = [f"{i}{mark}" for mark in (",", "|", ";", "") for i in range(max(len(entries), len(pieces)))]
-        self.most_parts = most_parts
-        # Two generations: the old one goes when the young one is half of what is allowed.
-        self.young: dict[str, Part] = {}
-        self.old: dict[str, Part] = {}
 
     def parts_of(self, texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
         """The distinct parts of texts, and the places among them of each text's own."""
-        index: dict[str, int] = {}
-
-        def places(parts: list[str]) -> np.ndarray:
-            return np.fromiter((index.setdefault(p, len(index)) for p in parts), np.int32, len(parts))
-
-        if not self.divisible:
-            return texts, [np.array([i], np.int32) for i in range(len(texts))]
-        split = [places(t.split(" ")) for t in texts]
-        # Beside an empty part, or white space at a part's edge, the space is none to cut at.
-        odd = np.fromiter((not p or p[0].isspace() or p[-1].isspace() for p in index), bool, len(index))
-        for k in [k for k, at in enumerate(split) if odd[at].any()]:
-            split[k] = places(BETWEEN.split(texts[k]))
-        used = np.unique(np.concatenate(split))
-        rank = np.zeros(len(index), np.int32)
-        rank[used] = np.arange(len(used), dtype=np.int32)
-        names = list(index)
-        return [names[i] for i in used.tolist()], [rank[at] for at in split]
-
-    def align(self, parts: list[str]) -> list[Part]:
+        split = [t.split(" ") if self.divisible else [t] for t in texts]
+        if self.divisible:
+            # Beside an empty part, or white space at a part's edge, the space is none to cut at.
+            odd = {p for p in set().union(*split) if not p or p[0].isspace() or p[-1].isspace()}
+            split = [own if odd.isdisjoint(own) else BETWEEN.split(t) for own, t in zip(split, texts, strict=True)]
+        flat = list(chain.from_iterable(split))
+        names = list(dict.fromkeys(flat))
+        index = dict(zip(names, range(len(names)), strict=True))
+        places = np.fromiter(map(index.__getitem__, flat), np.int32, len(flat))
+        return names, np.split(places, np.cumsum(list(map(len, split)))[:-1])
+
+    def _encoded(self, parts: list[str]) -> list[tuple[int, list[int], list[int]]]:
+        """Ids of A and B of runs of parts that are encoded in one string, each with the number
+        of its parts; none for a part whose ids don't join to it. Halved until the rest does."""
+        joined = " ".join(parts)
+        a, b = self.a.encode(" " + joined, add_special_tokens=False).ids, self.b.encode(joined)
+        want = (" " + joined).encode()
+        if b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b)):
+            return [(len(parts), a, b)]
+        if len(parts) == 1:
+            return [(1, [], [])]
+        half = len(parts) // 2
+        return self._encoded(parts[:half]) + self._encoded(parts[half:])
+
+    def align(self, parts: list[str]) -> Parts:
         """Every part encoded and aligned."""
-        spelt = [b" " + p.encode() for p in parts]
-        ids_a = [e.ids for e in self.a.encode_batch([" " + p for p in parts], add_special_tokens=False)]
-        ids_b = self.b.encode(parts, num_threads=1)
-        at_a, at_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        fine = [b"".join(map(at_a, a)) == s and b"".join(map(at_b, b)) == s for s, a, b in zip(spelt, ids_a, ids_b, strict=True)]
-        these = [k for k, ok in enumerate(fine) if ok]
-        out = [Part(False)] * len(parts)
-        if not these:
-            return out
-        n_a, n_b = (np.array([len(ids[k]) for k in these]) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter(chain.from_iterable(ids[k] for k in these), np.int64, int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        sizes = np.fromiter((len(p.encode()) + 1 for p in parts), np.int64, len(parts))
+        runs, low, held = [], 0, 0
+        alone = [not self.divisible or not p or p[0].isspace() or p[-1].isspace() for p in parts]
+        for k, n in enumerate(sizes.tolist()):
+            if k > low and (held + n > RUN or alone[k] or alone[k - 1]):
+                runs += self._encoded(parts[low:k])
+                low, held = k, 0
+            held += n
+        runs += self._encoded(parts[low:]) if parts else []
+        ok = np.repeat(np.array([bool(a) for _, a, _ in runs], bool), [n for n, _, _ in runs])
+        stops = np.cumsum(np.where(ok, sizes, 0))
+        a, b = (np.fromiter(chain.from_iterable(r[side] for r in runs), np.int64, sum(len(r[side]) for r in runs)) for side in (1, 2))
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         cuts, group_a, group_b = cuts_of(ends_a, ends_b)
-        stops = np.searchsorted(cuts, np.cumsum([len(spelt[k]) for k in these])) + 1
-        n_groups = np.diff(stops, prepend=0)
         cut, i, j = links_of(cuts, ends_a, ends_b)
-        links = (a[i] << 32 | b[j]).astype("<i8")
-        link_stops = np.searchsorted(cut, stops)
-        text = self._print(a, b, group_a, group_b, len(cuts), stops)
-        token_stops = np.cumsum(n_a + n_b)
-        for r, k in enumerate(these):
-            low = (int(token_stops[r - 1]), int(link_stops[r - 1])) if r else (0, 0)
-            out[k] = Part(True, int(n_a[r]), int(n_b[r]), int(n_groups[r]), "".join(text[low[0] : token_stops[r]]), links[low[1] : link_stops[r]].tobytes())
-        return out
-
-    def _print(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, n: int, stops: np.ndarray) -> list[str]:
-        """Ids as printed, in the order of groups, those of A first."""
-        many_a, many_b = np.bincount(group_a, minlength=n), np.bincount(group_b, minlength=n)
+        upto = [np.searchsorted(e, stops, "right") for e in (ends_a, ends_b, cuts)]
+        upto.append(np.searchsorted(cut, upto[2]))
+        text, at = self._print(a, b, group_a, group_b, upto[2][ok]), np.concatenate([[0], upto[0] + upto[1]]).tolist()
+        groups = ["".join(text[x:y]) for x, y in zip(at, at[1:], strict=False)]
+        return Parts(ok, np.stack([np.diff(u, prepend=0) for u in upto], 1).astype(np.int64), groups, a[i] << 32 | b[j])
+
+    def _print(self, a: np.ndarray, b: np.ndarray, group_a: np.ndarray, group_b: np.ndarray, stops: np.ndarray) -> list[str]:
+        """Ids as printed, in the order of groups, those of A first. stops: the groups up to the
+        end of each part."""
+        if not len(stops):
+            return []
+        many_a, many_b = np.bincount(group_a), np.bincount(group_b)
         out = np.empty(len(a) + len(b), np.int64)
         width = len(self.printed) // 4
         out[np.arange(len(a)) + (np.cumsum(many_b) - many_b)[group_a]] = a + width * np.append(group_a[1:] != group_a[:-1], True)
@@ -167,16 +168,6 @@ class Aligner:
         out[np.arange(len(b)) + np.cumsum(many_a)[group_b]] = b + width * mark
         return list(map(self.printed.__getitem__, out.tolist()))
 
-    def known(self, parts: list[str]) -> list[Part]:
-        """Parts aligned, by memory where they are in it."""
-        if len(self.young) + len(parts) > self.most_parts // 2:
-            self.old, self.young = self.young, {}
-        found = {p: got for p in parts if (got := self.young.get(p) or self.old.get(p))}
-        new = [p for p in parts if p not in found]
-        found |= zip(new, self.align(new), strict=True) if new else ()
-        self.young.update((p, r) for p, r in found.items() if len(p) <= LONG_PART)
-        return [found[p] for p in parts]
-
 
 @lru_cache(maxsize=2)
 def load(path_a: str, path_b: str) -> Aligner:
@@ -204,20 +195,17 @@ def chunk_row(aligner: Aligner, chunk: int, doc_id: pa.Array, texts: list[str |
     links as places among the distinct pairs, and how often the chunk holds each pair."""
     live = [k for k, t in enumerate(texts) if t]
     names, split = aligner.parts_of([texts[k] for k in live]) if live else ([], [])
-    parts = aligner.known(names)
-    ok = np.array([p.ok for p in parts], bool)
-    each = np.array([(p.n_a, p.n_b, p.n_groups, len(p.links) // 8) for p in parts], np.int64).reshape(-1, 4)
+    parts = aligner.align(names)
     totals, digests, sizes, kept = np.zeros((len(texts), 4), np.int64), [""] * len(texts), np.zeros(len(texts), np.int64), []
     for k, at in zip(live, split, strict=True):
-        if ok[at].all():
-            totals[k], sizes[k] = each[at].sum(0), len(at)
-            digests[k] = hashlib.sha256(";".join([parts[i].groups for i in at.tolist()]).encode()).hexdigest()
+        if parts.ok[at].all():
+            totals[k], sizes[k] = parts.totals[at].sum(0), len(at)
+            digests[k] = hashlib.sha256(";".join(map(parts.groups.__getitem__, at.tolist())).encode()).hexdigest()
             kept.append(at)
     places = np.concatenate(kept) if kept else np.empty(0, np.int32)
-    links = np.frombuffer(b"".join(p.links for p in parts), "<i8")
-    many = each[:, 3]
-    pairs, link = np.unique(links, return_inverse=True)
-    times = np.bincount(places, minlength=len(parts)) if parts else np.zeros(0, np.int64)
+    many = parts.totals[:, 3]
+    pairs, link = np.unique(parts.links, return_inverse=True)
+    times = np.bincount(places, minlength=len(names))
     counts = np.bincount(link, weights=np.repeat(times, many), minlength=len(pairs)).astype(np.int64)
     docs = pa.StructArray.from_arrays([doc_id, *map(pa.array, totals.T), pa.array(digests, pa.string()), pa.array(sizes)], fields=list(DOCS))
     packed = [pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (places, many, link)]

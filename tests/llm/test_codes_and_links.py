@@ -307,21 +307,19 @@ def test_links_on_odd_rows(odd, none):
     assert rows(token_links.align(none)[0]) == [] == rows(token_links.align(none)[1])
 
 
-def test_small_memories_and_whole_texts_change_nothing():
-    whole = token_links.load(*token_links.default_paths())
-    small = token_links.Aligner(*token_links.default_paths(), most_parts=6)
-    uncut = token_links.Aligner(*token_links.default_paths())
-    uncut.divisible = False
-    texts = ["some words of a text", "words of another text, some long", "a b c d e f g h i j", "some words of a text"]
-    for aligner in (small, uncut):
-        for t in texts:
-            names, (at,) = aligner.parts_of([t])
-            parts = aligner.known(names)
-            own_names, (own_at,) = whole.parts_of([t])
-            own = whole.known(own_names)
-            assert ";".join(parts[i].groups for i in at) == ";".join(own[i].groups for i in own_at)
-            assert b"".join(parts[i].links for i in at) == b"".join(own[i].links for i in own_at)
-    assert len(small.young) + len(small.old) < 30
+def test_runs_and_whole_texts_change_nothing(monkeypatch):
+    texts = [t for t in HARD if t] + ["words of another text, some long", "a b c d e f g h i j"]
+    got = []
+    for run, divisible in ((token_links.RUN, True), (10, True), (token_links.RUN, False)):
+        monkeypatch.setattr(token_links, "RUN", run)
+        aligner = token_links.Aligner(*token_links.default_paths())
+        assert aligner.divisible
+        aligner.divisible = divisible
+        names, split = aligner.parts_of(texts)
+        parts = aligner.align(names)
+        stops = np.concatenate([[0], np.cumsum(parts.totals[:, 3])])
+        got.append([(";".join(parts.groups[i] for i in at), [x for i in at for x in parts.links[stops[i] : stops[i + 1]].tolist()]) if parts.ok[at].all() else None for at in split])
+    assert got[0] == got[1] == got[2] and None in got[0]
 
 
 def test_tokens_that_end_together_all_link():
