@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,13 +108,77 @@ def ledger(events: DataFrame, budget: int) -> DataFrame:
     return replayed(rows, "run", ["seq"], start.copy, step, "state string, reserved long, spent long, refused long")
 
 
-def rejected(before: Column, after: Column, headings: str = r"(?m)^#+ .*$", placeholder: str = r"\[[^\[\]]+\]") -> Column:
-    """Why a revised text can't stand: too short, a placeholder or a heading lost (each counts as
-    often as it stands there), or ""."""
+#: What counts as white space at a text's ends and between its words.
+WHITE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
+#: Lines that head a section without a mark, and the words that begin a closing.
+PLAIN_HEADINGS = (
+    "header", "introduction", "introduction & credentials of observation", "in-service event / onset", "observed symptoms and their progression", "observed symptoms",
+    "functional impact", "continuity", "continuity statement", "closing", "certification", "closing & certification", "signature",
+)
+CLOSING = r"(?i)\bI\s+(?:(?:hereby|solemnly)\s+)?(?:certify|declare|affirm|attest)\b"
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+$", "")
+
+
+def plain(text: Column) -> Column:
+    """Words joined by single spaces."""
+    return _bare(F.regexp_replace(text, rf"{WHITE}+", " "))
+
+
+def headings(text: Column) -> Column:
+    """The lines of a text that aren't blank, each as struct(label, filled): the heading's plain
+    label (null for other lines), and whether the next line is none."""
+    lines = F.filter(F.transform(F.split(text, r"\R|[\x1C-\x1E]"), _bare), lambda x: x != "")
+
+    def label(x: Column) -> Column:
+        bare = F.lower(plain(F.regexp_replace(F.regexp_replace(x, r"^(?:#{1,6}\s+|\d+[.)]\s+)", ""), r"^[*_#: ]+|[*_#: ]+$", "")))
+        starred = x.startswith("**") & F.regexp_replace(x, ":+$", "").endswith("**")
+        return once(bare, lambda name: F.when((name != "") & (x.startswith("#") | starred | (x.rlike(r"^\d+[.)]\s+") & (F.length(name) <= 120)) | name.isin(*PLAIN_HEADINGS)), name))
+
+    def filled(labels: Column) -> Column:
+        return F.transform(labels, lambda x, i: F.struct(x.alias("label"), ((i + 1 < F.size(labels)) & F.get(labels, i + 1).isNull()).alias("filled")))
+
+    return once(F.transform(lines, label), filled)
+
+
+def lost(had: Column, has: Column) -> Column:
+    """Whether an element stands less often in has than in had."""
+
+    def fewer(both: Column) -> Column:
+        return F.exists(F.array_distinct(both["had"]), lambda p: F.size(F.filter(both["had"], lambda x: x == p)) > F.size(F.filter(both["has"], lambda x: x == p)))
+
+    return once(F.struct(had.alias("had"), has.alias("has")), fewer)
+
+
+def rejected(before: Column, after: Column, placeholder: str = r"\[[^\[\]]+\]") -> Column:
+    """Why a revised text can't stand, the first of: no statement (null or blank), too short, a
+    placeholder or a heading lost (each counts as often as it stands there), a section emptied,
+    the closing changed, the text changed; or "". A null original is empty."""
+    old, new = F.coalesce(before, F.lit("")), F.coalesce(after, F.lit(""))
+
+    def held(text: Column) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(placeholder), F.lit(0)), plain)
 
-    def lost(pattern: str) -> Column:
-        had, has = (F.regexp_extract_all(t, F.lit(pattern), F.lit(0)) for t in (before, after))
-        return F.exists(F.array_distinct(had), lambda p: F.size(F.filter(had, lambda x: x == p)) > F.size(F.filter(has, lambda x: x == p)))
+    def named(text: Column, filled: bool) -> Column:
+        return F.transform(F.filter(headings(text), lambda h: h["label"].isNotNull() & (h["filled"] if filled else F.lit(True))), lambda h: h["label"])
 
-    short = F.length(F.trim(after)) <= F.greatest(F.lit(200), F.floor(F.length(before) * 0.4))
-    return F.when(short, "too short").when(lost(placeholder), "placeholder lost").when(lost(headings), "heading lost").otherwise("")
+    from_ = F.length(old) - F.length(F.regexp_replace(old, rf"(?s)^.*?(?={CLOSING})", ""))
+    closing = F.when(old.rlike(CLOSING), plain(F.substring(old, from_ + 1, F.length(old))))
+    short = F.length(_bare(new)) <= F.greatest(F.lit(200), F.floor(F.length(old) * 0.4))
+    rules = [
+        (_bare(new) == "", "no statement"),
+        (short, "too short"),
+        (lost(held(old), held(new)), "placeholder lost"),
+        (lost(named(old, False), named(new, False)), "heading lost"),
+        (lost(named(old, True), named(new, True)), "section emptied"),
+        (~plain(new).endswith(closing), "closing changed"),
+        (plain(old) != plain(new), "text changed"),
+    ]
+    return F.coalesce(*[F.when(rule, F.lit(reason)) for rule, reason in rules], F.lit(""))

@@ -13,6 +13,7 @@ ELEMENT_OF = {
     "treatment": "treatment_history", "medication": "treatment_history", "hospitalization": "treatment_history", "provider_visit": "treatment_history",
     "functional_limitation": "functional_impact", "observable_behavior": "buddy_observable",
 }
+#: What speaks of a connection.
 NEXUS = (
     r"(?i)\b(as likely as not|at least as likely|more likely than not|less likely than not|secondary to|caused by|causally related|aggravat\w*|"
     r"service[- ]connected|nexus|incurred in service|arose during service)\b"
@@ -26,15 +27,15 @@ RECORD_TYPES = (
 #: The kinds of claim, and other names for them.
 CLAIM_TYPES = ("in_service_event", "onset", "symptom", "diagnosis_reference", "treatment_reference", "date_or_place", "functional_impact", "continuity", "other")
 CLAIM_ALIASES = {
-    "diagnosis_reference": "diagnosis diagnosed condition medical_diagnosis tentative_diagnosis suspected_diagnosis",
-    "treatment_reference": "treatment medication test_result hospitalization provider_visit medical_visit visit exam examination scan imaging therapy surgery procedure assistive_device device cane care",
-    "functional_impact": "functional_limitation observable_behavior limitation impairment daily_life work work_impact missed_work occupational social caregiver aid_and_attendance adl mobility fall near_fall",
-    "date_or_place": "date place location time timeline chronology when where",
-    "in_service_event": "service_event in_service stressor hazard exposure injury incident event trauma combat",
-    "continuity": "progression worsening chronicity history course flare_up frequency duration persistence ongoing",
-    "onset": "initial_onset first_symptom start beginning origin uncertain_onset",
-    "symptom": "pain sign complaint swelling tinnitus ringing limp limping negation absence no_symptom",
-}
+    "diagnosis_reference": ("diagnosis", "diagnosed", "condition", "medical_diagnosis", "tentative_diagnosis", "suspected_diagnosis"),
+    "treatment_reference": ("treatment", "medication", "test_result", "hospitalization", "provider_visit", "medical_visit", "visit", "exam", "examination", "scan", "imaging", "therapy", "surgery", "procedure", "assistive_device", "device", "cane", "care"),
+    "functional_impact": ("functional_limitation", "observable_behavior", "limitation", "impairment", "daily_life", "work", "work_impact", "missed_work", "occupational", "social", "caregiver", "aid_and_attendance", "adl", "mobility", "fall", "near_fall"),
+    "date_or_place": ("date", "place", "location", "time", "timeline", "chronology", "when", "where"),
+    "in_service_event": ("service_event", "in_service", "stressor", "hazard", "exposure", "injury", "incident", "event", "trauma", "combat"),
+    "continuity": ("progression", "worsening", "chronicity", "history", "course", "flare_up", "frequency", "duration", "persistence", "ongoing"),
+    "onset": ("initial_onset", "first_symptom", "start", "beginning", "origin", "uncertain_onset"),
+    "symptom": ("pain", "sign", "complaint", "swelling", "tinnitus", "ringing", "limp", "limping", "negation", "absence", "no_symptom"),
+}
 
 
 def norm_key(text: Column) -> Column:
@@ -127,12 +128,13 @@ def claim_type(value: Column) -> Column:
         clean = F.regexp_replace(part, r"[\s\-]+", "_")
         out = F.when(clean.isin(*CLAIM_TYPES), clean)
         for name, aliases in CLAIM_ALIASES.items():
-            out = out.when(clean.isin(*aliases.split()), name)
+            out = out.when(clean.isin(*aliases), name)
         return out
 
     return F.coalesce(F.try_element_at(F.filter(F.transform(parts, one), lambda t: t.isNotNull()), F.lit(1)), F.lit("other"))
 
 
+#: The two printed forms of a citation.
 MARKER = r"(?i)^\[?([^\[\]]+?)\s*—\s*(?:page|block)\s*(\d+)\]?$"
 LABEL = r"(?i)^(.+?)\s+[pb]\.(\d+)(?:\s*[-–]\s*[pb]\.\d+)?$"
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import bisect
 import json
+from collections import Counter
+from collections.abc import Iterator
+from itertools import accumulate
 from typing import Any
 
 import pandas as pd
@@ -173,35 +175,45 @@ def advice(claims: Column, contradictions: Column, gaps: Column, problems: Colum
     return F.slice(F.concat(own, F.slice(fixed(FILLERS), F.lit(1), lack)), 1, most)
 
 
-def _capped(value: Any, chars: int, rows: int) -> Any:
+def _pieces(value: Any, rank: int = -1, line: str = "\n") -> Iterator[tuple[int, str, bool]]:
+    """What prints a JSON value with an indent of one, piece by piece: the last place that any
+    list around it has to keep (-1: none), the piece, and whether it is a string's own text."""
     if isinstance(value, str):
-        return value if len(value) <= chars else value[:chars] + CUT
-    if isinstance(value, list):
-        return [_capped(v, chars, rows) for v in value[:rows]]
-    return {k: _capped(v, chars, rows) for k, v in value.items()} if isinstance(value, dict) else value
-
-
-def _longest(value: Any) -> int:
-    inside = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
-    return max([len(value) if isinstance(value, list) else 0, *map(_longest, inside)])
+        yield rank, value, True
+    elif value and isinstance(value, dict | list):
+        named = value.items() if isinstance(value, dict) else ((None, v) for v in value)
+        yield rank, "{" if isinstance(value, dict) else "[", False
+        for at, (key, inner) in enumerate(named):
+            own = rank if isinstance(value, dict) else max(rank, at)
+            yield own, ("," if at else "") + line + " " + ("" if key is None else json.dumps(key) + ": "), False
+            yield from _pieces(inner, own, line + " ")
+        yield rank, line + ("}" if isinstance(value, dict) else "]"), False
+    else:
+        yield rank, json.dumps(value), False
 
 
 def shortened_json(value: dict[str, Any], budget: int) -> str:
     """A JSON object printed within the budget: strings cut to the first of STRING_CAPS with
-    which lists of one row fit, lists to as many rows as then fit, and a note that says so."""
-
-    def printed(chars: int, rows: int) -> str:
-        out = _capped(value, chars, rows)
-        return json.dumps(out if out == value else out | {"_note": NOTE}, indent=1)
+    which lists of one row fit, lists to as many rows as then fit, and a note that says so.
 
+    Of lists cut to n rows, just the pieces of a rank below n are left, so sizes summed by rank
+    tell for a cap how many rows fit."""
     whole = json.dumps(value, indent=1)
     if len(whole) <= budget:
         return whole
+    pieces = list(_pieces(value | {"_note": None}))
+    note = next(i for i, (_, piece, own) in enumerate(pieces) if not own and piece.endswith('\n "_note": ')) + 1
+    pieces[note] = (-1, json.dumps(NOTE), False)
     for chars in STRING_CAPS:
-        over = bisect.bisect_left(range(1, max(1, _longest(value)) + 1), True, key=lambda rows, c=chars: len(printed(c, rows)) > budget)
-        if over:
-            return printed(chars, over)
-    return printed(STRING_CAPS[-1], 1)
+        shown = [json.dumps(piece if len(piece) <= chars else piece[:chars] + CUT) if own else piece for _, piece, own in pieces]
+        sizes: Counter[int] = Counter()
+        for (rank, _, _), text in zip(pieces, shown, strict=True):
+            sizes[max(rank, 0)] += len(text)
+        fitting = [rank for rank, size in zip(sorted(sizes), accumulate(sizes[r] for r in sorted(sizes)), strict=True) if size <= budget]
+        if fitting or chars == STRING_CAPS[-1]:
+            last = max(fitting, default=0)
+            return "".join(text for (rank, _, _), text in zip(pieces, shown, strict=True) if rank <= last)
+    raise AssertionError("the last cap always returns")
 
 
 def fitted_json(data: Column, budget: int = 25_000) -> Column:

@@ -70,25 +70,68 @@ def str_09_ledger(spark, sf):
     return reporting.ledger(e, 500)
 
 
+#: What becomes of a text in eight ways.
+_HEAD, _TAIL = "# Head\n[Confirm  date] Intro line\n**Facts:**\n", "\n\n3. Wishes\nnone\nClosing\nI hereby certify\tthis.\n[Name]"
+
+
 def _rejections(documents):
-    before = F.concat(F.lit("# Head\n[Confirm date] "), "text")
-    k = F.col("doc_id") % 3
-    after = F.when(k == 0, "# Head").when(k == 1, F.replace(before, F.lit("[Confirm date]"), F.lit("May"))).otherwise(before)
+    before, k = F.concat(F.lit(_HEAD), "text", F.lit(_TAIL)), F.col("doc_id") % 8
+    after = (
+        F.when(k == 0, F.replace(before, F.lit("[Confirm  date]"), F.lit("May")))
+        .when(k == 1, F.replace(before, F.lit("**Facts:**"), F.lit("Facts")))
+        .when(k == 2, F.replace(before, F.lit("\nnone\n"), F.lit("\n")))
+        .when(k == 3, F.concat(before, F.lit(" more")))
+        .when(k == 4, F.replace(before, F.lit("Intro line"), F.lit("Intro lines")))
+        .when(k == 5, F.concat(F.substring(before, 1, 150), F.repeat(F.lit("\n"), F.lit(500))))
+        .when(k == 6, F.replace(F.replace(before, F.lit("  date]"), F.lit(" date]")), F.lit("\n\n"), F.lit(" \r\n")))
+    )
     return documents.select("doc_id", reporting.rejected(before, after).alias("reason"))
 
 
-@query(
-    "pred_06_rejections",
-    """SELECT doc_id, CASE WHEN length(trim(after)) <= greatest(200, floor(length(before) * 0.4)) THEN 'too short' WHEN doc_id % 3 = 1 THEN 'placeholder lost' ELSE '' END AS reason FROM (
-      SELECT doc_id, before, CASE doc_id % 3 WHEN 0 THEN '# Head' WHEN 1 THEN replace(before, '[Confirm date]', 'May') ELSE before END AS after FROM (
-        SELECT doc_id, '# Head' || chr(10) || '[Confirm date] ' || text AS before FROM documents))""",
-)
-@query(
-    "pred_06_all_rejections",
-    """SELECT doc_id, CASE WHEN length(trim(after)) <= greatest(200, floor(length(before) * 0.4)) THEN 'too short' WHEN doc_id % 3 = 1 THEN 'placeholder lost' ELSE '' END AS reason FROM (
-      SELECT doc_id, before, CASE doc_id % 3 WHEN 0 THEN '# Head' WHEN 1 THEN replace(before, '[Confirm date]', 'May') ELSE before END AS after FROM (
-        SELECT doc_id, '# Head' || chr(10) || '[Confirm date] ' || text AS before FROM documents))""",
-)
+_W = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
+
+
+def _text_sql(s):
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\r", "' || chr(13) || '").replace("\t", "' || chr(9) || '") + "'"
+
+
+def _plain_sql(x):
+    return rf"regexp_replace(regexp_replace({x}, '{_W}+', ' ', 'g'), '^ +| +$', '', 'g')"
+
+
+def _lines_sql(x):
+    """Lines without blank ones, and the label of each that is a heading."""
+    lines = rf"list_filter(list_transform(string_split_regex({x}, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{{85}}\x{{2028}}\x{{2029}}]'), lambda l: regexp_replace(l, '^{_W}+|{_W}+$', '', 'g')), lambda l: l <> '')"
+    name = "lower(" + _plain_sql(r"regexp_replace(regexp_replace(l, '^(?:#{1,6}\s+|\d+[.)]\s+)', ''), '^[*_#: ]+|[*_#: ]+$', '', 'g')") + ")"
+    known = ", ".join(f"'{h}'" for h in reporting.PLAIN_HEADINGS)
+    return rf"list_transform({lines}, lambda l: CASE WHEN {name} <> '' AND (l[1] = '#' OR (l[1:2] = '**' AND regexp_matches(l, '\*\*:*$')) OR (regexp_matches(l, '^\d+[.)]\s+') AND length({name}) <= 120) OR {name} IN ({known})) THEN {name} END)"
+
+
+def _lost_sql(a, b):
+    return f"len(list_filter(list_distinct({a}), lambda p: len(list_filter({a}, lambda x: x = p)) > len(list_filter({b}, lambda x: x = p)))) > 0"
+
+
+def _held_sql(x):
+    return rf"list_transform(regexp_extract_all({x}, '\[[^\[\]]+\]'), lambda h: {_plain_sql('h')})"
+
+
+def _filled_sql(x):
+    return f"list_filter(list_transform({x}, lambda y, i: CASE WHEN i < len({x}) AND {x}[i + 1] IS NULL THEN y END), lambda y: y IS NOT NULL)"
+
+
+_REJECTED = rf"""SELECT doc_id, CASE WHEN after IS NULL THEN 'no statement' WHEN length(regexp_replace(after, '^{_W}+|{_W}+$', '', 'g')) <= greatest(200, floor(length(before) * 0.4)) THEN 'too short'
+    WHEN {_lost_sql('hb', 'ha')} THEN 'placeholder lost' WHEN {_lost_sql('list_filter(lb, lambda y: y IS NOT NULL)', 'list_filter(la, lambda y: y IS NOT NULL)')} THEN 'heading lost'
+    WHEN {_lost_sql(_filled_sql('lb'), _filled_sql('la'))} THEN 'section emptied'
+    WHEN NOT suffix(pa, {_plain_sql("regexp_extract(before, '(?is)\\bI\\s+(?:(?:hereby|solemnly)\\s+)?(?:certify|declare|affirm|attest)\\b.*')")}) THEN 'closing changed'
+    WHEN pa <> {_plain_sql('before')} THEN 'text changed' ELSE '' END AS reason
+  FROM (SELECT *, {_held_sql('before')} AS hb, {_held_sql('after')} AS ha, {_lines_sql('before')} AS lb, {_lines_sql('after')} AS la, {_plain_sql('after')} AS pa FROM (
+    SELECT doc_id, before, CASE doc_id % 8 WHEN 0 THEN replace(before, '[Confirm  date]', 'May') WHEN 1 THEN replace(before, '**Facts:**', 'Facts') WHEN 2 THEN replace(before, {_text_sql(chr(10) + 'none' + chr(10))}, chr(10))
+      WHEN 3 THEN before || ' more' WHEN 4 THEN replace(before, 'Intro line', 'Intro lines') WHEN 5 THEN before[1:150] || repeat(chr(10), 500) WHEN 6 THEN replace(replace(before, '  date]', ' date]'), chr(10) || chr(10), ' ' || chr(13) || chr(10)) END AS after
+    FROM (SELECT doc_id, {_text_sql(_HEAD)} || text || {_text_sql(_TAIL)} AS before FROM documents)))"""
+
+
+@query("pred_06_rejections", _REJECTED)
+@query("pred_06_all_rejections", _REJECTED)
 def pred_06_all_rejections(spark, sf):
     return _rejections(tables.table(spark, sf, "documents"))
 

@@ -124,7 +124,7 @@ def agg_11_rating(spark, sf):
     return c.select(F.col("c_custkey").alias("id"), review.rating(F.col("c_custkey") % 81, F.col("c_custkey") % 11).alias("rating"))
 
 
-_ALIAS = " ".join(f"WHEN c IN ({', '.join(repr(a) for a in names.split())}) THEN '{k}'" for k, names in review.CLAIM_ALIASES.items())
+_ALIAS = " ".join(f"WHEN c IN ({', '.join(repr(a) for a in names)}) THEN '{k}'" for k, names in review.CLAIM_ALIASES.items())
 
 
 @query(
