@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.columns import mapped, once
+from quillspark.operators.linking import shared_words
+from quillspark.session import settled
+
+#: What is a word, a number, a claim of cause, a border of clauses.
 WORD = r"[\p{L}\p{N}_]+(?:'[\p{L}\p{N}_]+)?"
 NUMBER = r"(?<![\p{L}\p{N}_])-?\d+(?:[.,]\d+)*(?![\p{L}\p{N}_])"
 #: Number words and what they count.
@@ -44,6 +51,21 @@ MARKED = {
     "uncertainty": {"uncertain": ("maybe", "possibly", "possible", "might", "could", "uncertain", "unsure", "believe", "think", "suspect")},
     "attribution": {"observed": ("observed", "saw", "seen", "watched", "personally"), "reported": ("told", "reported", "reports", "said", "says")},
 }
+#: What a text's claims are told apart by.
+FAMILIES = ("wording", "numbers", *LISTED, *MARKED, "bindings", "nexus")
+#: What a witness's fields may be wrapped in, by field, and words of how often.
+IDENTITY = ("name", "relationship", "known_since", "contact_frequency")
+OPPORTUNITY = (
+    "daily", "weekly", "monthly", "hourly", "occasionally", "sometime", "constant", "always", "every", "day", "days", "week", "month", "year", "hour", "time", "often", "rarely", "regularly",
+)
+#: Lines of form, and how records are named as the source.
+FORM = (
+    "header", "introduction", "introduction & credentials of observation", "in-service event / onset", "observed symptoms and their progression", "observed symptoms",
+    "functional impact", "continuity", "continuity statement", "closing", "certification", "closing & certification", "signature",
+)
+OATH = "i certify that this statement is true and correct to the best of my knowledge and belief"
+ATTRIBUTED = r"(?i)\b(?:records? (?:show|state|report|document|note)|according to (?:the )?(?:medical )?records?|(?:medical|clinical) (?:record|note|report))\b"
+BORDER = r"[;!?]|\b(?:and|or|but)\b|(?<!\d)[,.]|[,.](?!\d)"
 CAUSE = r"(?i)\b(?:caused by|due to|service[- ]connected|nexus)\b"
 
 
@@ -53,65 +75,249 @@ def words(text: Column) -> Column:
 
 def content_word(w: Column) -> Column:
     """A word by what it means the same as, else without ing, ed or s."""
-    same = F.create_map(*[F.lit(x) for p in SAME.items() for x in p])
-
     def without(n: int) -> Column:
         return F.substring(w, F.lit(1), F.length(w) - n)
 
     stem = F.when((F.length(w) > 5) & w.endswith("ing"), without(3)).when((F.length(w) > 4) & w.endswith("ed"), without(2)).when((F.length(w) > 4) & w.endswith("s"), without(1)).otherwise(w)
-    return F.coalesce(F.try_element_at(same, w), stem)
+    return F.coalesce(F.try_element_at(mapped(SAME), w), stem)
 
 
-def features(text: Column) -> dict[str, Column]:
-    """Families of what a text claims, each a sorted array: its content words, numbers (digits and
-    words), the words of LISTED and the marks of MARKED, and diagnoses and causes. A null text has
-    empty families."""
+def number_bindings(text: Column) -> Column:
+    """Every number of a text (digits or a word) with what it is bound to: the content words of its
+    clause, which of the clause's numbers it is, and how many of those words stand before it. A
+    sorted array; equal bindings are numbered. A null text has none."""
+    counted = mapped(NUMBERS)
+
+    def content(w: Column) -> Column:
+        return ~w.isin(*GRAMMAR, "known", "know", "name") & ~w.isin(*NUMBERS) & ~w.rlike(rf"^(?:\p{{Nd}}+|{NUMBER})$")
+
+    def of_clause(tokens: Column) -> Column:
+        each = F.transform(tokens, lambda t: F.struct(F.coalesce(F.try_element_at(counted, t), F.when(t.rlike(f"^{NUMBER}$"), t)).alias("number"), F.when(content(t), content_word(t)).alias("word")))
+        return once(each, bound)
+
+    def bound(marks: Column) -> Column:
+        said = F.array_join(F.array_compact(F.transform(marks, lambda m: m["word"])), " ")
+
+        def upto(i: Column, part: str) -> Column:
+            return F.size(F.filter(F.slice(marks, F.lit(1), i), lambda m: m[part].isNotNull())).cast("string")
+
+        return F.array_compact(F.transform(marks, lambda m, i: F.when(m["number"].isNotNull(), F.concat_ws("|", said, upto(i + 1, "number"), upto(i, "word"), m["number"]))))
+
+    lowered = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("’"), F.lit("'")))
+    clauses = F.transform(F.split(lowered, BORDER), lambda c: of_clause(F.regexp_extract_all(c, F.lit(f"{NUMBER}|{WORD}"), F.lit(0))))
+    numbered = once(F.flatten(clauses), lambda b: F.transform(b, lambda x, i: F.concat(x, F.lit(":"), F.size(F.filter(F.slice(b, F.lit(1), i + 1), lambda y: y == x)).cast("string"))))
+    return F.array_sort(numbered)
+
+
+def stated(text: Column) -> Column:
+    """Families of what a text claims, a struct of sorted arrays: its content words, numbers (digits
+    and words), the words of LISTED and the marks of MARKED, what numbers are bound to, and
+    diagnoses and causes. A null text has empty families."""
     full = F.coalesce(text, F.lit(""))
-    own = F.array_distinct(words(full))
-    counted = F.create_map(*[F.lit(x) for p in NUMBERS.items() for x in p])
-    spelt = F.filter(F.transform(own, lambda w: F.try_element_at(counted, w)), lambda x: x.isNotNull())
 
-    def has(some: tuple[str, ...]) -> Column:
-        return F.arrays_overlap(own, F.array(*map(F.lit, some)))
+    def of_words(own: Column) -> Column:
+        spelt = F.filter(F.transform(own, lambda w: F.try_element_at(mapped(NUMBERS), w)), lambda x: x.isNotNull())
 
-    def marks(rules: dict[str, Column]) -> Column:
-        return F.array_compact(F.array(*[F.when(rule, mark) for mark, rule in sorted(rules.items())]))
+        def has(some: tuple[str, ...]) -> Column:
+            return F.arrays_overlap(own, F.array(*map(F.lit, some)))
 
-    wording = F.filter(own, lambda w: ~w.isin(*GRAMMAR) & ~w.isin(*NUMBERS) & ~w.rlike(r"^\p{Nd}+$"))
-    out = {"wording": F.array_sort(F.array_distinct(F.transform(wording, content_word))), "numbers": F.array_sort(F.array_union(F.regexp_extract_all(full, F.lit(NUMBER), F.lit(0)), spelt))}
-    out |= {name: F.array_sort(F.array_intersect(own, F.array(*map(F.lit, some)))) for name, some in LISTED.items()}
-    out |= {name: marks({m: has(some) for m, some in rules.items()}) for name, rules in MARKED.items()}
-    return out | {"nexus": marks({"diagnosis": has(("diagnosed", "diagnosis", "diagnoses")), "causation": full.rlike(CAUSE)})}
+        def marks(rules: dict[str, Column]) -> Column:
+            return F.array_compact(F.array(*[F.when(rule, mark) for mark, rule in sorted(rules.items())]))
+
+        wording = F.filter(own, lambda w: ~w.isin(*GRAMMAR) & ~w.isin(*NUMBERS) & ~w.rlike(r"^\p{Nd}+$"))
+        out = {"wording": F.array_sort(F.array_distinct(F.transform(wording, content_word))), "numbers": F.array_sort(F.array_union(F.regexp_extract_all(full, F.lit(NUMBER), F.lit(0)), spelt))}
+        out |= {name: F.array_sort(F.array_intersect(own, F.array(*map(F.lit, some)))) for name, some in LISTED.items()}
+        out |= {name: marks({m: has(some) for m, some in rules.items()}) for name, rules in MARKED.items()}
+        out |= {"bindings": number_bindings(text), "nexus": marks({"diagnosis": has(("diagnosed", "diagnosis", "diagnoses")), "causation": full.rlike(CAUSE)})}
+        return F.struct(*[out[k].alias(k) for k in FAMILIES])
+
+    return once(F.array_distinct(words(full)), of_words)
+
+
+def features(text: Column) -> dict[str, Column]:
+    """The families of stated, by name."""
+    own = stated(text)
+    return {k: own[k] for k in FAMILIES}
 
 
 def critical_flags(facts: DataFrame, most: int | None = 100) -> DataFrame:
     """seq and fields of facts (seq, date, description, quote) whose description says something
     other than their own quote: families that differ, content words that the quote lacks, and
     numbers of the date that it lacks. The first most by seq."""
-    a, b = features(F.col("quote")), features(F.col("description"))
-    changed = [F.when(a[k] != b[k], k) for k in a if k != "wording"]
+    a, b = ({k: F.col(f"{x}.{k}") for k in FAMILIES} for x in ("_quote", "_said"))
+    facts = facts.select("seq", "date", stated(F.col("quote")).alias("_quote"), stated(F.col("description")).alias("_said"))
+    changed = [F.when(a[k] != b[k], k) for k in FAMILIES if k != "wording"]
     changed.append(F.when(F.size(F.array_except(b["wording"], a["wording"])) > 0, "wording"))
     changed.append(F.when(F.size(F.array_except(F.regexp_extract_all(F.coalesce("date", F.lit("")), F.lit(r"\d+"), F.lit(0)), a["numbers"])) > 0, "date"))
     out = facts.select("seq", F.array_compact(F.array(*changed)).alias("fields")).where(F.size("fields") > 0)
     return out if most is None else out.orderBy("seq").limit(most)
 
 
-def supported(outputs: DataFrame, sources: DataFrame, most: int = 3, least_words: int = 4) -> DataFrame:
+def key_of(text: Column) -> Column:
+    """A text's words joined by spaces: what makes texts equal here."""
+    return F.array_join(words(F.coalesce(text, F.lit(""))), " ")
+
+
+def supported(outputs: DataFrame, sources: DataFrame, most: int | None = 3, least_words: int = 4, scope: tuple[str, ...] = ()) -> DataFrame:
     """left_id, right_id, how and place: the sources (id, text) that hold an output (id, text)
-    word for word: exact, or else contained, if the output has least_words. First by id.
+    word for word: exact, or else contained, if the output has least_words. First by id; all
+    with most None. Rows meet within equal scope columns, which come out too.
 
     A source that contains an output has its rarest word, so an output meets only the sources
-    with that word: common words join nothing."""
-    key = F.array_join(words(F.coalesce("text", F.lit(""))), " ")
-    a = outputs.select(F.col("id").alias("left_id"), key.alias("key")).where("key <> ''")
-    b = sources.select(F.col("id").alias("right_id"), key.alias("source"))
-    exact = a.join(b, a.key == b.source).select("left_id", "right_id", F.lit("exact").alias("how"))
-    rest = a.where(F.size(F.split("key", " ")) >= least_words).join(exact.select("left_id").distinct(), "left_id", "left_anti")
-    postings = b.select("right_id", F.explode(F.array_distinct(F.split("source", " "))).alias("w"))
-    asked = rest.select("left_id", F.explode(F.array_distinct(F.split("key", " "))).alias("w"))
-    df = postings.join(asked.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
-    rarest = asked.join(df, "w", "left").groupBy("left_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("r")).where("r.n > 0").select("left_id", F.col("r.w").alias("w"))
-    near = rarest.join(postings, "w").join(rest, "left_id").join(b, "right_id")
-    held = near.where(F.contains(F.concat(F.lit(" "), "source", F.lit(" ")), F.concat(F.lit(" "), "key", F.lit(" ")))).select("left_id", "right_id", F.lit("contained").alias("how"))
-    place = F.row_number().over(Window.partitionBy("left_id").orderBy("right_id"))
-    return exact.unionByName(held).withColumn("place", place).where(F.col("place") <= most)
+    with that word: common words join nothing. Of equal sources, an output meets the first most."""
+    key, left, right, w = key_of(F.col("text")), [*scope, "left_id"], [*scope, "right_id"], [*scope, "w"]
+    a = outputs.select(*scope, F.col("id").alias("left_id"), key.alias("key")).where("key <> ''")
+    b = sources.select(*scope, F.col("id").alias("right_id"), key.alias("source"))
+    equal = b.withColumnRenamed("source", "key")
+    if most is not None:
+        equal = equal.withColumn("_nth", F.row_number().over(Window.partitionBy(*scope, "key").orderBy("right_id"))).where(F.col("_nth") <= most).drop("_nth")
+    exact = a.join(equal, [*scope, "key"]).select(*left, "right_id", F.lit("exact").alias("how"))
+    rest = a.where(F.size(F.split("key", " ")) >= least_words).join(exact.select(*left).distinct(), left, "left_anti")
+    postings = b.select(*right, F.explode(F.array_distinct(F.split("source", " "))).alias("w"))
+    asked = rest.select(*left, F.explode(F.array_distinct(F.split("key", " "))).alias("w"))
+    df = postings.join(asked.select(*w).distinct(), w, "left_semi").groupBy(*w).agg(F.count("*").alias("n"))
+    rarest = asked.join(df, w, "left").groupBy(*left).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w")).alias("r")).where("r.n > 0").select(*left, F.col("r.w").alias("w"))
+    near = rarest.join(postings, w).join(rest, left).join(b, right)
+    held = near.where(F.contains(F.concat(F.lit(" "), "source", F.lit(" ")), F.concat(F.lit(" "), "key", F.lit(" ")))).select(*left, "right_id", F.lit("contained").alias("how"))
+    place = F.row_number().over(Window.partitionBy(*left).orderBy("right_id"))
+    found = exact.unionByName(held).withColumn("place", place)
+    return found if most is None else found.where(F.col("place") <= most)
+
+
+@dataclass(frozen=True)
+class Compared:
+    """What a comparison of drafts with their sources says. rows: draft_id, ord, sentence, how,
+    source_ids, candidates, changed and reasons of every sentence; left_over: draft_id and
+    source_id of the account's passages that no sentence without reasons uses; drafts: draft_id,
+    status (blocked or review_required) and issues."""
+
+    rows: DataFrame
+    left_over: DataFrame
+    drafts: DataFrame
+
+
+def sentences(texts: DataFrame, text: str = "text") -> DataFrame:
+    """The sentences and lines of each text, with their ord from 0; null texts have none."""
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.!?])(?=\s)|\n+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    return texts.select(*[c for c in texts.columns if c != text], F.posexplode(parts).alias("ord", "sentence"))
+
+
+def is_form(text: Column) -> Column:
+    """Whether a line is a heading or the oath, and says nothing of the case."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"^[\s#*: ]+|[\s#*: ]+$", ""), r"\.+$", "")
+    return F.lower(bare).isin(*FORM) | (key_of(text) == OATH)
+
+
+def _excess(expected: dict[str, Column], actual: dict[str, Column]) -> Column:
+    """The families in which a sentence says more or less than its sources (kinds, fields and
+    often of columns so named): a witness's fields may be wrapped in a few words of their own."""
+    fields, apart = F.col("fields"), F.col("kinds") == F.array(F.lit("field"))
+    often = apart & (fields == F.array(F.lit("contact_frequency"))) & F.col("often")
+    has = {f: F.array_contains(fields, f) for f in IDENTITY}
+
+    def free(rule: Column, *some: str) -> Column:
+        return F.when(rule, F.array(*map(F.lit, some))).otherwise(F.array().cast("array<string>"))
+
+    allowed = {
+        "chronology": free(has["known_since"], "since"),
+        "attribution": free(often, "observed"),
+        "wording": F.concat(free(has["name"], "name"), free(has["known_since"], "know", "known"), free(often, "observe")),
+    }
+    identity = apart & (F.size(fields) > 0) & (F.size(F.array_except(fields, F.array(*map(F.lit, IDENTITY)))) == 0)
+    out = []
+    for name, said in actual.items():
+        added = F.array_except(said, expected[name])
+        if name in allowed:
+            added = F.array_except(added, allowed[name])
+        more = F.size(added) > 0
+        out.append(F.when((more & ~identity if name == "speaker" else more) | (F.size(F.array_except(expected[name], said)) > 0), name))
+    return F.array_compact(F.array(*out))
+
+
+def compared(drafts: DataFrame, sources: DataFrame, links: DataFrame | None = None, whole_account: bool = True, most_spans: int = 4000, most_chars: int = 120_000) -> Compared:
+    """Drafts (draft_id, text) sentence by sentence against their sources (draft_id, source_id,
+    kind: account, field or quote, field: the field's name, text; a passage each).
+
+    A sentence's options are the sources that hold it word for word; it takes the first that no
+    earlier sentence without reasons has taken, or else the first. Others are held against the
+    source that shares most words with them, which is a suggestion only. links (draft_id, ord,
+    source_id: three a sentence at most) choose instead. Reasons are: unlinked, invalid (links to
+    unknown or too many sources), the families that changed (`changed`), unattributed (a record's
+    quote told as one's own) and placeholder. Sentences of form are passed over. A blank draft, or
+    one with more than most_chars or most_spans sentences or sources, is blocked without rows.
+
+    All rows meet within their draft. Which source a sentence takes is one fold over a draft's
+    sentences; what they say is compared before, in rows."""
+    texts = drafts.select("draft_id", F.coalesce("text", F.lit("")).alias("text"))
+    passages = sources.select("draft_id", "source_id", "kind", "field", F.coalesce("text", F.lit("")).alias("text"))
+    spans = sentences(texts).groupBy("draft_id").agg(F.count("*").alias("said"))
+    known = passages.groupBy("draft_id").agg(F.count("*").alias("known"))
+    sized = texts.join(spans, "draft_id", "left").join(known, "draft_id", "left")
+    refused = F.when(F.coalesce("said", F.lit(0)) == 0, "blank").when(F.length("text") > most_chars, "too long").when(F.col("said") > most_spans, "too many sentences").when(F.col("known") > most_spans, "too many sources")
+    sized = sized.select("draft_id", "text", refused.alias("refused"))
+    fine = sized.where("refused IS NULL")
+    said = sentences(fine.select("draft_id", "text")).where(~is_form(F.col("sentence")))
+    said = settled(said.withColumn("says", stated(F.col("sentence"))))
+    mine = settled(passages.join(fine.select("draft_id"), "draft_id", "left_semi").withColumn("states", stated(F.col("text"))))
+    at = ["draft_id", "ord"]
+
+    held = supported(said.select("draft_id", F.col("ord").alias("id"), F.col("sentence").alias("text")), mine.select("draft_id", F.col("source_id").alias("id"), "text"), None, scope=("draft_id",))
+    held = held.select("draft_id", F.col("left_id").alias("ord"), F.col("right_id").alias("source_id"), "how", "place")
+
+    def scoped(text: str) -> Column:
+        return F.transform(words(F.col(text)), lambda w: F.concat(F.col("draft_id").cast("string"), F.lit(" "), w))
+
+    loose = said.join(held.select(*at).distinct(), at, "left_anti").select(F.struct(*at).alias("id"), scoped("sentence").alias("words"))
+    alike = shared_words(loose, mine.select(F.struct("draft_id", "source_id").alias("id"), scoped("text").alias("words")))
+    alike = alike.select("left_id.draft_id", "left_id.ord", "right_id.source_id", F.lit("suggested").alias("how"), "place")
+    candidates = settled(held.unionByName(alike))
+    listed = candidates.where("place <= 3").groupBy(*at).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "source_id"))), lambda c: c["source_id"]).alias("candidates"))
+    options = candidates.where("how <> 'suggested' OR place = 1").select(*at, "place", F.array("source_id").alias("ids"), "how")
+    if links is not None:
+        asked = links.select(*at, "source_id").distinct().join(mine.select("draft_id", "source_id", F.lit(True).alias("is")), ["draft_id", "source_id"], "left")
+        sets = asked.groupBy(*at).agg(F.array_sort(F.collect_set("source_id")).alias("ids"), ((F.count("*") <= 3) & F.coalesce(F.bool_and("is"), F.lit(False)) & (F.count("is") == F.count("*"))).alias("valid"))
+        good = said.select(*at).join(sets.where("valid"), at).select(*at, F.lit(1).alias("place"), "ids", F.lit("linked").alias("how"))
+        bad = options.where("place = 1").join(sets.where("NOT valid").select(*at), at, "left_semi").withColumn("how", F.lit("invalid"))
+        options = options.join(sets.select(*at), at, "left_anti").unionByName(good).unionByName(bad)
+        lone = said.select(*at).join(sets.where("NOT valid").select(*at), at, "left_semi").join(bad.select(*at), at, "left_anti").select(*at, F.lit(1).alias("place"), F.lit("invalid").alias("how"))
+        options = options.unionByName(lone, allowMissingColumns=True)
+
+    by_source = mine.select("draft_id", "source_id", "kind", F.when(F.col("kind") == "field", F.col("field")).alias("field"), "states")
+    calm = F.size(F.array_except("states.wording", F.array(*map(F.lit, OPPORTUNITY)))) == 0
+    based = options.select(*at, "place", F.explode("ids").alias("source_id")).join(by_source, ["draft_id", "source_id"])
+    based = based.groupBy(*at, "place").agg(F.collect_set("kind").alias("kinds"), F.array_sort(F.collect_set("field")).alias("fields"), F.bool_and(calm).alias("often"), *[F.array_distinct(F.flatten(F.collect_list(f"states.{k}"))).alias(f"_{k}") for k in FAMILIES])
+    full = said.join(options, at, "left").join(based, [*at, "place"], "left")
+    nothing = F.array().cast("array<string>")
+    full = full.select(*at, "sentence", "says", F.coalesce("place", F.lit(1)).alias("place"), "ids", F.coalesce("how", F.lit("none")).alias("how"), F.coalesce("often", F.lit(False)).alias("often"), *[F.coalesce(c, nothing).alias(c) for c in ("kinds", "fields", *(f"_{k}" for k in FAMILIES))])
+    full = full.withColumn("changed", _excess({k: F.col(f"_{k}") for k in FAMILIES}, {k: F.col(f"says.{k}") for k in FAMILIES}))
+    chosen = F.col("how").isin("exact", "contained", "linked")
+    rules = [
+        ("invalid", F.col("how") == "invalid"), ("unlinked", ~chosen), ("changed", F.size("changed") > 0),
+        ("unattributed", chosen & F.array_contains("kinds", "quote") & ~F.col("sentence").rlike(ATTRIBUTED)), ("placeholder", F.col("sentence").rlike(r"\[[^\[\]]+\]")),
+    ]
+    full = settled(full.select(*at, "sentence", "place", "how", F.when(chosen, F.col("ids")).alias("source_ids"), "changed", F.array_compact(F.array(*[F.when(rule, name) for name, rule in rules])).alias("reasons")))
+
+    # One fold a draft: places in order, and which option each sentence takes.
+    kind = sources.schema["source_id"].dataType.simpleString()
+    each = full.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct("place", "source_ids", (F.size("reasons") == 0).alias("clean")))).alias("options"))
+    ordered = each.groupBy("draft_id").agg(F.array_sort(F.collect_list(F.struct("ord", "options"))).alias("turns"))
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("used"), F.array().cast("array<struct<ord:int,place:int>>").alias("taken"))
+
+    def turn(state: Column, x: Column) -> Column:
+        open_ = F.filter(x["options"], lambda o: ~F.arrays_overlap(F.coalesce(o["source_ids"], state["used"]), state["used"]))
+        pick = F.coalesce(F.get(open_, F.lit(0)), F.get(x["options"], F.lit(0)))
+        used = F.when(pick["clean"], F.array_union(state["used"], pick["source_ids"])).otherwise(state["used"])
+        return F.struct(used.alias("used"), F.concat(state["taken"], F.array(F.struct(x["ord"].alias("ord"), pick["place"].alias("place")))).alias("taken"))
+
+    taken = ordered.select("draft_id", F.explode(F.aggregate("turns", start, turn, lambda s: s["taken"])).alias("t")).select("draft_id", "t.ord", "t.place")
+    rows = full.join(taken, [*at, "place"]).join(listed, at, "left").select(*at, "sentence", "how", F.coalesce("source_ids", F.array().cast(f"array<{kind}>")).alias("source_ids"), F.coalesce("candidates", F.array().cast(f"array<{kind}>")).alias("candidates"), "changed", "reasons")
+    rows = settled(rows)
+
+    used = rows.where(F.size("reasons") == 0).select("draft_id", F.explode("source_ids").alias("source_id")).distinct()
+    left_over = mine.where((F.col("kind") == "account") & ~is_form(F.col("text"))).select("draft_id", "source_id").join(used, ["draft_id", "source_id"], "left_anti")
+    marks = rows.groupBy("draft_id").agg(F.count_if(F.size("reasons") > 0).alias("bad"))
+    short = left_over.groupBy("draft_id").agg(F.count("*").alias("short"))
+    told = sized.join(marks, "draft_id", "left").join(short, "draft_id", "left")
+    issues = F.array_compact(F.array(F.col("refused"), F.when(F.col("refused").isNull() & F.col("bad").isNull(), "no sentences"), F.when(F.lit(whole_account) & (F.col("short") > 0), "passages left over"), F.when(F.col("bad") > 0, "sentences with reasons")))
+    told = told.select("draft_id", F.when(F.size(issues) == 0, "review_required").otherwise("blocked").alias("status"), issues.alias("issues"))
+    return Compared(rows, left_over, told)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import dates
+from quillspark.functions.columns import once
 from quillspark.operators.replay import State, replayed
 
 
@@ -118,11 +117,6 @@ PLAIN_HEADINGS = (
 CLOSING = r"(?i)\bI\s+(?:(?:hereby|solemnly)\s+)?(?:certify|declare|affirm|attest)\b"
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once however often use names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _bare(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+$", "")
 

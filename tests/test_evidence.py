@@ -50,5 +50,5 @@ def test_facts_that_say_more_than_their_quote(spark):
         (5, "", "two falls", "2 falls"), (6, None, None, None), (7, "", "pain", "no pain"), (8, "", "knee pains", "knee pain caused by it"),
     ]
     got = {r.seq: set(r.fields) for r in comparison.critical_flags(spark.createDataFrame(facts, "seq long, date string, description string, quote string"), None).collect()}
-    assert got == {1: {"numbers", "speaker"}, 2: {"numbers", "speaker", "date"}, 3: {"laterality", "wording"}, 4: {"nexus", "wording"}, 7: {"negation"}, 8: {"nexus"}}
+    assert got == {1: {"numbers", "bindings", "speaker"}, 2: {"numbers", "bindings", "speaker", "date"}, 3: {"laterality", "wording"}, 4: {"nexus", "wording"}, 7: {"negation"}, 8: {"nexus"}}
     assert comparison.critical_flags(spark.createDataFrame(facts, "seq long, date string, description string, quote string"), 2).count() == 2
