@@ -1,19 +1,19 @@
 """HTML extraction: main text by text-to-tag ratios over parser events.
 
 The standard library's parser streams events; every block-level tag starts a new line.
-A line's ratio is its characters outside links over its tags. The ratios are smoothed with
-a Gaussian over neighbouring lines and clustered by a threshold (two means of their
-logarithms); lines of the upper cluster are content, lines of elements that are no text of an
-article (SHUT) are not. The content region is the article or main that holds more than half of
-the upper cluster, lines weighing by their smoothed ratios, so that long text decides and not
-many lines; else the deepest element that holds nearly all of it, widened to its highest
-ancestor that adds no line that is shut out. Without an upper cluster there is no region, and
-the page is content as a whole.
-
-All lines of the region are the main text, but for inserts that say they are something else
-(SHUT_NAMES: a class, id or role of exactly such a name), and, where no article or main marks
-the region, for containers that hold links alone (ratio 0). Such inserts have no weight in the
-choice of the region; what lies outside it is left out by its ratios, whatever it is called.
+A line's ratio is its characters outside links over its tags; lines of elements that are no text
+of an article (SHUT) have none. Ratios are smoothed with a Gaussian over the neighbouring lines
+of one element and clustered by a threshold (two means of their logarithms): lines of the upper
+cluster are content. Elements then only close its gaps: a line between two of content in one
+element is content too, and so is all of an element that has SHARE of its ratios in the upper
+cluster (a title, a short last line, a list of links). An element that holds a menu, a footer or
+the like is the page and closes nothing. No markup is needed for this: neither article nor main
+has a say.
+
+Inserts that say what they are (SHUT_NAMES: a class, id or role of exactly such a name) are left
+out of the content's own elements; outside of those their ratios decide, unless a page has FEW lines
+or less and inserts make up more than SHORT of what was selected: beside so short an article a
+ratio says nothing, and the other lines are clustered again.
 
 Defined results: null or empty html, and pages without text, give an empty text; broken markup
 is read as the parser reads it; white space is space, tab, LF, VT, FF and CR; equal html gives
@@ -42,13 +42,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that are no text of an article: menus, headers (of the page), footers, sidebars, adverts' and
 #: other frames, forms and their controls, scripts and styles.
 SHUT = frozenset("head script style noscript template nav menu header footer aside form button select textarea option input dialog iframe object svg audio video canvas".split())
+#: Those that stand beside an article rather than in it.
+FRAME = frozenset("nav menu header footer aside".split())
 #: What inserts of an article are called that aren't its text; whole names only.
-SHUT_NAMES = frozenset("menu navigation footer sidebar related notice ad ads advert adverts advertisement form comments banner contentinfo complementary".split())
+SHUT_NAMES = frozenset("menu navigation footer sidebar notice ad ads advert adverts advertisement form comments banner contentinfo complementary".split())
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 #: Elements that an opening tag ends without their own end tag.
 ENDS = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 WHITE = " \t\n\v\f\r"
-SIGMA, REGION, MARKED = 1.0, 0.9, 0.5
+#: Lines of smoothing, the share of an element's ratios that closes it, and that of inserts in what is kept of a page of few lines that makes it doubtful.
+SIGMA, SHARE, SHORT, FEW = 3.0, 0.25, 0.2, 5
 
 
 class Lines(HTMLParser):
@@ -58,7 +61,6 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.elements: list[tuple[str, int, bool, bool, int]] = []  # name, number, shut out, article, insert
         self.lines: list[list] = []
-        self.articles: set[int] = set()
         self.count = self.links = 0
         self._new()
 
@@ -67,10 +69,12 @@ class Lines(HTMLParser):
 
     def _new(self) -> None:
         path = tuple(e[1] for e in self.elements)
+        shut = next(((k, e[0]) for k, e in enumerate(self.elements) if e[2]), None)
+        outside = shut[0] if shut and shut[1] in FRAME else -1  # how many elements a part of the page's frame stands in
         if self.lines and not self.lines[-1][0]:
-            self.lines[-1][3:] = [path, *self._inside()]
+            self.lines[-1][3:] = [path, *self._inside(), outside]
         else:
-            self.lines.append([[], 0, 0, path, *self._inside()])
+            self.lines.append([[], 0, 0, path, *self._inside(), outside])
 
     def _shuts(self, tag: str, known: dict[str, str | None]) -> bool:
         if tag in SHUT and not (tag == "header" and any(e[3] for e in self.elements)):  # an article's own header has its title
@@ -95,10 +99,8 @@ class Lines(HTMLParser):
             self.count += 1
             known, (shut, insert) = dict(attrs), self._inside()
             self.elements.append((tag, self.count, shut or self._shuts(tag, known), tag in ("article", "main"), insert or self.count * self._named(tag, known)))
-            if self.elements[-1][3]:
-                self.articles.add(self.count)
             self.links += tag == "a"
-        if tag in BLOCKS or [*self._inside()] != self.lines[-1][4:]:
+        if tag in BLOCKS or [*self._inside()] != self.lines[-1][4:6]:
             self._new()
         self.lines[-1][2] += 1
         if tag == "br":
@@ -109,7 +111,7 @@ class Lines(HTMLParser):
             self.links -= tag == "a"
         block = any(e[0] in BLOCKS for e in self.elements[k:])
         del self.elements[k:]
-        if block or [*self._inside()] != self.lines[-1][4:]:
+        if block or [*self._inside()] != self.lines[-1][4:6]:
             self._new()
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -134,13 +136,13 @@ class Lines(HTMLParser):
                 line[1] += len(data)
 
 
-def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
-    """Gaussian smoothing; at the ends the weights within the page are scaled up."""
+def smoothed(values: list[float], groups: list[tuple], sigma: float = SIGMA) -> list[float]:
+    """Gaussian smoothing over neighbouring lines of one group; the weights at hand are scaled up."""
     reach = math.ceil(3 * sigma)
     weight = [math.exp(-((d / sigma) ** 2) / 2) for d in range(-reach, reach + 1)]
     out, n = [], len(values)
     for i in range(n):
-        part = range(max(0, i - reach), min(n, i + reach + 1))
+        part = [j for j in range(max(0, i - reach), min(n, i + reach + 1)) if groups[j] == groups[i]]
         total = sum(weight[j - i + reach] for j in part)
         out.append(sum(values[j] * weight[j - i + reach] for j in part) / total)
     return out
@@ -160,33 +162,49 @@ def threshold(values: list[float]) -> float:
         low, high = means
 
 
-def region(lines: list[tuple], even: list[float], articles: set[int]) -> tuple[int | None, bool]:
-    """The element that the lines' upper cluster lies in (None: there is no such cluster, or no
-    such element), and whether an article or main marks it."""
-    cut = threshold(even)
-    if cut < min(even):
-        return None, False
+def closed(paths: list[tuple], even: list[float], cut: float, apart: set[int]) -> list[bool]:
+    """Which lines are over the cut, or close its gaps: a line between two such of one element,
+    and every line of an element of whose ratios more than half is over the cut. Elements of
+    apart close nothing."""
+    chosen = [math.log1p(v) > cut for v in even]
+    own: dict[int, list[int]] = {}
+    for k, path in enumerate(paths):
+        for number in path:
+            own.setdefault(number, []).append(k)
+    out = chosen[:]
+    for number, held in own.items():
+        if number in apart:
+            continue
+        marked = [i for i, k in enumerate(held) if chosen[k]]
+        if sum(even[held[i]] for i in marked) > SHARE * sum(even[k] for k in held):
+            marked = [0, len(held) - 1]
+        for k in held[marked[0] : marked[-1] + 1] if marked else ():
+            out[k] = True
+    return out
+
+
+def content(lines: list[tuple]) -> list[int]:
+    """The lines (text, characters in links, tags, path, shut out, insert, elements that a part
+    of the page's frame stands in) that are content."""
+    # An element that holds a menu, a footer and the like is the page, not its article.
+    apart = {n for x in lines if x[4] for n in (0, *x[3])[: x[6] + 1]}
     text = [k for k, x in enumerate(lines) if not x[4]]
-    text = [k for k in text if not lines[k][5]] or text
-    chosen = [k for k in text if even[k] > cut] or text
-    held: dict[int, float] = {}
-    for k in chosen:
-        for number in lines[k][3]:
-            held[number] = held.get(number, 0) + math.expm1(even[k])
-    most = sum(math.expm1(even[k]) for k in chosen)
-    marked = [n for n, weight in held.items() if n in articles and weight > MARKED * most]
-    if marked:
-        return min(marked), True  # numbers grow inwards: the outermost
-    # A single paragraph is no region of its own.
-    roots = {n for x in lines for n in x[3][:-1]}
-    deepest = max((n for n, weight in held.items() if weight >= REGION * most and n in roots), default=None)
-    if deepest is None:
-        return None, False
-    path = next(x[3] for x in lines if deepest in x[3])
-    above = path[: path.index(deepest) + 1]
-    # A line shut out beside the region leaves its path at some depth; ancestors down to there hold it.
-    apart = (next(k for k, n in enumerate(above) if x[3][k : k + 1] != (n,)) for x in lines if x[4] and deepest not in x[3])
-    return above[max(apart, default=0)], False
+    while text:
+        paths = [(0, *lines[k][3]) for k in text]  # 0: the page
+        ratio = [max(0, len(lines[k][0]) - lines[k][1]) / max(1, lines[k][2]) for k in text]
+        even = smoothed(ratio, [p[:-1] for p in paths])
+        cut = threshold([math.log1p(v) for v in even])
+        kept = [k for k, is_ in zip(text, closed(paths, even, cut, apart), strict=True) if is_]
+        mass = dict(zip(text, even, strict=True))
+        if len(text) > FEW or sum(mass[k] for k in kept if lines[k][5]) <= SHORT * sum(mass[k] for k in kept):
+            # Of the content's own elements, inserts are known by name.
+            mine = {n for k in kept if not lines[k][5] for n in (0, *lines[k][3])} - apart
+            return [k for k in kept if not lines[k][5] or not any(n in mine for n in (0, *lines[k][3][: lines[k][3].index(lines[k][5])]))]
+        # Beside an article so short, an insert's ratio says nothing: the rest is clustered again.
+        text = [k for k in text if not lines[k][5]]
+        if not text:
+            return kept
+    return []
 
 
 def blocks(html: str) -> list[str]:
@@ -196,15 +214,7 @@ def blocks(html: str) -> list[str]:
     parser.close()
     lines = [(SPACE.sub(" ", "".join(line[0])).strip(" "), *line[1:]) for line in parser.lines]
     lines = [x for x in lines if x[0]]
-    if not any(not x[4] for x in lines):
-        return []
-    ratio = [max(0, len(x[0]) - x[1]) / max(1, x[2]) for x in lines]
-    inside, marked = region(lines, [math.log1p(v) for v in smoothed(ratio)], parser.articles)
-    kept = [k for k, x in enumerate(lines) if not x[4] and (inside is None or inside in x[3] and not x[5] > inside)]
-    if not marked:
-        spoken = {lines[k][3][:-2] for k in kept if ratio[k] > 0}
-        kept = [k for k in kept if lines[k][3][:-2] in spoken]
-    return [lines[k][0] for k in kept]
+    return [lines[k][0] for k in content(lines)]
 
 
 def extract(pages: DataFrame, keys: tuple[str, ...] = ("page_id", "url"), html: str = "html") -> DataFrame:
