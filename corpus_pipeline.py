@@ -37,14 +37,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group; rows without doc_id stay, of rows of one doc_id the one
-    whose row has the least hash stays."""
+    """Keeps one document of each group: the one with the least doc_id.
+
+    Rows without doc_id stay. Of several texts of one doc_id each is a document of its own: the
+    one with the least hash goes by the doc_id, the others by keys above all doc_ids, so that
+    they yield to any other document. Of rows of one doc_id and text, the one whose row has the
+    least hash stays."""
     names = docs.columns
-    dropped = minhash.near_groups(docs, NEAR).where("not kept").select("doc_id").distinct()
-    left = docs.join(dropped, "doc_id", "left_anti").select(*names)
-    hashed = F.xxhash64(*[f.name for f in docs.schema if "map<" not in f.dataType.simpleString()])
-    one = left.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*names), hashed).alias("_row"))
-    return left.where("doc_id is null").unionByName(one.select("_row.*"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(whole_text()).alias("_text"), whole_text().alias("text"), F.struct(*names).alias("_row"))
+    several = rows.where("_id is not null").groupBy("_id").agg(F.min("_text").alias("_first"), F.max("_text").alias("_last")).where("_first <> _last").select("_id", "_first")
+    further = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("_id", "_text"), 2)
+    keyed = rows.join(several, "_id", "left").withColumn("_key", F.when(F.coalesce(F.col("_text") == F.col("_first"), F.lit(True)), F.col("_id")).otherwise(further))
+    dropped = minhash.near_groups(keyed.select(F.col("_key").alias("doc_id"), "text"), NEAR).where("not kept").select(F.col("doc_id").alias("_key")).distinct()
+    left = keyed.join(dropped, "_key", "left_anti").select("_key", "_row")
+    hashed = F.xxhash64(*[F.col("_row").getField(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    one = left.where("_key is not null").groupBy("_key").agg(F.min_by("_row", hashed).alias("_row"))
+    return left.where("_key is null").select("_row.*").unionByName(one.select("_row.*"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

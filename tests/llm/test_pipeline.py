@@ -41,3 +41,17 @@ def test_odd_and_empty_tables(spark, odd, none):
             kept = stage(spark, docs, "/root/testdata/sf0.001")
             assert kept.columns == docs.columns or name == "tokens"
             kept.collect()
+
+
+def test_no_doc_id_loses_a_text(spark):
+    """A further text of a doc_id that is near nothing stays, whatever becomes of the doc_id's other texts."""
+    base, other, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, base, "x"), (5, base, "y"), (5, other, "z"), (5, other, "z"), (6, other + " end", "u"), (7, third, "v"), (7, third, "w"), (None, base, "n"), (None, None, "n"), (8, None, "e")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    # Which of doc_id 5's texts goes by its id is a matter of hashes: the group of `other` is 5 and 6 or 6 alone.
+    groups = [(None, None), (None, base), (1, base), (7, third), (8, None)]
+    assert [g for g in got if g in groups] == sorted(groups, key=repr) and len(got) == 6
+    assert set(got) - set(groups) in ({(5, other)}, {(6, other + " end")})
