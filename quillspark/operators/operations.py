@@ -111,6 +111,40 @@ def rates(series: DataFrame, keys: list[str], ts: str, value: str) -> DataFrame:
     return series.withColumn("increase", F.when(before.isNull(), 0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before))
 
 
+def over_range(series: DataFrame, keys: list[str], ts: str, value: str, seconds: int) -> DataFrame:
+    """Each reading of a series (ts in whole seconds) with what its last seconds say: increase (a
+    smaller value means the counter began anew), rate a second, changes and max_over_time. They
+    come of readings later than ts - seconds alone, nothing is extrapolated; of several readings
+    of one time the largest counts."""
+    own = Window.partitionBy(*keys).orderBy(ts)
+    before, now = F.lag(value).over(own), F.col(value)
+    once = series.groupBy(*keys, ts).agg(F.max(value).alias(value))
+    steps = once.select(*keys, ts, value, F.when(now < before, now).otherwise(now - before).alias("_step"), (now != before).cast("int").alias("_turn"))
+    last = own.rangeBetween(1 - seconds, 0)
+
+    def inner(step: str) -> Column:  # the first reading's own step began before the range
+        return F.coalesce(F.sum(step).over(last), F.lit(0)) - F.coalesce(F.first(step).over(last), F.lit(0))
+
+    out = steps.withColumn("increase", inner("_step")).withColumn("changes", inner("_turn")).withColumn("max_over_time", F.max(value).over(last))
+    return out.withColumn("rate", F.col("increase") / F.lit(float(seconds))).drop("_step", "_turn")
+
+
+def histogram_quantile(buckets: DataFrame, keys: list[str], share: float, le: str = "le", count: str = "count") -> DataFrame:
+    """keys and value: the quantile of cumulative buckets (le: the upper bound, infinity last),
+    even within a bucket, whose lower bound is that of the bucket before (0 for the first, or its
+    own bound where that is not above 0). In the last bucket it is the highest finite bound; null
+    without observations, or without a bucket that has no bound."""
+    own = Window.partitionBy(*keys).orderBy(le)
+    top, infinity = F.max_by(count, le).over(Window.partitionBy(*keys)), F.lit(float("inf"))
+    placed = buckets.withColumn("_low", F.lag(le).over(own)).withColumn("_under", F.coalesce(F.lag(count).over(own), F.lit(0))).withColumn("_all", top).withColumn("_open", F.max(le).over(Window.partitionBy(*keys)) == infinity)
+    first = placed.where(F.col(count) >= F.col("_all") * share).groupBy(*keys).agg(F.min_by(F.struct(le, count, "_low", "_under", "_all", "_open"), le).alias("b"))
+    low = F.coalesce("b._low", F.least(F.lit(0.0), F.col(f"b.{le}")))
+    at = (F.col("b._all") * share - F.col("b._under")) / (F.col(f"b.{count}") - F.col("b._under"))
+    inside = F.when((F.col("b._low").isNull()) & (F.col(f"b.{le}") <= 0), F.col(f"b.{le}")).otherwise(low + (F.col(f"b.{le}") - low) * at)
+    value = F.when(~F.col("b._open") | (F.col("b._all") == 0), None).when(F.col(f"b.{le}") == infinity, F.col("b._low")).otherwise(inside)
+    return first.select(*keys, value.alias("value"))
+
+
 def leases(events: DataFrame, lease_s: int = 900, most: int = 3) -> DataFrame:
     """job_id, status and attempts after a replay of events (job_id, seq, at in seconds, kind:
     claim, beat, done, fail, release). A claim of a running job whose lease ran out counts as a

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.operators import intervals
 from quillspark.operators import operations as ops
 from quillspark.plans.registry import Registry
 from quillspark.sources import tables
@@ -76,6 +77,92 @@ def agg_22_counter_increases(spark, sf):
     return ops.rates(e, ["user_id"], "at", "v").groupBy("user_id").agg(F.sum("increase").alias("increase"))
 
 
+@query(
+    "agg_22_range_functions",
+    """SELECT user_id, secs, v, CAST(coalesce(sum(s) OVER w, 0) - coalesce(first_value(s) OVER w, 0) AS BIGINT) AS increase, CAST(coalesce(sum(t) OVER w, 0) - coalesce(first_value(t) OVER w, 0) AS BIGINT) AS changes, max(v) OVER w AS max_over_time,
+      (coalesce(sum(s) OVER w, 0) - coalesce(first_value(s) OVER w, 0)) / 86400.0::DOUBLE AS rate
+    FROM (SELECT *, CASE WHEN v < b THEN v ELSE v - b END AS s, CASE WHEN v <> b THEN 1 WHEN v = b THEN 0 END AS t FROM (SELECT *, lag(v) OVER (PARTITION BY user_id ORDER BY secs) AS b FROM (
+      SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS secs, max(event_id % 50) AS v FROM events GROUP BY 1, 2)))
+    WINDOW w AS (PARTITION BY user_id ORDER BY secs RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW)""",
+)
+def agg_22_range_functions(spark, sf):
+    """Increase, changes, maximum and rate of a counter over the day before each reading."""
+    e = tables.table(spark, sf, "events").select("user_id", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("secs"), (F.col("event_id") % 50).alias("v"))
+    return ops.over_range(e, ["user_id"], "secs", "v", 86_400)
+
+
+_LE = (1.0, 5.0, 10.0, 25.0, 50.0, 75.0, 90.0)
+
+
+@query(
+    "agg_22_histogram_quantile",
+    f"""SELECT phase, share, round(min(CASE WHEN le = 'inf'::DOUBLE THEN low ELSE coalesce(low, 0) + (le - coalesce(low, 0)) * (n * share - under) / (c - under) END), 9) AS value FROM (
+      SELECT *, row_number() OVER (PARTITION BY phase, share ORDER BY le) AS k FROM (SELECT *, lag(le) OVER o AS low, coalesce(lag(c) OVER o, 0) AS under, max(c) OVER (PARTITION BY phase) AS n
+        FROM (SELECT phase, le, count(*) FILTER (completion_tokens <= le) AS c FROM usage, (VALUES {", ".join(f"({x}::DOUBLE)" for x in _LE)}, ('inf'::DOUBLE)) l(le) GROUP BY 1, 2) WINDOW o AS (PARTITION BY phase ORDER BY le)),
+        (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.01::DOUBLE)) q(share) WHERE c >= n * share) WHERE k = 1 GROUP BY 1, 2""",
+    U,
+)
+def agg_22_histogram_quantile(spark, sf):
+    u = tables.usage(spark, sf).select("phase", F.explode(F.filter(F.array(*map(F.lit, _LE), F.lit(float("inf"))), lambda x: F.col("completion_tokens") <= x)).alias("le"))
+    buckets = u.groupBy("phase", "le").agg(F.count("*").alias("count"))
+    every = buckets.select("phase").distinct().select("phase", F.explode(F.array(*map(F.lit, _LE), F.lit(float("inf")))).alias("le")).join(buckets, ["phase", "le"], "left").fillna({"count": 0})
+    found = [ops.histogram_quantile(every, ["phase"], q).select("phase", F.lit(q).alias("share"), F.round("value", 9).alias("value")) for q in (0.5, 0.95, 0.01)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(
+    "join_15_tokens_of_intervals",
+    """SELECT s_suppkey, count(*) AS n, CAST(sum(completion_tokens) AS BIGINT) AS tokens FROM usage JOIN (SELECT s_suppkey, (s_suppkey * 97) % 9000 - 100 AS low, (s_suppkey * 97) % 9000 - 100 + CASE s_suppkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 5000 ELSE s_nationkey * 40 + 3 END AS high FROM supplier) ON seq >= low AND seq < high GROUP BY 1""",
+    U,
+)
+def join_15_tokens_of_intervals(spark, sf):
+    """Intervals of one step to thousands, that overlap, hold none or begin below all."""
+    low, k = (F.col("s_suppkey") * 97) % 9000 - 100, F.col("s_suppkey") % 5
+    s = tables.table(spark, sf, "supplier").select("s_suppkey", low.alias("low"), (low + F.when(k == 0, 1).when(k == 1, 0).when(k == 2, 5000).otherwise(F.col("s_nationkey") * 40 + 3)).alias("high"))
+    met = intervals.points_in(tables.usage(spark, sf).select("seq", "completion_tokens"), s, at="seq")
+    return met.groupBy("s_suppkey").agg(F.count("*").alias("n"), F.sum("completion_tokens").alias("tokens"))
+
+
+_BACKUP = """backups AS (SELECT event_id AS id, user_id AS file, CASE WHEN (event_id // 2000) % 2 = 0 THEN 'a1' ELSE 'b2' END AS generation, (event_id * 7) % 1000 AS start, 20 + CAST(floor(value) AS BIGINT) % 60 AS n, event_id % 17 <> 0 AS fits FROM events)"""
+
+
+def _backups(spark, sf):
+    """Windows of files' bytes, of which some don't fit their key."""
+    e, start = tables.table(spark, sf, "events"), (F.col("event_id") * 7) % 1000
+    n = 20 + F.floor("value").cast("long") % 60
+    content = F.encode(F.substring(F.repeat(F.concat(F.col("event_id").cast("string"), F.lit("|")), F.lit(80)), F.lit(1), n.cast("int")), "UTF-8")
+    sha = F.when(F.col("event_id") % 17 == 0, "0123456789ab").otherwise(F.substring(F.sha2(content, 256), 1, 12))
+    tag = F.when(F.floor(F.col("event_id") / 2000) % 2 == 0, "a1").otherwise("b2")
+    key = F.concat(F.lit("audit/2024/01/30/live-user_"), "user_id", F.lit("-g"), tag, F.lit("-"), start, F.lit("-"), start + n, F.lit("-"), sha, F.lit(".jsonl"))
+    return e.select(F.col("event_id").alias("id"), key.alias("key"), F.col("event_id").alias("uploaded"), content.alias("content"))
+
+
+@query(
+    "str_02_restored_bytes",
+    """SELECT file, island, count(*) AS n, sha256(string_agg(c, '' ORDER BY b)) AS sha FROM (
+      SELECT 'user_' || file AS file, CAST(island AS BIGINT) AS island, b, arg_max((repeat(id || '|', 80))[b - start + 1], id) AS c FROM (
+        SELECT *, unnest(range(start, start + n)) AS b FROM (SELECT *, sum(t) OVER (PARTITION BY file ORDER BY id ROWS UNBOUNDED PRECEDING) - 1 AS island FROM (
+          SELECT *, CASE WHEN lag(generation) OVER (PARTITION BY file ORDER BY id) = generation THEN 0 ELSE 1 END AS t FROM backups WHERE fits))) GROUP BY ALL) GROUP BY 1, 2""",
+    _BACKUP,
+)
+def str_02_restored_bytes(spark, sf):
+    pieces, _ = intervals.restored(_backups(spark, sf), cell=256)
+    each = F.transform(F.array_sort(F.collect_list(F.struct("start", "data"))), lambda x: x["data"].cast("string"))
+    return pieces.groupBy("file", "island").agg(F.sum(F.length("data")).alias("n"), F.sha2(F.array_join(each, ""), 256).alias("sha")).withColumn("island", F.col("island").cast("long"))
+
+
+@query(
+    "str_02_restore_report",
+    """SELECT 'user_' || file AS file, count(*) AS windows, count(*) FILTER (NOT fits) AS damaged, CAST(sum(gone) AS BIGINT) AS superseded FROM (SELECT file, fits, CASE WHEN fits AND NOT EXISTS (
+      SELECT 1 FROM (SELECT unnest(range(a.start, a.start + a.n)) AS b) x WHERE NOT EXISTS (SELECT 1 FROM isl y WHERE y.file = a.file AND y.island = a.island AND y.id > a.id AND x.b >= y.start AND x.b < y.start + y.n)) THEN 1 ELSE 0 END AS gone
+      FROM (SELECT b.*, i.island FROM backups b LEFT JOIN isl i USING (id)) a) GROUP BY 1""",
+    _BACKUP,
+    "isl AS (SELECT *, sum(t) OVER (PARTITION BY file ORDER BY id ROWS UNBOUNDED PRECEDING) - 1 AS island FROM (SELECT *, CASE WHEN lag(generation) OVER (PARTITION BY file ORDER BY id) = generation THEN 0 ELSE 1 END AS t FROM backups WHERE fits))",
+)
+def str_02_restore_report(spark, sf):
+    return intervals.restored(_backups(spark, sf))[1].select("file", "windows", "damaged", "superseded")
+
+
 @query(
     "agg_23_least_squares",
     """SELECT round(CASE WHEN det > 1e-12 AND a >= 0 AND b >= 0 THEN a END, 6) AS a, round(CASE WHEN det > 1e-12 AND a >= 0 AND b >= 0 THEN b END, 6) AS b FROM (
