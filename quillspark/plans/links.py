@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import linking, review, search, shaping
+from quillspark.operators import linking, review, search, shaping, substrings
 from quillspark.plans.registry import Registry
 from quillspark.plans.reviews import KEY
 from quillspark.sources import tables
@@ -77,6 +77,23 @@ def join_04_positive_sources(spark, sf):
     return tables.facts(spark, sf).join(cited, ["document", "page"], "left_semi").select("source").distinct()
 
 
+@query(
+    "join_04_cited_sources",
+    """SELECT source, bool_or(good) AS positive FROM (
+      SELECT f.source, v.good FROM (SELECT DISTINCT source, document, page FROM facts) f JOIN refs v ON v.exact AND f.document = 'cust_' || v.o_custkey AND f.page = v.page
+      UNION ALL SELECT f.source, v.good FROM (SELECT DISTINCT source FROM facts) f JOIN (SELECT reference, bool_or(good) AS good FROM refs GROUP BY 1) v ON contains(lower(v.reference), lower(f.source))) GROUP BY 1""",
+    F_,
+    """refs AS (SELECT o_custkey, o_orderkey % 50 + 1 AS page, o_orderstatus = 'F' AS good, o_orderkey % 3 = 0 AS exact,
+      CASE o_orderkey % 3 WHEN 0 THEN 'CUST_' || o_custkey || ' p.' || (o_orderkey % 50 + 1) WHEN 1 THEN 'see Cust_' || o_custkey || ' p.' || (o_orderkey % 50 + 1) || ', 2020-01-01' ELSE 'order ' || o_orderkey END AS reference FROM orders WHERE o_orderkey % 4 <> 1)""",
+)
+def join_04_cited_sources(spark, sf):
+    """Sources cited by address or inside a free reference, and whether a supportive verdict does."""
+    k, at = F.col("o_orderkey") % 3, F.concat(F.col("o_custkey"), F.lit(" p."), F.col("o_orderkey") % 50 + 1)
+    reference = F.when(k == 0, F.concat(F.lit("CUST_"), at)).when(k == 1, F.concat(F.lit("see Cust_"), at, F.lit(", 2020-01-01"))).otherwise(F.concat(F.lit("order "), "o_orderkey"))
+    said = tables.table(spark, sf, "orders").where("o_orderkey % 4 <> 1").select(reference.alias("record_reference"), F.when(F.col("o_orderstatus") == "F", "SUPPORTED").otherwise("NOT FOUND").alias("verdict"))
+    return substrings.cited_sources(tables.facts(spark, sf), said, ("SUPPORTED", "PARTIALLY SUPPORTED"))
+
+
 @query("join_11_catalog_mismatches", "SELECT count(*) AS n FROM facts WHERE seq % 11 = 0 AND page > 3", F_)
 def join_11_catalog_mismatches(spark, sf):
     f = tables.facts(spark, sf)
