@@ -6,15 +6,17 @@ and gets a gated attention weight, tanh(Vh) * sigmoid(Uh), normalised over the d
 the weighted mean of the passages' representations is scored. Encoder, attention and score
 are learned together from document labels alone.
 
-The model is fitted on at most MOST_LABELLED labelled documents (in the order of a hash), and
-of a longer one on MOST_PASSAGES passages at even distances from its first to its last. Their
-features are what the driver gets, at most 68 MB; all documents are scored in one pass, by all
-their passages. Rows whose crc32(doc_id as text) mod 5 is 0 are held out. Only texts are inputs.
+The model is fitted on a bounded sample of labelled rows, each with its whole text: in the order
+of a hash at most MOST_LABELLED, of which one joins while it fits into MOST_PASSAGES passages
+in all. Equal rows of one doc_id count once. Their features are what the driver gets, at most 76 MB;
+all documents are scored in one pass, by all their passages. Rows whose crc32(doc_id as text) mod 5
+is 0 are held out. Only texts are inputs.
 
 Defined results: null and empty texts are one empty passage and get a score like all
 others; null labels teach nothing; without any label the score is 0.5; long texts have
 more passages; equal texts get equal scores; rows without doc_id aren't held out, and no label
-meets them; an empty table gives no rows; other columns are ignored.
+meets them; different texts of one labelled doc_id are labelled rows each; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import slices, table, whole_text
 
-#: A bound on what the classifier is fitted to: labelled documents, and passages of one of them.
-MOST_LABELLED, MOST_PASSAGES = 3000, 64
+#: The bound on the labelled rows that the classifier is fitted to: their number, and their passages in all.
+MOST_LABELLED, MOST_PASSAGES = 3000, 192_000
 PASSAGE, HASHED, HIDDEN, GATE = 512, 128, 16, 8
 STEPS, RATE, DECAY, SEED = 160, 0.02, 1e-4, 7
 CUT = 0.3
@@ -125,24 +127,40 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def spread(bag: np.ndarray, most: int = MOST_PASSAGES) -> np.ndarray:
-    """All rows of a bag, or most of them at even distances, the first and the last among them."""
-    return bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).round().astype(int)]
+def fitting(sizes: list[int], most: int) -> list[bool]:
+    """Which texts of these sizes (bytes), first come first, fit into most passages in all."""
+    out, left = [], most
+    for n in sizes:
+        passages = max(1, -(-n // PASSAGE))
+        out.append(passages <= left)
+        left -= passages * out[-1]
+    return out
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """A model of labels.quality (0 or 1) from documents that aren't held out; None if there are no labels.
+def sample(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED, most_passages: int = MOST_PASSAGES) -> DataFrame:
+    """doc_id, quality, _hash and text of the labelled rows that the model is fitted to.
+
+    Labels and the sampled rows' hashes are bounded before they meet the texts, so they may be broadcast."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(whole_text(), "UTF-8").alias("text")).join(F.broadcast(known), "doc_id")
+    rows = rows.withColumn("_hash", F.xxhash64("doc_id", "text"))
+    # However often a doc_id is there, the driver gets a number of most_labelled rows at most.
+    sizes = rows.groupBy("doc_id", "_hash").agg(F.max(F.length("text")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "_hash").limit(most_labelled).collect()
+    kept = [(r.doc_id, r["_hash"]) for r, fits in zip(sizes, fitting([r.n for r in sizes], most_passages), strict=True) if fits]
+    chosen = docs.sparkSession.createDataFrame(kept, "doc_id long, _hash long")
+    return rows.join(F.broadcast(chosen), ["doc_id", "_hash"]).groupBy("doc_id", "_hash").agg(F.max("quality").alias("quality"), F.max("text").alias("text"))
 
-    Labels are few and bounded before they meet the texts, so they may be broadcast."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_LABELLED)
-    rows = docs.select("doc_id", F.encode(whole_text(), "UTF-8").alias("text")).join(F.broadcast(known), "doc_id")
+
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """A model of labels.quality (0 or 1) from documents that aren't held out; None if there are no labels."""
+    rows = sample(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             x, first = encode(batch.column("text").to_pylist())
-            parts = [spread(p).astype("<f2").tobytes() for p in np.split(x, first[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "quality", "x"])
+            parts = [p.astype("<f2").tobytes() for p in np.split(x, first[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(parts, pa.binary())], ["doc_id", "quality", "x"])
 
     got = sorted((r.doc_id, bytes(r.x), r.quality) for r in rows.mapInArrow(run, "doc_id long, quality int, x binary").toLocalIterator())
     if not got:

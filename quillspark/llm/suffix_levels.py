@@ -18,8 +18,9 @@ once. Equality of strings is that of 64-bit hashes, of whole surroundings of 128
 
 Defined results: null is empty; texts under LENGTH bytes, and empty tables, lose nothing; all
 copies of a text of LENGTH bytes or more lose everything; matches never cross documents;
-other columns are ignored; rows need no unique doc_id. A text of 2**28 bytes or more is refused
-with an error: its places don't fit, and a task holds about a hundred bytes for each of its bytes.
+other columns are ignored; rows need no unique doc_id. Suffixes of a text longer than SPLIT are
+found in pieces that overlap by LENGTH - 1 bytes, so that every string lies in one of them whole;
+no text is refused for its length.
 """
 
 from __future__ import annotations
@@ -48,6 +49,8 @@ _rng = np.random.default_rng(200)
 BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 PIECE = 1 << 17
+#: A task holds about a hundred bytes for each byte of a piece. The result doesn't depend on it.
+SPLIT = 1 << 20
 
 
 def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -83,8 +86,6 @@ class Anchors:
     last start of the strings it stands for; and keys, the two kinds apart."""
 
     def __init__(self, texts: list[bytes]):
-        if sum(map(len, texts)) >= 1 << PLACE:
-            raise ValueError(f"a text of {1 << PLACE} bytes or more can't be indexed; split it first")
         self.data = data = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(sizes)
@@ -122,18 +123,43 @@ class Anchors:
         return key, np.concatenate([self.of[ahead], self.of[around]]), first, last, np.concatenate([self.at[ahead], self.at[around]]) - first
 
 
-def _packs(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts of LENGTH bytes or more in runs of about PIECE bytes, with the number of the first."""
+def _packs(texts: list[bytes], split: int) -> Iterator[tuple[np.ndarray, int, list[bytes], bool]]:
+    """Texts of LENGTH bytes or more in runs of about PIECE bytes, with their numbers. One of more
+    than split comes alone, in pieces: where each begins, and whether it is the last."""
     at = 0
     while at < len(texts):
+        if len(texts[at]) > split:
+            starts = range(0, len(texts[at]) - LENGTH + 1, split)
+            for start in starts:
+                yield np.array([at]), start, [texts[at][start : start + split + LENGTH - 1]], start == starts[-1]
+            at += 1
+            continue
         stop, held = at, 0
-        while stop < len(texts) and (stop == at or held + len(texts[stop]) <= PIECE):
+        while stop < len(texts) and len(texts[stop]) <= split and (stop == at or held + len(texts[stop]) <= PIECE):
             held += len(texts[stop])
             stop += 1
-        yield at, texts[at:stop]
+        yield np.arange(at, stop), 0, texts[at:stop], True
         at = stop
 
 
+def _keys(texts: list[bytes], split: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, the number of the text, and whether the key is there more than once in it. The run
+    of an anchor over a border of pieces counts twice, which makes a candidate more and no result."""
+    held = []
+    for numbers, _, some, last in _packs(texts, split):
+        key, of, *_ = Anchors(some).entries()
+        held.append((key, numbers[of]))
+        if not last:
+            continue
+        key, of = (np.concatenate(c) for c in zip(*held, strict=True))
+        held = []
+        order = np.lexsort((key, of))
+        key, of = key[order], of[order]
+        same = (key[1:] == key[:-1]) & (of[1:] == of[:-1])
+        keep = np.append(True, ~same)
+        yield key[keep], of[keep], np.append(same, False)[keep]
+
+
 def _addressed(docs: DataFrame, *more: str) -> DataFrame:
     """owner (of a text, the same for equal texts), n_bytes, sha, text and the columns named."""
     text = F.encode(whole_text(), "UTF-8")
@@ -141,21 +167,15 @@ def _addressed(docs: DataFrame, *more: str) -> DataFrame:
     return rows.select(*more, F.xxhash64("sha").alias("owner"), F.length("text").cast("long").alias("n_bytes"), "sha", "text")
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
+def suffixes(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """key, owner and twice (the key is there more than once in that text) of all sampled suffixes."""
     rows = _addressed(docs).where(F.col("n_bytes") >= LENGTH).select("owner", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             owners, texts = batch.column("owner").to_numpy(), batch.column("text").to_pylist()
-            for at, some in _packs(texts):
-                key, of, *_ = Anchors(some).entries()
-                order = np.lexsort((key, of))
-                key, of = key[order], of[order]
-                same = (key[1:] == key[:-1]) & (of[1:] == of[:-1])
-                keep = np.append(True, ~same)
-                twice = np.append(same, False)[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(owners[at + of[keep]]), pa.array(twice)], ["key", "owner", "twice"])
+            for key, of, twice in _keys(texts, split):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owners[of]), pa.array(twice)], ["key", "owner", "twice"])
 
     return rows.mapInArrow(run, "key long, owner long, twice boolean")
 
@@ -210,25 +230,25 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 AROUND = "owner long, key long, around binary, start long, lead int, bytes binary"
 
 
-def _surroundings(texts: DataFrame) -> DataFrame:
+def _surroundings(texts: DataFrame, split: int) -> DataFrame:
     """For every suffix whose key matches: where its strings begin, the bytes they cover
     together, the anchor's offset (lead), and around, the name of all that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             owners, texts_, keys = batch.column("owner").to_numpy(), batch.column("text").to_pylist(), batch.column("keys")
-            for at, some in _packs(texts_):
+            for numbers, start, some, _ in _packs(texts_, split):
                 key, of, first, last, lead = (a := Anchors(some)).entries()
                 data, out = a.data.tobytes(), []
-                for i, _ in enumerate(some):
+                for i, number in enumerate(numbers.tolist()):
                     mine = np.flatnonzero(of == i) if len(some) > 1 else np.arange(len(key))
-                    wanted = keys[at + i].values.to_numpy()
+                    wanted = keys[number].values.to_numpy()
                     mine = mine[np.isin(key[mine], wanted)]
-                    base = int(a.base[i])
+                    base = int(a.base[i]) - start
                     for j in mine.tolist():
                         cut = data[first[j] : last[j] + LENGTH]
                         name = xxhash.xxh3_128_digest(cut + int(lead[j]).to_bytes(4, "little") + int(key[j]).to_bytes(8, "little", signed=True))
-                        out.append((int(owners[at + i]), int(key[j]), name, int(first[j]) - base, int(lead[j]), cut))
+                        out.append((int(owners[number]), int(key[j]), name, int(first[j]) - base, int(lead[j]), cut))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["owner", "key", "around", "start", "lead", "bytes"])
 
@@ -334,13 +354,13 @@ def _cut(texts: DataFrame, with_spans: bool) -> DataFrame:
     return texts.select("owner", "text", "hits").mapInArrow(run, OUT)
 
 
-def dedup(docs: DataFrame, with_spans: bool = False, batches: int = BATCHES) -> DataFrame:
+def dedup(docs: DataFrame, with_spans: bool = False, batches: int = BATCHES, split: int = SPLIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; with_spans adds spans,
     the bytes removed."""
     spark = docs.sparkSession
     space = Workspace(spark, "suffixes")
     own = space.keep(_addressed(docs, "doc_id").select("doc_id", "owner", "n_bytes", "sha"), "own")
-    entered = space.keep(suffixes(docs), "entered")
+    entered = space.keep(suffixes(docs, split), "entered")
     index = Levels(space)
     matches = [index.add(entered.where(F.pmod("owner", F.lit(batches)) == b)) for b in range(batches)]
     index.close()
@@ -353,7 +373,7 @@ def dedup(docs: DataFrame, with_spans: bool = False, batches: int = BATCHES) ->
     once = _addressed(docs).where(F.col("n_bytes") >= LENGTH).groupBy("owner").agg(F.any_value("text").alias("text"))
     texts = space.keep(once.join(wanted, "owner"), "texts")
     space.release()
-    found = space.keep(_surroundings(texts), "around")
+    found = space.keep(_surroundings(texts, split), "around")
     named = found.groupBy("around").agg(F.any_value("key").alias("key"), F.any_value("lead").alias("lead"), F.any_value("bytes").alias("bytes"), F.count("*").alias("n"))
     named = space.keep(named, "named")
     space.release()

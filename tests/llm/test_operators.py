@@ -350,10 +350,28 @@ def test_suffixes_against_every_string(spark, monkeypatch):
 
     assert got() == wanted
     assert got(batches=1) == wanted
+    assert got(split=230) == wanted
     monkeypatch.setattr(suffix_levels, "MOST_AROUND", 1)
     assert got(batches=7) == wanted
 
 
+def test_pieces_have_the_keys_of_the_whole():
+    texts = [d.encode() for d in planted() if len(d.encode()) >= 200]
+    found = [[np.concatenate(c) for c in zip(*suffix_levels._keys(texts, split), strict=True)] for split in (1 << 20, 201, 333)]
+    pairs = [set(zip(key.tolist(), of.tolist(), strict=True)) for key, of, _ in found]
+    assert pairs[0] == pairs[1] == pairs[2] and all(len(p) == len(f[0]) for p, f in zip(pairs, found, strict=True))
+    often = [set(key[twice].tolist()) for key, _, twice in found]
+    assert often[0] <= often[1] and often[0] <= often[2]
+
+
+def test_suffixes_of_whole_documents(spark, sf):
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    wanted = brute_repeats([(r.text or "").encode() for r in texts])
+    found = sorted(rows(suffix_levels.op5_suffix_levels(spark, sf)), key=lambda r: r["doc_id"])
+    assert [r["doc_id"] for r in found] == [r.doc_id for r in texts]
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found] == wanted
+
+
 def test_suffixes_on_odd_rows(odd, none):
     found = rows(suffix_levels.dedup(odd, with_spans=True))
     assert len(found) == odd.count() and all(r["n_removed"] == 0 and r["spans"] == [] for r in found)
@@ -386,6 +404,19 @@ def test_gradients_are_those_of_the_loss():
     assert after < 0.2 * before
 
 
+def test_the_fitting_sample_is_whole_rows_within_its_bounds(spark):
+    assert quality_mil.fitting([512, 513, 0, 5000, 1], 5) == [True, True, True, False, True]
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"text {i} " * 200) for i in ids] + [(ids[0], "the same row")] * 500 + [(ids[1], f"text {k}") for k in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    found = rows(quality_mil.sample(docs, labels))
+    assert Counter(r["doc_id"] for r in found) == Counter({i: 501 if i == ids[1] else 2 if i == ids[0] else 1 for i in ids})
+    assert all(r["quality"] == r["doc_id"] % 2 for r in found) and {bytes(r["text"]).decode() for r in found} == {r.text for r in docs.collect()}
+    assert len(rows(quality_mil.sample(docs, labels, 7))) == 7
+    few = rows(quality_mil.sample(docs, labels, 3000, 20))
+    assert sum(max(1, -(-len(r["text"]) // quality_mil.PASSAGE)) for r in few) <= 20
+
+
 def test_classifier_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (6, 0, 0), (7, None, 0), (None, 1, 0), (3, 0, None)], "doc_id long, quality int, toxic int")
     found = rows(quality_mil.classify(odd, labels))
