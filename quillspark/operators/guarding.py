@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.columns import once
+from quillspark.operators.payloads import kind
+
 #: Brackets that look like angle brackets, and characters that can't be seen.
 LOOK_ALIKE, ANGLES = "＜＞❮❯⟨⟩", "<><><>"
 INVISIBLE = r"[­᠎​-‏‪-‮⁠-⁤⁦-⁩﻿\x{e0000}-\x{e007f}]"
@@ -65,3 +68,34 @@ def scrubbed(text: Column, most: int = 300) -> Column:
     for pattern in PERSONAL:
         t = F.regexp_replace(t, pattern, "[redacted]")
     return F.substring(t, 1, most)
+
+
+#: What a log may hold. Counts, and the words that a field can have.
+COUNTS = ("duration_ms", "pages", "files", "record_files", "record_pages", "calls", "chunks", "facts", "attempt", "retries", "tokens_in", "tokens_out", "prompt_tokens", "completion_tokens", "total_tokens", "status_code")
+REQUEST = r"^(req_[a-f0-9]{12}|[a-f0-9-]{32,36})\z"
+WORDS = {
+    "action": ("app", "evaluate", "draft"),
+    "status": ("start", "ok", "partial", "error", "timeout", "rejected", "queued", "done"),
+    "scoring_status": ("complete", "incomplete", "invalid", "unvalidated"),
+    "topic_status": ("complete", "incomplete", "invalid", "unvalidated"),
+}
+
+
+def loggable(record: Column) -> Column:
+    """Of a log record (JSON text) what may be kept, as JSON text: counts that are numbers or
+    booleans, a request_id of the known form, and fields with one of their words. Nothing of
+    what is no object, or no JSON."""
+
+    def kept(v: Column) -> Column:
+        def field(name: str, kinds: tuple[str, ...]) -> Column:
+            x = F.try_variant_get(v, f"$.{name}", "variant")
+            return F.when(kind(x).isin(*kinds), x)
+
+        def word(name: str) -> Column:
+            return F.try_variant_get(field(name, ("STRING",)), "$", "string")
+
+        counts = [field(c, ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "BOOLEAN")).alias(c) for c in COUNTS]
+        words = [F.when(word(w).isin(*some), word(w)).alias(w) for w, some in WORDS.items()]
+        return F.to_json(F.struct(*counts, F.when(word("request_id").rlike(REQUEST), word("request_id")).alias("request_id"), *words))
+
+    return once(F.try_parse_json(record), kept)

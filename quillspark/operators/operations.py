@@ -227,3 +227,29 @@ def fitting(rows: DataFrame, group: str, order: str, size: str, budget: int, mos
 
     sized = rows.select(group, F.col(order).cast("long").alias("_order"), F.col(size).cast("long").alias("_size"))
     return replayed(sized, group, ["_order", "_size"], lambda: {"used": 0, "taken": []}, step, "used long, taken array<long>")
+
+
+def sample_value(value: Column, kind: str) -> Column:
+    """A number as a scrape reads it; null stays null, so that what is unknown is no 0."""
+    if kind == "boolean":
+        return value.cast("int").cast("string")
+    if kind not in ("float", "double"):
+        return value.cast("string")
+    return F.when(F.isnan(value), "NaN").when(value == float("inf"), "+Inf").when(value == float("-inf"), "-Inf").otherwise(value.cast("string"))
+
+
+def _escaped(text: Column, quoted: bool) -> Column:
+    """Backslashes and line ends, and quotes within them, as two characters."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    return F.replace(out, F.lit('"'), F.lit('\\"')) if quoted else out
+
+
+def exposition(series: DataFrame, name: str, form: str, about: str, labels: list[str], value: str) -> DataFrame:
+    """part and line of a metric's text form: what it is about (0), its form (1), and a line for
+    each series (2) with its labels in order of their names. Series without a value have none."""
+    number = sample_value(F.col(value), dict(series.dtypes)[value])
+    pairs = [F.concat(F.lit(f'{c}="'), _escaped(F.coalesce(F.col(c).cast("string"), F.lit("")), True), F.lit('"')) for c in sorted(labels)]
+    block = F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")) if pairs else F.lit("")
+    samples = series.select(F.lit(2).alias("part"), F.concat(F.lit(name), block, F.lit(" "), number).alias("line")).where("line is not null")
+    head = series.sparkSession.range(2).select(F.col("id").cast("int").alias("part"), F.when(F.col("id") == 0, F.concat(F.lit(f"# HELP {name} "), _escaped(F.lit(about), False))).otherwise(F.lit(f"# TYPE {name} {form}")).alias("line"))
+    return head.unionByName(samples)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import comparison, guarding, payloads
+from quillspark.operators import comparison, guarding, inference, payloads
 from quillspark.plans.registry import Registry
 from quillspark.sources import tables
 
@@ -105,6 +105,31 @@ def fn_scrubbed_messages(spark, sf):
     return tables.paragraphs(spark, sf).select("para_seq", guarding.scrubbed(F.concat(F.lit("Patient John Doe, a.b@c.de: "), "text")).alias("text"))
 
 
+@query(
+    "fn_loggable_events",
+    """SELECT event_id, event_id AS calls, value AS duration_ms, CASE WHEN event_type = 'error' THEN 'error' END AS status, CASE WHEN user_id % 2 = 0 THEN 'req_' || lpad(CAST(event_id AS VARCHAR), 12, '0') END AS request_id,
+      2 + CAST(event_type = 'error' AS BIGINT) + CAST(user_id % 2 = 0 AS BIGINT) AS fields FROM events""",
+)
+def fn_loggable_events(spark, sf):
+    """Of records that also hold what no log may (texts, other words, strings for counts), what is kept."""
+    request = F.concat(F.when(F.col("user_id") % 2 == 0, "req_").otherwise("Req "), F.lpad(F.col("event_id").cast("string"), 12, "0"))
+    record = F.struct(F.col("event_id").alias("calls"), F.col("value").alias("duration_ms"), F.col("event_type").alias("status"), F.col("event_type").alias("action"), F.col("props").alias("pages"), F.col("props").alias("message"), request.alias("request_id"))
+    e = tables.table(spark, sf, "events").select("event_id", guarding.loggable(F.to_json(record)).alias("kept"))
+    of = {"calls": "long", "duration_ms": "double", "status": "string", "request_id": "string"}
+    return e.select("event_id", *[F.get_json_object("kept", f"$.{c}").cast(t).alias(c) for c, t in of.items()], F.size(F.json_object_keys("kept")).cast("long").alias("fields"))
+
+
+@query(
+    "dat_09_inferred_dates",
+    """SELECT para_seq, CASE WHEN len(y) = 1 THEN y[1] || '-01-01' END AS iso, CASE WHEN len(y) = 1 THEN 'year' END AS precision, CASE WHEN len(y) = 1 THEN 'inferred' ELSE 'none' END AS state FROM (
+      SELECT para_seq, list_distinct(list_filter(regexp_extract_all(substr(text, 1, 300), '[0-9]+'), lambda x: regexp_full_match(x, '(19|20)[0-9]{2}'))) AS y FROM paragraphs)""",
+    P,
+)
+def dat_09_inferred_dates(spark, sf):
+    """The default model over all paragraphs, of which it is given as much as a call takes."""
+    return inference.inferred_dates(tables.paragraphs(spark, sf).select("para_seq", F.col("text").alias("description"), F.lit("").alias("quote")), "para_seq")
+
+
 def _found(words, some):
     return f"list_sort(list_distinct(list_filter({words}, lambda x: x IN {tuple(some)!r})))" if len(some) > 1 else "[]"
 

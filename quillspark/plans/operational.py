@@ -71,6 +71,17 @@ def agg_21_exposition(spark, sf):
     return c.select(F.format_string('calls_total{phase="%s"} %d', "phase", "n").alias("line"))
 
 
+@query(
+    "agg_21_usage_exposition",
+    """SELECT 0 AS part, '# HELP tokens_total Tokens of prompts, by "phase" \\\\ model' AS line UNION ALL SELECT 1, '# TYPE tokens_total counter' UNION ALL
+    SELECT 2, 'tokens_total{model="' || model || '\\"\\\\",phase="' || phase || '\\n"} ' || CAST(sum(prompt_tokens) AS BIGINT) FROM usage GROUP BY model, phase""",
+    U,
+)
+def agg_21_usage_exposition(spark, sf):
+    u = tables.usage(spark, sf).select(F.concat("phase", F.lit("\n")).alias("phase"), F.concat("model", F.lit('"\\')).alias("model"), "prompt_tokens")
+    return ops.exposition(u.groupBy("phase", "model").agg(F.sum("prompt_tokens").alias("n")), "tokens_total", "counter", 'Tokens of prompts, by "phase" \\ model', ["phase", "model"], "n")
+
+
 @query("agg_22_counter_increases", "SELECT user_id, CAST(sum(CASE WHEN b IS NULL THEN 0 WHEN v < b THEN v ELSE v - b END) AS BIGINT) AS increase FROM (SELECT user_id, event_id % 50 AS v, lag(event_id % 50) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) GROUP BY 1")
 def agg_22_counter_increases(spark, sf):
     e = tables.table(spark, sf, "events").select("user_id", F.struct("ts", "event_id").alias("at"), (F.col("event_id") % 50).alias("v"))

@@ -12,14 +12,15 @@ import io
 import json
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-#: Limits on what an archive may expand to.
-MOST_MEMBERS, MOST_RATIO, MOST_MEMBER = 200, 200, 50 << 20
+#: Limits on what an archive may expand to, and how much is inflated at once.
+MOST_MEMBERS, MOST_RATIO, MOST_MEMBER, MOST_EXPANDED, CHUNK = 200, 200, 50 << 20, 200 << 20, 1 << 16
 PAGES = "path string, name string, page int, kind string, text string, sha256 string, encoding string, reason string"
 MARKS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF32_LE, "utf-32"), (codecs.BOM_UTF32_BE, "utf-32"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -35,15 +36,32 @@ def decoded(content: bytes) -> tuple[str, str]:
     return content.decode("utf-8"), "utf-8"
 
 
+def inflated(archive: zipfile.ZipFile, member: zipfile.ZipInfo, left: int) -> bytes:
+    """A member's content, inflated step by step and counted as it comes, whatever its header says.
+    Raises ValueError once it passes MOST_MEMBER or left, and where the header gave another size."""
+    most, declared, out = min(MOST_MEMBER, left), member.file_size, bytearray()
+    member.file_size = most + 2 * CHUNK  # a reader stops at the size that the header gives
+    with archive.open(member) as f:
+        while part := f.read(CHUNK):
+            out += part
+            if len(out) > most:
+                raise ValueError("too large when expanded")
+    if len(out) != declared:
+        raise ValueError("header gives another size")
+    return bytes(out)
+
+
 def word_blocks(content: bytes) -> list[str]:
     """Paragraphs of a Word file: the main story first, then others by name."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        if sum(i.file_size for i in z.infolist()) > MOST_MEMBER or len(z.infolist()) > 10 * MOST_MEMBERS:
+        left = MOST_EXPANDED
+        if sum(i.file_size for i in z.infolist()) > left or len(z.infolist()) > 10 * MOST_MEMBERS:
             raise ValueError("too large when expanded")
         stories = sorted(n for n in z.namelist() if re.fullmatch(r"word/(header|footer|footnotes|endnotes|comments)\d*\.xml", n))
         out = []
         for name in ["word/document.xml", *stories]:
-            data = z.read(name)
+            data = inflated(z, z.getinfo(name), left)
+            left -= len(data)
             if b"<!DOCTYPE" in data or b"<!ENTITY" in data:
                 raise ValueError("declares entities")
             root = ElementTree.fromstring(data)
@@ -58,22 +76,33 @@ def word_blocks(content: bytes) -> list[str]:
 
 
 def members(content: bytes) -> Iterator[tuple[str, bytes | None, str]]:
-    """Name, content and reason of an archive's members; one that is skipped has no content."""
+    """Name, content and reason of an archive's members; one that is skipped has no content. What
+    the headers say is held against the limits before anything is inflated, and what comes
+    out again while it is; a broken member costs only itself."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        for k, i in enumerate(z.infolist()):
-            if i.is_dir():
-                continue
+        inside = [i for i in z.infolist() if not i.is_dir()]
+        if len(inside) > MOST_MEMBERS:
+            raise ValueError("too many members")
+
+        def why(i: zipfile.ZipInfo) -> str:
             suffix = i.filename.rpartition(".")[2].lower()
-            why = (
-                "too many members" if k >= MOST_MEMBERS else "nested archive" if suffix == "zip" else "unsupported type" if suffix not in ("txt", "md", "docx")
-                else "too large" if i.file_size > MOST_MEMBER else "expands too much" if i.file_size > MOST_RATIO * max(1, i.compress_size) else ""
-            )
-            if why:
-                yield i.filename, None, why
-                continue
-            with z.open(i) as f:
-                data = f.read(MOST_MEMBER + 1)
-            yield (i.filename, None, "too large") if len(data) > MOST_MEMBER else (i.filename, data, "")
+            if suffix not in ("txt", "md", "docx"):
+                return "nested archive" if suffix == "zip" else "unsupported type"
+            return "too large" if i.file_size > MOST_MEMBER else "expands too much" if i.file_size > MOST_RATIO * max(1, i.compress_size) else ""
+
+        reasons = [why(i) for i in inside]
+        left = MOST_EXPANDED
+        if sum(i.file_size for i, r in zip(inside, reasons, strict=True) if not r) > left:
+            raise ValueError("too large when expanded")
+        for i, reason in zip(inside, reasons, strict=True):
+            data = None
+            if not reason:
+                try:
+                    data = inflated(z, i, left)
+                    left -= len(data)
+                except (ValueError, zipfile.BadZipFile, zlib.error, EOFError, RuntimeError) as e:
+                    reason = str(e)[:200] or type(e).__name__
+            yield i.filename, data, reason
 
 
 def pages_of(path: str, name: str, content: bytes) -> Iterator[tuple]:
@@ -93,7 +122,7 @@ def pages_of(path: str, name: str, content: bytes) -> Iterator[tuple]:
                 yield path, name, k, "block", text, sha, "utf-8", ""
         else:
             yield path, name, 0, "", None, sha, None, "unsupported type"
-    except (ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError) as e:
+    except (ValueError, KeyError, RuntimeError, EOFError, zlib.error, zipfile.BadZipFile, ElementTree.ParseError) as e:
         yield path, name, 0, "", None, sha, None, str(e)[:200] or type(e).__name__
 
 
