@@ -51,20 +51,22 @@ def _one(item: Column, index: Column) -> Column:
     nothing = F.lit(None).cast("string")
     cases = [
         (string & own.rlike(r"(?i)^\s*https?://"), "link", own), (string, "text", own), (what != "OBJECT", "invalid", nothing),
-        (coded.isNotNull() & (bytes_.isNull() | ~F.is_valid_utf8(bytes_.cast("string"))), "invalid", nothing), (coded.isNotNull(), "base64", bytes_.cast("string")),
+        (coded.isNotNull() & bytes_.isNull(), "invalid", nothing), (coded.isNotNull(), "base64", F.when(F.is_valid_utf8(bytes_.cast("string")), bytes_.cast("string"))),
         (link_of.isNotNull(), "link", link_of), (text.isNotNull(), "text", text),
     ]
     name = F.coalesce(F.when(~string, _strings(item, NAMES)), F.concat(F.lit("record_"), index.cast("string")))
     form, said = F.lit("json"), F.coalesce(*some, F.to_json(item))
     for rule, f, t in reversed(cases):
         form, said = F.when(rule, F.lit(f)).otherwise(form), F.when(rule, t).otherwise(said)
-    return F.struct(name.alias("name"), form.alias("form"), said.alias("text"))
+    content = F.when(form == "base64", bytes_)
+    return F.struct(name.alias("name"), form.alias("form"), said.alias("text"), content.alias("content"), F.when(what == "OBJECT", _strings(item, TYPES)).alias("content_type"))
 
 
 def normalised(items: DataFrame) -> DataFrame:
-    """Adds name, form and text to items (item: variant, index: from 1). form is link (text is
-    the address, to be fetched), text, base64 (text is what decodes as UTF-8), json (text is the
-    structured part, or the item), or invalid: no string or object, or broken base64.
+    """Adds name, form, text, content and content_type to items (item: variant, index: from 1). form
+    is link (text is the address, to be fetched), text, base64 (content is what it decodes to, text
+    the same if that is UTF-8), json (text is the structured part, or the item), or invalid: no
+    string or object, or broken base64. content_type is what the item says of itself.
 
     A string is a link or a text; an object's base64 goes first, then its link, its text and
     its structured part."""

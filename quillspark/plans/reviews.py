@@ -199,7 +199,7 @@ _LONG = r"len(list_filter(string_split_regex(trim(quote), '\s+'), lambda w: rege
     "SELECT seq, coalesce(found, false) AND unique_page AS found FROM asked LEFT JOIN stands USING (seq)",
     P,
     _CASES_SQL,
-    f"""asked AS (SELECT doc_id * 100000 + ord AS seq, {_LONG} AS long, {KEY.format("quote")} AS q, {KEY.format("d.text")} AS t, doc_id % 3 <> 0 AS unique_page
+    f"""asked AS (SELECT doc_id * 2147483648 + ord AS seq, {_LONG} AS long, {KEY.format("quote")} AS q, {KEY.format("d.text")} AS t, doc_id % 3 <> 0 AS unique_page
       FROM (SELECT doc_id, ord, replace(text, ' ', '  ') AS quote FROM paragraphs) JOIN documents d USING (doc_id)
       UNION ALL SELECT seq, {_LONG}, {KEY.format("quote")}, {KEY.format("t")}, true FROM cases)""",
     _STANDS_SQL,
@@ -213,7 +213,7 @@ def join_01_verified_quotes(spark, sf):
 
 @query(
     "join_01_whole_quotes",
-    rf"""SELECT doc_id * 100000 + ord AS seq, len(list_filter(string_split_regex(trim(quote), '\s+'), lambda w: regexp_matches(w, '[\p{{L}}\p{{N}}]'))) >= 4 AND contains({KEY.format('d.text')}, {KEY.format('quote')}) AND (doc_id % 3 <> 0) AS found
+    rf"""SELECT doc_id * 2147483648 + ord AS seq, len(list_filter(string_split_regex(trim(quote), '\s+'), lambda w: regexp_matches(w, '[\p{{L}}\p{{N}}]'))) >= 4 AND contains({KEY.format('d.text')}, {KEY.format('quote')}) AND (doc_id % 3 <> 0) AS found
       FROM (SELECT doc_id, ord, replace(text, ' ', '  ') AS quote FROM paragraphs) JOIN documents d USING (doc_id)""",
     P,
 )
@@ -225,7 +225,7 @@ def join_01_whole_quotes(spark, sf):
 
 
 #: Pages are paragraphs, five of a document a chunk; facts cite the page behind the one that they quote.
-_CHUNKS = "pages AS (SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS page, text FROM paragraphs), facts_ AS (SELECT doc_id * 100000 + ord AS seq, doc_id, page, (page - 1) // 5 AS chunk, text AS quote FROM pages)"
+_CHUNKS = "pages AS (SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS page, text FROM paragraphs), facts_ AS (SELECT doc_id * 2147483648 + ord AS seq, doc_id, page, (page - 1) // 5 AS chunk, text AS quote FROM pages)"
 
 
 @query(

@@ -19,18 +19,19 @@ def stripped(text: Column | str) -> Column:
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, ord, para_seq, label and text: the non-blank lines of documents."""
+    """doc_id, ord, para_seq, label and text: the non-blank lines of documents. para_seq is a number of
+    its own for each line: a text has fewer than 2**31 of them, and doc_id is below 2**32."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     ord_ = F.col("at") + 1
     return (
         lines.select("doc_id", ord_.cast("long").alias("ord"), stripped("line").alias("text"))
         .where("text <> ''")
-        .select("doc_id", "ord", (F.col("doc_id") * 100000 + F.col("ord")).alias("para_seq"), F.concat(F.lit("doc_"), "doc_id", F.lit(" p."), "ord").alias("label"), "text")
+        .select("doc_id", "ord", (F.shiftleft("doc_id", 31) + F.col("ord")).alias("para_seq"), F.concat(F.lit("doc_"), "doc_id", F.lit(" p."), "ord").alias("label"), "text")
     )
 
 
 PARAGRAPHS_SQL = r"""paragraphs AS (
-  SELECT doc_id, ord, doc_id * 100000 + ord AS para_seq, 'doc_' || doc_id || ' p.' || ord AS label, text FROM (
+  SELECT doc_id, ord, doc_id * 2147483648 + ord AS para_seq, 'doc_' || doc_id || ' p.' || ord AS label, text FROM (
     SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS BIGINT) AS ord,
       regexp_replace(unnest(string_split(text, chr(10))), '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g') AS text FROM documents) WHERE text <> '')"""
 

@@ -40,8 +40,12 @@ def test_items_of_odd_responses(spark):
     got = {r["index"]: (r.name, r.form, r.text) for r in payloads.normalised(items).collect()}
     assert got == {
         0: ("record_0", "invalid", None), 1: ("record_1", "invalid", None), 2: ("record_2", "link", "  HTTP://x"), 3: ("record_3", "text", ""), 4: ("record_4", "base64", "hi"),
-        5: ("record_5", "invalid", None), 6: ("record_6", "json", "[1]"),
+        5: ("record_5", "base64", None), 6: ("record_6", "json", "[1]"),
     }
+    kept = {r["index"]: r.content for r in payloads.normalised(items).collect() if r.content is not None}
+    assert kept == {4: b"hi", 5: b"\xff"}
+    typed = spark.createDataFrame([('[{"type":" ","mime_type":"application/pdf","base64":"JVBERg=="},"x",3]',)], "t string").select(F.posexplode(payloads.record_items(F.col("t"))).alias("index", "item"))
+    assert [(r.content_type, r.content) for r in payloads.normalised(typed).orderBy("index").collect()] == [("application/pdf", b"%PDF"), (None, None), (None, None)]
 
 
 def test_facts_that_say_more_than_their_quote(spark):

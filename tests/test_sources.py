@@ -1,5 +1,7 @@
+import datetime
 import io
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +111,32 @@ def test_leases_in_batch_and_stream(spark, tmp_path):
     assert {r.job_id: (r.status, r.attempts) for r in spark.sql("SELECT * FROM leased").collect()} == wanted
 
 
+def streamed(spark, batches, schema, query, name, tmp_path, mode="append"):
+    """What a query on a stream wrote, its files read one after the other."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = query(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name).collect()
+
+
+def test_sessions_end_after_the_gap(spark, tmp_path):
+    at = lambda minute, second=0: datetime.datetime(2024, 1, 1, 0, minute, second)
+    batches = [[(at(0), 1), (at(4), 1), (at(0), 2)], [(at(8, 59), 1), (at(14), 1), (at(59), 3)], [(at(59, 30), 3)], [(at(1), 2)]]
+    got = {(r.user_id, r.start, r.end, r.n) for r in streamed(spark, batches, "ts timestamp, user_id long", usage.sessions, "sessions_seen", tmp_path)}
+    # The last row comes a batch after its session was closed, and user 3's session is still open.
+    assert got == {(1, at(0), at(13, 59), 3), (1, at(14), at(19), 1), (2, at(0), at(5), 1)}
+
+
+def test_a_key_comes_in_once(spark, tmp_path):
+    at = lambda hour: datetime.datetime(2024, 1, 1, hour)
+    batches = [[(at(0), "a"), (at(0), "b"), (at(1), "a")], [(at(2), "b"), (at(2), "c")], [(at(3), "a"), (at(3), None), (at(4), None)]]
+    got = streamed(spark, batches, "ts timestamp, k string", lambda s: usage.once(s, "k"), "keys_seen", tmp_path)
+    assert Counter(r.k for r in got) == Counter(["a", "b", "c", None])
+
+
 def test_windowed_usage_stream(spark, sf, tmp_path):
     spark.read.parquet(f"{sf}/events.parquet").write.parquet(str(tmp_path / "e"))
     q = usage.usage(usage.events(spark, str(tmp_path / "e"))).writeStream.outputMode("complete").format("memory").queryName("used").option("checkpointLocation", str(tmp_path / "cp")).start()
