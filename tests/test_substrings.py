@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from quillspark.operators import substrings
@@ -29,3 +30,22 @@ def test_cited_sources(spark):
     said = [("RECORDS.PDF p.7", "NOT FOUND"), ("see Other.pdf p.2, 2020-01-01", "SUPPORTED"), ("other.pdf p.3-4", "CONTRADICTED"), ("has LOOSE ONE in it", None), ("", "SUPPORTED"), (None, "SUPPORTED"), ("b.pdf p.1", "SUPPORTED"), ("b.pdf p.1", "NOT FOUND")]
     got = {r.source: r.positive for r in substrings.cited_sources(spark.createDataFrame(facts, "source string, document string, page int"), spark.createDataFrame(said, "record_reference string, verdict string"), ("SUPPORTED",)).collect()}
     assert got == {"Records.pdf p.7": False, "other.pdf p.2": True, "other.pdf p.3": False, "loose one": False, "b.pdf p.1": True}
+
+
+def test_numbered_phrases_meet_their_own_texts_only(spark):
+    n = 3000
+    texts = spark.range(n).selectExpr("id", "concat('see Cust_', id, ' p.', id % 50 + 1, ', 2020-01-01') AS text")
+    phrases = spark.range(n).selectExpr("id AS phrase_id", "concat('cust_', id, ' p.', id % 50 + 1) AS phrase")
+    hashed = substrings._hashed(phrases.select("phrase"))
+    rungs, wanted = np.full(substrings.SLOTS, -1), np.full(substrings.BITS // 8, 255, np.uint8)
+    met = substrings._met(texts.selectExpr("id", "lower(text) AS text"), rungs, 0, wanted, substrings.BITS).join(hashed, "hash")
+    assert met.count() < 2 * n and sorted((r.id, r.phrase_id) for r in substrings.holding(texts, phrases).collect()) == [(i, i) for i in range(n)]
+
+
+def test_long_phrases_and_all_rungs(spark):
+    rng = random.Random(5)
+    text = "".join(rng.choice("ab ") for _ in range(70_000))
+    sizes = sorted({*range(1, 70), *(s + d for s in substrings.RUNGS for d in (-1, 0, 1)), 60_000} - {0})
+    phrases = [(2 * k + own, text[7 : 7 + s] + ("" if own else "#")) for k, s in enumerate(sizes) for own in (0, 1)]
+    got = {r.phrase_id for r in substrings.holding(spark.createDataFrame([(1, text), (2, "#")], "id int, text string"), spark.createDataFrame(phrases, "phrase_id int, phrase string")).collect()}
+    assert got == {k for k, _ in phrases if k % 2}
