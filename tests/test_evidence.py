@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.operators import comparison, guarding, payloads
+from quillspark.plans import evidence
 
 
 def applied(spark, rule, texts):
@@ -56,3 +57,13 @@ def test_facts_that_say_more_than_their_quote(spark):
     got = {r.seq: set(r.fields) for r in comparison.critical_flags(spark.createDataFrame(facts, "seq long, date string, description string, quote string"), None).collect()}
     assert got == {1: {"numbers", "bindings", "speaker"}, 2: {"numbers", "bindings", "speaker", "date"}, 3: {"laterality", "wording"}, 4: {"nexus", "wording"}, 7: {"negation"}, 8: {"nexus"}}
     assert comparison.critical_flags(spark.createDataFrame(facts, "seq long, date string, description string, quote string"), 2).count() == 2
+
+
+def _times_stated(df):
+    """How often the plan works out the words of a text's families."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("array_distinct(regexp_extract_all(lower(replace(")
+
+
+def test_texts_are_stated_once(spark, sf):
+    assert _times_stated(evidence.pred_05_critical_flags(spark, sf)) == 2
+    assert _times_stated(evidence.pred_03_features(spark, sf)) == 1
