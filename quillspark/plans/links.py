@@ -238,7 +238,8 @@ def rnk_04_ranked_facts(spark, sf):
     q = spark.createDataFrame([(1, "status F near March 1997 orders")], "query_id long, query string")
     hit = shaping.ranked_evidence(f, q).select("para_seq", "overlap")
     floor = F.when(F.col("type").isin("in_service_event", "hospitalization"), F.lit(0.05)).otherwise(F.lit(0.0))
-    scored = f.join(hit, "para_seq", "left").withColumn("score", F.greatest(F.coalesce("overlap", F.lit(0.0)), floor))
+    # A row for most facts: never to be broadcast, however small its shuffle files are.
+    scored = f.join(hit.hint("merge"), "para_seq", "left").withColumn("score", F.greatest(F.coalesce("overlap", F.lit(0.0)), floor))
     place = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), "para_seq"))
     return scored.select("case_id", "para_seq", "score", place.alias("place"))
 

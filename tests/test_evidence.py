@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.operators import comparison, guarding, payloads
-from quillspark.plans import evidence
+from quillspark.plans import evidence, links, shapes
 
 
 def applied(spark, rule, texts):
@@ -67,3 +67,13 @@ def _times_stated(df):
 def test_texts_are_stated_once(spark, sf):
     assert _times_stated(evidence.pred_05_critical_flags(spark, sf)) == 2
     assert _times_stated(evidence.pred_03_features(spark, sf)) == 1
+
+
+def test_evidence_is_dealt_by_paragraph_alone(spark, sf):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [para_seq" in plan(links.rnk_04_ranked_facts(spark, sf))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin [word" not in plan(shapes.rnk_02_evidence_top(spark, sf))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
