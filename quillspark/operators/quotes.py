@@ -7,9 +7,12 @@ behind it, so it runs in the JVM; plain containment, which is cheap, goes first.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.columns import once
 from quillspark.operators.review import norm_key
 
 #: Prefixes that a dash of any length can join to a term.
@@ -20,6 +23,8 @@ PREFIXES = (
 WORD, JOINER, DASH = r"[\p{L}\p{N}\p{M}_]", r"[-‐‑'’/]", "[–—−]"
 INNER, SUFFIX, SIGN, DIGIT = r"[.,:/‐‑–—−-]", r"[%％‰‱+−\-°℃℉±]", r"[+\-−±<>≤≥≈~=]", r"\p{Nd}"
 LEAST_WORDS = 4
+#: More characters than any border looks at.
+CONTEXT = 32
 _PREFIX = "|".join(PREFIXES)
 
 #: What a quote begins with, and what may not stand right before it then.
@@ -50,11 +55,25 @@ def long_enough(quote: Column) -> Column:
 
 
 def stands_in(quote: Column, text: Column) -> Column:
-    """Whether a text holds a quote between its borders; both as norm_key has them. The quote has a character."""
+    """Whether a text holds a quote between its borders; both as norm_key has them. The quote has a character.
+
+    Nearly always the first place decides, by fixed patterns and the CONTEXT characters around it;
+    only a text whose first place is barred is searched for others, by a pattern of the quote's own."""
     escaped = F.regexp_replace(quote, r"([^\p{L}\p{N}\p{M}\s])", r"\\$1")
     before = [F.when(quote.rlike(begins), F.lit(f"(?<!{barred})")).otherwise("") for begins, barred in BEFORE]
     behind = [F.when(quote.rlike(ends), F.lit(f"(?!{barred})")).otherwise("") for ends, barred in BEHIND]
-    return F.contains(text, quote) & F.regexp_like(text, F.concat(*before, escaped, *behind))
+
+    def within(part: Column) -> Column:
+        left, right = F.substring(part["around"], F.lit(1), part["before"]), F.substring(part["around"], part["before"] + F.length(quote) + 1, F.lit(CONTEXT))
+        bars = [quote.rlike(begins) & left.rlike(rf"(?:{barred})\z") for begins, barred in BEFORE] + [quote.rlike(ends) & right.rlike(rf"\A(?:{barred})") for ends, barred in BEHIND]
+        return F.when(reduce(Column.__or__, bars), F.regexp_like(text, F.concat(*before, escaped, *behind))).otherwise(True)
+
+    def at(place: Column) -> Column:
+        from_ = F.greatest(F.lit(1), place - CONTEXT)
+        around = F.substring(text, from_, place - from_ + F.length(quote) + CONTEXT)
+        return F.when(place == 0, False).when(place > 0, once(F.struct(around.alias("around"), (place - from_).alias("before")), within))
+
+    return once(F.position(quote, text), at)
 
 
 def quotes_present(quotes: DataFrame, pages: DataFrame) -> DataFrame:
