@@ -30,14 +30,20 @@ PERSONAL = (
     r"\b(?i:veteran|patient|claimant|witness|spouse|name)\b([:\s]+)(?:[A-Z][\p{L}\p{N}_'.-]*\s+){0,2}[A-Z][\p{L}\p{N}_'.-]+",
     r"\b\d{7,}\b",
 )
+#: What a text has in which the pattern of that place in PERSONAL can match: looked for first, as it is found faster.
+NEEDED = {2: r"@", 3: r"://", 4: r"[/\\]", 5: r"(?i)\.(?:pdf|docx?|xlsx?|csv|txt|md|zip|jsonl?|log|tiff?|png|jpe?g)\b", 7: r"(?i)veteran|patient|claimant|witness|spouse|name"}
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 
 
 def _spelt_out(text: Column, pattern: str, to: dict[str, str], between: str = "") -> Column:
     """Every match of a run of one character replaced by as many of what it maps to."""
-    between_, runs = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     swap = lambda r: F.rtrim(F.translate(F.regexp_replace(r, "(.)", "$1" + between), "".join(to), "".join(to.values())))
-    return F.array_join(F.transform(F.arrays_zip(between_.alias("a"), F.transform(runs, swap).alias("b")), lambda z: F.concat(z["a"], F.coalesce(z["b"], F.lit("")))), "")
+
+    def spelt(t: Column) -> Column:
+        between_, runs = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        return F.array_join(F.transform(F.arrays_zip(between_.alias("a"), F.transform(runs, swap).alias("b")), lambda z: F.concat(z["a"], F.coalesce(z["b"], F.lit("")))), "")
+
+    return once(text, lambda t: F.when(t.rlike(pattern), spelt(t)).otherwise(t))
 
 
 def for_prompt(text: Column, most: int | None = None) -> Column:
@@ -55,9 +61,13 @@ def for_prompt(text: Column, most: int | None = None) -> Column:
         t = F.regexp_replace(t, rf"\A{bracket}|{bracket}\z", to)
     if most is None:
         return t
-    note = F.concat(F.lit("\n… [truncated "), (F.length(t) - most).cast("string"), F.lit(" chars by prompt sanitizer]"))
-    cut = F.concat(F.substring(t, F.lit(1), F.greatest(F.lit(0), F.lit(most) - F.length(note))), note)
-    return F.when(F.lit(most <= 0), "").when(F.length(t) > most, cut).otherwise(t)
+
+    def cut(t: Column) -> Column:
+        note = F.concat(F.lit("\n… [truncated "), (F.length(t) - most).cast("string"), F.lit(" chars by prompt sanitizer]"))
+        short = F.concat(F.substring(t, F.lit(1), F.greatest(F.lit(0), F.lit(most) - F.length(note))), note)
+        return F.when(F.lit(most <= 0), "").when(F.length(t) > most, short).otherwise(t)
+
+    return once(t, cut)
 
 
 def scrubbed(text: Column, most: int = 300) -> Column:
@@ -65,11 +75,17 @@ def scrubbed(text: Column, most: int = 300) -> Column:
     shape of personal data, at most most characters."""
     t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), CONTROL, ""), INVISIBLE, "")
     t = F.trim(F.regexp_replace(t, r"\s+", " "))
-    for pattern in PERSONAL:
-        t = F.regexp_replace(t, pattern, "[redacted]")
+    for k, pattern in enumerate(PERSONAL):
+        t = _redacted(t, pattern, NEEDED.get(k))
     return F.substring(t, 1, most)
 
 
+def _redacted(text: Column, pattern: str, needed: str | None) -> Column:
+    if needed is None:
+        return F.regexp_replace(text, pattern, "[redacted]")
+    return once(text, lambda t: F.when(t.rlike(needed), F.regexp_replace(t, pattern, "[redacted]")).otherwise(t))
+
+
 #: What a log may hold. Counts, and the words that a field can have.
 COUNTS = ("duration_ms", "pages", "files", "record_files", "record_pages", "calls", "chunks", "facts", "attempt", "retries", "tokens_in", "tokens_out", "prompt_tokens", "completion_tokens", "total_tokens", "status_code")
 REQUEST = r"^(req_[a-f0-9]{12}|[a-f0-9-]{32,36})\z"

@@ -77,3 +77,19 @@ def test_evidence_is_dealt_by_paragraph_alone(spark, sf):
         assert "SortMergeJoin [word" not in plan(shapes.rnk_02_evidence_top(spark, sf))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_guarded_text_is_planned_once(spark, capsys):
+    """Steps that name their text several times would repeat all steps before them, 16 times and more."""
+    t = spark.createDataFrame([("x",)], "t string").select(guarding.for_prompt(F.concat("t", F.lit("y")), 9).alias("g"))
+    t.explain(True)
+    plan = capsys.readouterr().out.split("== Physical Plan ==")[0].split("== Optimized Logical Plan ==")[1]
+    assert plan.count("instruction)\\s*:") == 1
+
+
+def test_patterns_are_looked_for_where_they_can_match(spark):
+    """A pattern behind a cheaper look matches no text that the look passes over."""
+    looks = ["a@b.c", "s3://x", "/a/b/c d", "C:\\x\\y z", "my File (1).PDF x", "a.jsonl", "name: Jo Doe", "WITNESS Jo Doe", "a.pdfs", "plain"]
+    wanted = ["[redacted]", "[redacted]", "[redacted] d", "[redacted] z", "[redacted] x", "[redacted]", "[redacted]", "[redacted]", "a.pdfs", "plain"]
+    assert applied(spark, guarding.scrubbed, looks) == wanted
+    assert set(guarding.NEEDED) < set(range(len(guarding.PERSONAL)))
