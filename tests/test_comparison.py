@@ -150,3 +150,19 @@ def test_many_drafts_against_a_plain_assignment(spark):
             if clean:
                 free.discard(pick[0])
         assert left[d] == len(free)
+
+
+def test_held_texts_meet_on_runs_of_words(spark):
+    """Texts of few words in any order, so that each word is in most: what holds what, and the first two by id."""
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    a, b = [(k, text(rng.randrange(0, 9))) for k in range(60)], [(k, text(rng.randrange(0, 30))) for k in range(60)] + [(k, "a b a b a") for k in range(60, 64)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, key string")
+    for least, most in ((4, 2), (2, None)):
+        got = {(r.left_id, r.right_id, r.how) for r in comparison.supported_keys(frame(a), frame(b), most, least).collect()}
+        wanted = set()
+        for i, t in a:
+            exact = [(i, j, "exact") for j, s in b if t and s == t]
+            inside = [(i, j, "contained") for j, s in b if f" {t} " in f" {s} "] if t and not exact and t.count(" ") + 1 >= least else []
+            wanted |= set((exact + inside)[:most])
+        assert got == wanted
