@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.columns import worked_out
+
 #: The printed forms of a backup's key.
 LIVE = r"^audit/(\d{4}/\d{2}/\d{2})/live-(.+?)-g([0-9a-f]+)-(\d+)-(\d+)-([0-9a-f]{12})\.jsonl$"
 LEGACY = r"^audit/(\d{4}/\d{2}/\d{2})/live-(.+?)-(\d+)-(\d+)-([0-9a-f]{12})\.jsonl$"
@@ -49,11 +56,11 @@ def key_parts(key: Column) -> Column:
 
 def verified(windows: DataFrame, content: str = "content") -> DataFrame:
     """windows (key, content, ...) with parts, and what is wrong with them: no key, size or sha of
-    the content against its key; "" if nothing is."""
-    named = windows.withColumn("parts", key_parts(F.col("key")))
+    the content against its key; "" if nothing is. Both are worked out once for each window."""
+    named = worked_out(windows, parts=key_parts(F.col("key")))
     size = F.coalesce(F.col("parts.size"), F.col("parts.end") - F.col("parts.start"))
     wrong = F.when(F.col("parts").isNull(), "key").when(F.coalesce(F.length(content), F.lit(-1)) != size, "size").when(F.substring(F.sha2(content, 256), 1, 12) != F.col("parts.sha"), "sha")
-    return named.withColumn("wrong", F.coalesce(wrong, F.lit("")))
+    return worked_out(named, wrong=F.coalesce(wrong, F.lit("")))
 
 
 def generations(windows: DataFrame) -> DataFrame:
@@ -69,20 +76,61 @@ def covers(windows: DataFrame, cell: int = 1 << 24) -> DataFrame:
     last: of windows (file, island, id, uploaded, start, end) that overlap, the later upload (ties
     by id) is the one that counts for the bytes it covers.
 
-    Windows are cut at the borders of cells, so that what has to be compared is one cell's, however
-    long a file is; runs are joined again over those borders."""
+    Windows are cut at the borders of cells and dealt out by cell, and a task goes through each
+    cell's once, in order of their start: what it holds is the windows that are open, however
+    long a file is. Runs are joined again over the borders."""
     live = windows.where("end > start")
     first, last = F.floor(F.col("start") / cell), F.floor((F.col("end") - 1) / cell)
     cut = live.withColumn("cell", F.explode(F.sequence(first, last)))
-    cut = cut.select("file", "island", "cell", F.greatest("start", F.col("cell") * cell).alias("low"), F.least("end", (F.col("cell") + 1) * cell).alias("high"), F.struct("uploaded", "id").alias("by"))
     at = ["file", "island", "cell"]
-    edges = cut.select(*at, "low").union(cut.select(*at, "high")).distinct()
-    parts = edges.withColumn("upto", F.lead("low").over(Window.partitionBy(*at).orderBy("low"))).where("upto IS NOT NULL").withColumnRenamed("low", "from")
-    newest = parts.join(cut, at).where((F.col("low") <= F.col("from")) & (F.col("high") >= F.col("upto"))).groupBy(*at, "from", "upto").agg(F.max("by").alias("by"))
+    cut = cut.select(*at, F.greatest("start", F.col("cell") * cell).alias("low"), F.least("end", (F.col("cell") + 1) * cell).alias("high"), "uploaded", F.col("id").alias("window")).repartition(*at)
+    turn = F.row_number().over(Window.partitionBy(*at).orderBy("uploaded", "window"))
+    dealt = cut.select(*at, "low", "high", turn.alias("turn"), "window").sortWithinPartitions(*at, "low")
+    kinds = dict(dealt.dtypes)
+    newest = dealt.mapInArrow(_newest, f"file {kinds['file']}, island {kinds['island']}, from long, upto long, window {kinds['window']}")
     order = Window.partitionBy("file", "island").orderBy("from")
-    fresh = F.coalesce(((F.lag("upto").over(order) != F.col("from")) | (F.lag("by.id").over(order) != F.col("by.id"))).cast("int"), F.lit(1))
+    fresh = F.coalesce(((F.lag("upto").over(order) != F.col("from")) | (F.lag("window").over(order) != F.col("window"))).cast("int"), F.lit(1))
     runs = newest.withColumn("run", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("file", "island", "run").agg(F.min("from").alias("start"), F.max("upto").alias("end"), F.any_value("by.id").alias("window")).drop("run")
+    return runs.groupBy("file", "island", "run").agg(F.min("from").alias("start"), F.max("upto").alias("end"), F.any_value("window").alias("window")).drop("run")
+
+
+def _newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of the window of the last turn, of windows (file, island, cell, low, high, turn, window)
+    sorted by cell and low."""
+    here, open_, at, out = None, [], 0, []
+
+    def upto(limit: float) -> None:
+        """Hands on what lies before limit."""
+        nonlocal at
+        while open_ and at < limit:
+            _, high, window = open_[0]
+            if high > at:
+                end = min(high, limit)
+                if out and out[-1][4] == window and out[-1][3] == at and out[-1][:2] == here[:2]:
+                    out[-1] = (*here[:2], out[-1][2], end, window)
+                else:
+                    out.append((*here[:2], at, end, window))
+                at = end
+            if high <= at:
+                heapq.heappop(open_)
+
+    names, kinds = ("file", "island", "from", "upto", "window"), None
+    for batch in batches:
+        file, island, _, low, _, _, window = batch.schema.types
+        kinds = (file, island, low, low, window)
+        for *cell, low, high, turn, window in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if cell != here:
+                upto(math.inf)
+                here = cell
+                open_.clear()
+            upto(low)
+            at = low
+            heapq.heappush(open_, (-turn, high, window))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], names)
+        out.clear()
+    upto(math.inf)
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
 def restored(windows: DataFrame, cell: int = 1 << 24) -> tuple[DataFrame, DataFrame]:
@@ -100,9 +148,9 @@ def restored(windows: DataFrame, cell: int = 1 << 24) -> tuple[DataFrame, DataFr
     pieces = runs.join(content, "window").select("file", "island", "start", "end", "window", data.alias("data"))
     order = Window.partitionBy("file", "island").orderBy("start")
     gap = F.col("start") - F.coalesce(F.lag("end").over(order), F.lit(0))
-    holes = runs.withColumn("gap", gap).groupBy("file").agg(F.count_if(F.col("gap") > 0).alias("holes"), F.sum("gap").alias("missing"))
+    used = runs.withColumn("gap", gap).groupBy("window").agg(F.count_if(F.col("gap") > 0).alias("holes"), F.sum("gap").alias("missing"))
     first = placed.groupBy("file", "island").agg(F.min("uploaded").alias("began"))
     turns = first.groupBy("file").agg(F.count("*").alias("generations"), (F.count_distinct("began") < F.count("*")).alias("uncertain"))
-    used = runs.select("window").distinct().withColumn("used", F.lit(True))
-    told = flat.select("file", F.col("id").alias("window"), "wrong").join(used, "window", "left").groupBy("file").agg(F.count("*").alias("windows"), F.count_if((F.col("wrong") == "") & F.col("used").isNull()).alias("superseded"), F.count_if(F.col("wrong") != "").alias("damaged"))
-    return pieces, told.join(turns, "file", "left").join(holes, "file", "left").fillna({"generations": 0, "holes": 0, "missing": 0, "uncertain": False})
+    counts = [F.count("*").alias("windows"), F.count_if((F.col("wrong") == "") & F.col("holes").isNull()).alias("superseded"), F.count_if(F.col("wrong") != "").alias("damaged"), F.sum("holes").alias("holes"), F.sum("missing").alias("missing")]
+    told = flat.select("file", F.col("id").alias("window"), "wrong").join(used, "window", "left").groupBy("file").agg(*counts)
+    return pieces, told.join(turns, "file", "left").fillna({"generations": 0, "holes": 0, "missing": 0, "uncertain": False})
