@@ -37,3 +37,9 @@ def test_the_last_turn_wins_over_borders_of_batches():
         got = [r for b in intervals._newest(iter(batches)) for r in b.to_pylist()]
         assert sorted((r["file"], r["island"], at, r["window"]) for r in got for at in range(r["from"], r["upto"])) == plain
     assert not list(intervals._newest(iter([])))
+
+
+def test_a_report_goes_through_the_runs_once(spark):
+    rows = [(1, "no key", 1, bytearray(b"x"))]
+    report = intervals.restored(spark.createDataFrame(rows, "id int, key string, uploaded int, content binary"))[1]
+    assert plan(report).count("MapInArrow") == 1 and report.count() == 0
