@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.columns import worked_out
+from quillspark.functions.columns import once, worked_out
 
 #: The printed forms of a backup's key.
 LIVE = r"^audit/(\d{4}/\d{2}/\d{2})/live-(.+?)-g([0-9a-f]+)-(\d+)-(\d+)-([0-9a-f]{12})\.jsonl$"
 LEGACY = r"^audit/(\d{4}/\d{2}/\d{2})/live-(.+?)-(\d+)-(\d+)-([0-9a-f]{12})\.jsonl$"
 ROTATED = r"^audit/(\d{4}/\d{2}/\d{2})/rotated-(.+?)-(\d+)-([0-9a-f]{12})\.jsonl$"
 UNKNOWN = "unknown"
+PARTS = {"kind": "string", "date": "string", "filename": "string", "generation": "string", "start": "long", "end": "long", "size": "long", "sha": "string"}
 
 
 def points_in(points: DataFrame, intervals: DataFrame, at: str = "at", low: str = "low", high: str = "high", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -41,17 +42,19 @@ def key_parts(key: Column) -> Column:
     """struct(kind, date, filename, generation, start, end, size, sha) of a backup's key: a live
     window with or without its file's generation, or a rotated file; null for any other."""
 
-    def part(pattern: str, n: int) -> Column:
-        return F.regexp_extract(key, pattern, n)
+    def row(kind: str, pattern: str, *groups: str, **fixed: Column) -> Column:
+        """The pattern's groups come out of one match: no line feed is in any, so one parts them."""
+        cut = F.split(F.regexp_replace(key, pattern, "\n".join(f"${n}" for n in range(1, len(groups) + 1))), "\n")
 
-    def row(kind: str, pattern: str, date: int, name: int, generation: Column, start: Column, end: Column, size: Column, sha: int) -> Column:
-        fields = {"kind": F.lit(kind), "date": part(pattern, date), "filename": part(pattern, name), "generation": generation, "start": start.cast("long"), "end": end.cast("long"), "size": size.cast("long"), "sha": part(pattern, sha)}
-        return F.when(key.rlike(pattern), F.struct(*[c.alias(n) for n, c in fields.items()]))
+        def fields(found: Column) -> Column:
+            own = {name: F.get(found, F.lit(n)) for n, name in enumerate(groups)} | {"kind": F.lit(kind)} | fixed
+            return F.struct(*[own.get(name, F.lit(None)).cast(PARTS[name]).alias(name) for name in PARTS])
 
-    none = F.lit(None).cast("string")
-    live = row("live", LIVE, 1, 2, part(LIVE, 3), part(LIVE, 4), part(LIVE, 5), none, 6)
-    legacy = row("live", LEGACY, 1, 2, F.lit(UNKNOWN), part(LEGACY, 3), part(LEGACY, 4), none, 5)
-    return F.coalesce(live, legacy, row("rotated", ROTATED, 1, 2, none, none, none, part(ROTATED, 3), 4))
+        return F.when(key.rlike(pattern), once(cut, fields))
+
+    live = row("live", LIVE, "date", "filename", "generation", "start", "end", "sha")
+    legacy = row("live", LEGACY, "date", "filename", "start", "end", "sha", generation=F.lit(UNKNOWN))
+    return F.coalesce(live, legacy, row("rotated", ROTATED, "date", "filename", "size", "sha"))
 
 
 def verified(windows: DataFrame, content: str = "content") -> DataFrame:
@@ -64,21 +67,32 @@ def verified(windows: DataFrame, content: str = "content") -> DataFrame:
 
 
 def generations(windows: DataFrame) -> DataFrame:
-    """windows (file, generation, uploaded, start, end, ...) with island: the number of their run of
-    one generation in the order of upload (ties by start, then end)."""
-    order = Window.partitionBy("file").orderBy("uploaded", "start", "end")
+    """windows (id, file, generation, uploaded, start, end, unfit, ...) with island: the number of their
+    run of one generation in the order of upload (ties by start, end, then id); null for those that
+    are unfit, which part no run."""
+    order = Window.partitionBy("file").orderBy("unfit", "uploaded", "start", "end", "id")
     turned = F.coalesce((F.col("generation") != F.lag("generation").over(order)).cast("int"), F.lit(1))
-    return windows.withColumn("island", F.sum(turned).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    return windows.withColumn("island", F.when(~F.col("unfit"), F.sum(turned).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1))
 
 
 def covers(windows: DataFrame, cell: int = 1 << 24) -> DataFrame:
     """file, island, start, end and window (its id) of runs of bytes by the window that holds them
+    last: the stretches of held, joined again over the borders of cells."""
+    newest = held(windows, cell)
+    order = Window.partitionBy("file", "island").orderBy("from")
+    fresh = F.coalesce(((F.lag("upto").over(order) != F.col("from")) | (F.lag("window").over(order) != F.col("window"))).cast("int"), F.lit(1))
+    runs = newest.withColumn("run", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("file", "island", "run").agg(F.min("from").alias("start"), F.max("upto").alias("end"), F.any_value("window").alias("window")).drop("run")
+
+
+def held(windows: DataFrame, cell: int = 1 << 24) -> DataFrame:
+    """file, island, from, upto and window (its id) of stretches of bytes by the window that holds them
     last: of windows (file, island, id, uploaded, start, end) that overlap, the later upload (ties
     by id) is the one that counts for the bytes it covers.
 
     Windows are cut at the borders of cells and dealt out by cell, and a task goes through each
     cell's once, in order of their start: what it holds is the windows that are open, however
-    long a file is. Runs are joined again over the borders."""
+    long a file is."""
     live = windows.where("end > start")
     first, last = F.floor(F.col("start") / cell), F.floor((F.col("end") - 1) / cell)
     cut = live.withColumn("cell", F.explode(F.sequence(first, last)))
@@ -87,11 +101,13 @@ def covers(windows: DataFrame, cell: int = 1 << 24) -> DataFrame:
     turn = F.row_number().over(Window.partitionBy(*at).orderBy("uploaded", "window"))
     dealt = cut.select(*at, "low", "high", turn.alias("turn"), "window").sortWithinPartitions(*at, "low")
     kinds = dict(dealt.dtypes)
-    newest = dealt.mapInArrow(_newest, f"file {kinds['file']}, island {kinds['island']}, from long, upto long, window {kinds['window']}")
-    order = Window.partitionBy("file", "island").orderBy("from")
-    fresh = F.coalesce(((F.lag("upto").over(order) != F.col("from")) | (F.lag("window").over(order) != F.col("window"))).cast("int"), F.lit(1))
-    runs = newest.withColumn("run", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("file", "island", "run").agg(F.min("from").alias("start"), F.max("upto").alias("end"), F.any_value("window").alias("window")).drop("run")
+    return dealt.mapInArrow(_newest, f"file {kinds['file']}, island {kinds['island']}, from long, upto long, window {kinds['window']}")
+
+
+def _values(column: pa.Array) -> list:
+    """As Python values; by numpy, many times as fast, where it has the same."""
+    same = not column.null_count and (pa.types.is_integer(column.type) or pa.types.is_string(column.type))
+    return column.to_numpy(zero_copy_only=False).tolist() if same else column.to_pylist()
 
 
 def _newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +134,7 @@ def _newest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         file, island, _, low, _, _, window = batch.schema.types
         kinds = (file, island, low, low, window)
-        for *cell, low, high, turn, window in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for *cell, low, high, turn, window in zip(*map(_values, batch.columns), strict=True):
             if cell != here:
                 upto(math.inf)
                 here = cell
@@ -140,17 +156,21 @@ def restored(windows: DataFrame, cell: int = 1 << 24) -> tuple[DataFrame, DataFr
     their key, and are left out), holes and missing bytes within generations (whose first byte is 0),
     and whether the order of generations is uncertain, as two began with one upload time."""
     known = verified(windows).where("parts IS NOT NULL AND parts.kind = 'live'")
-    flat = known.select("id", "uploaded", "content", "wrong", F.col("parts.filename").alias("file"), *[F.col(f"parts.{c}").alias(c) for c in ("generation", "start", "end")])
-    placed = generations(flat.where("wrong = ''").drop("content", "wrong"))
-    runs = covers(placed, cell)
+    flat = known.select("id", "uploaded", "content", (F.col("wrong") != "").alias("unfit"), F.col("parts.filename").alias("file"), *[F.col(f"parts.{c}").alias(c) for c in ("generation", "start", "end")])
+    placed = generations(flat.drop("content"))
+    fit = placed.where("island IS NOT NULL")
     data = F.substring("content", (F.col("start") - F.col("from") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
     content = flat.select(F.col("id").alias("window"), F.col("start").alias("from"), "content")
-    pieces = runs.join(content, "window").select("file", "island", "start", "end", "window", data.alias("data"))
-    order = Window.partitionBy("file", "island").orderBy("start")
-    gap = F.col("start") - F.coalesce(F.lag("end").over(order), F.lit(0))
-    used = runs.withColumn("gap", gap).groupBy("window").agg(F.count_if(F.col("gap") > 0).alias("holes"), F.sum("gap").alias("missing"))
-    first = placed.groupBy("file", "island").agg(F.min("uploaded").alias("began"))
-    turns = first.groupBy("file").agg(F.count("*").alias("generations"), (F.count_distinct("began") < F.count("*")).alias("uncertain"))
-    counts = [F.count("*").alias("windows"), F.count_if((F.col("wrong") == "") & F.col("holes").isNull()).alias("superseded"), F.count_if(F.col("wrong") != "").alias("damaged"), F.sum("holes").alias("holes"), F.sum("missing").alias("missing")]
-    told = flat.select("file", F.col("id").alias("window"), "wrong").join(used, "window", "left").groupBy("file").agg(*counts)
-    return pieces, told.join(turns, "file", "left").fillna({"generations": 0, "holes": 0, "missing": 0, "uncertain": False})
+    pieces = covers(fit, cell).join(content, "window").select("file", "island", "start", "end", "window", data.alias("data"))
+    order = Window.partitionBy("file", "island").orderBy("from")
+    gap = F.col("from") - F.coalesce(F.lag("upto").over(order), F.lit(0))
+    used = held(fit, cell).withColumn("gap", gap).groupBy("file", "island", "window").agg(F.count_if(F.col("gap") > 0).alias("holes"), F.sum("gap").alias("missing"))
+    used = used.groupBy("file").agg(F.count("*").alias("used"), F.sum("holes").alias("holes"), F.sum("missing").alias("missing"))
+    # Damaged windows are told by their island too, so that the counts and the runs need the same shuffle, which Spark then reads twice and makes once.
+    each = placed.groupBy("file", "island").agg(F.count("*").alias("n"), F.min("uploaded").alias("began"))
+    damaged = F.coalesce(F.sum(F.when(F.col("island").isNull(), F.col("n"))), F.lit(0))
+    uncertain = F.count_distinct(F.when(F.col("island").isNotNull(), F.col("began"))) < F.count("island")
+    told = each.groupBy("file").agg(F.sum("n").alias("windows"), damaged.alias("damaged"), F.count("island").alias("generations"), uncertain.alias("uncertain"))
+    superseded = F.col("windows") - F.col("damaged") - F.col("used")
+    counted = told.join(used, "file", "left").fillna({"used": 0, "holes": 0, "missing": 0})
+    return pieces, counted.select("file", "windows", superseded.alias("superseded"), "damaged", "holes", "missing", "generations", "uncertain")
