@@ -152,6 +152,41 @@ def test_many_drafts_against_a_plain_assignment(spark):
         assert left[d] == len(free)
 
 
+def test_copies_are_not_paired(spark, tmp_path):
+    """A draft that says 400 times what stands 400 times in its sources: each takes its own, and less than a pair of each two is written."""
+    n, context = 400, spark.sparkContext
+    before = context.getCheckpointDir()
+    context.setCheckpointDir(str(tmp_path))
+    line = "I saw him fall at home then."
+    drafts = spark.createDataFrame([(1, "\n".join([line] * n)), (2, line.upper())], "draft_id int, text string")
+    sources = spark.createDataFrame([(d, k, "account", None, line) for d in (1, 2) for k in range(n)], SOURCES)
+    rows = comparison.compared(drafts, sources).rows.collect()
+    written = sum(f.stat().st_size for f in tmp_path.rglob("*") if f.is_file())
+    if before is not None:
+        context.setCheckpointDir(before.rpartition("/")[0])
+    assert {(r.draft_id, r.ord): r.source_ids for r in rows} == {(1, k): [k] for k in range(n)} | {(2, 0): [0]}
+    assert {(r.how, *r.candidates, *r.reasons) for r in rows} == {("exact", 0, 1, 2)}
+    assert written < 20 * n * n
+
+
+def test_suggestions_against_a_plain_count(spark):
+    """Sentences and sources of few words in several spellings: how they are held, and the first three candidates."""
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice(["ab", "Ab", "b", "c", "d", "e", "f"]) for _ in range(n))
+    drafts = [(d, [text(rng.randrange(1, 7)) for _ in range(rng.randrange(1, 9))]) for d in range(30)]
+    sources = [(d, 100 - k, rng.choice(["account", "quote", "field"]), rng.choice(["name", None]), text(rng.randrange(0, 9))) for d in range(30) for k in range(rng.randrange(0, 12))]
+    frame = spark.createDataFrame([(d, "\n".join(x)) for d, x in drafts], "draft_id int, text string")
+    got = {(r.draft_id, r.ord): (r.how, r.candidates) for r in comparison.compared(frame, spark.createDataFrame(sources, SOURCES)).rows.collect()}
+    for d, said in drafts:
+        own = sorted((k, t.lower()) for e, k, _, _, t in sources if e == d and t)
+        for o, t in enumerate(x.lower() for x in said):
+            exact = [k for k, s in own if s == t]
+            inside = [k for k, s in own if f" {t} " in f" {s} " and t.count(" ") >= 3]
+            near = [k for n, k in sorted((-len({*t.split()} & {*s.split()}), k) for k, s in own) if n]
+            how, found = next(((h, x) for h, x in (("exact", exact), ("contained", inside), ("suggested", near)) if x), ("none", []))
+            assert got[d, o] == (how, found[:3])
+
+
 def test_held_texts_meet_on_runs_of_words(spark):
     """Texts of few words in any order, so that each word is in most: what holds what, and the first two by id."""
     rng = random.Random(7)
